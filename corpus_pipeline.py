@@ -1,17 +1,62 @@
-"""The corpus pipeline: documents through language ID, near-dedup, decontamination, PII and mixing."""
+"""The corpus pipeline: documents through language ID, near-dedup, decontamination, PII and mixing.
+
+Each stage works on all rows its predecessor kept, and reads them back from the
+table the predecessor wrote.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quillsift.llm import decontaminate, language_id, mixing, simhash, surrogates
 from quillsift.llm.common import load, materialize
+from quillsift.llm.registry import pii_key
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without a language: no letters, or so ambiguous that no language has half the belief."""
+    found = language_id.identify(docs, language_id.fit(docs))
+    sure = (F.col("lang_pred") != language_id.UNDETERMINED) & ~(F.col("ambiguous") & (F.col("score") < 0.5))
+    return found.filter(sure).select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near copies."""
+    return simhash.deduplicate(docs)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a benchmark item."""
+    return decontaminate.decontaminate(docs, load(spark, sf_dir, "benchmark"))
+
+
+def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data by surrogates; n_chars follows the new text."""
+    found = surrogates.pseudonymize(docs, pii_key(spark))
+    return found.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents the mix takes, with the number of copies and the words they add up to."""
+    mixed = mixing.mix(docs).filter(F.col("copies") > 0)
+    return mixed.select(*docs.columns, "size", "source_size", "target", "copies", "taken")
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("simhash_dedup", drop_near_duplicates),
+    ("decontamination", drop_benchmark_leaks),
+    ("pii_surrogates", replace_pii),
+    ("source_mixing", mix_sources),
+]
 
-STAGES: list = []
+#: No SQL: learned language models and fingerprints of shingles.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order; each reads what its predecessor wrote."""
+    """All stages in order, over the table documents."""
     docs = load(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

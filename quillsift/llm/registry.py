@@ -7,8 +7,9 @@ production parameters and picks the columns of its result.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillsift.llm import language_id, simhash
+from quillsift.llm import chat_format, decontaminate, language_id, line_clean, mixing, rule_ensemble, simhash, suffix_dedup, surrogates, token_spans
 from quillsift.llm.common import held_out, load
 
 
@@ -23,9 +24,68 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_print().alias("fingerprint"), "component_id")
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The secret of the surrogates, from the session's settings."""
+    return spark.conf.get("spark.quillsift.pii.key", "set spark.quillsift.pii.key")
+
+
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.pseudonymize(docs, pii_key(spark))
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    sized = mixing.materialize(docs.select("doc_id", "source", mixing.word_count().alias("size")))
+    return mixing.mix(sized, sized=sized).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+
+
+def op5_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_spans.attribute(load(spark, sf_dir, "documents"))
+
+
+def op6_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_clean.clean(load(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rule_ensemble.score(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(load(spark, sf_dir, "documents"), with_kept=False)
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    probe = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"),
+    )
+    return chat_format.read_back(own.unionByName(probe))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_simhash_dedup": op2_simhash_dedup,
+    "op3_pii_surrogates": op3_pii_surrogates,
+    "op4_source_mixing": op4_source_mixing,
+    "op5_token_attribution": op5_token_attribution,
+    "op6_line_cleaning": op6_line_cleaning,
+    "op7_decontamination": op7_decontamination,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_chat_format": op10_chat_format,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op6_line_cleaning": line_clean.ORACLE,
+    "op10_chat_format": chat_format.ORACLE,
+}

@@ -217,18 +217,29 @@ def links(fps: DataFrame, budget: int = 2, leaf_rows: int = 8192) -> DataFrame:
 
 
 def classes(prints: DataFrame, budget: int = 2, leaf_rows: int = 8192) -> DataFrame:
-    """(fp, component_id) for the distinct fingerprints of ``prints`` (doc_id, fp)."""
+    """(fp, root, component_id) for the distinct fingerprints of ``prints`` (doc_id, fp); root names the component."""
     groups = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     roots = components(links(groups.select("fp"), budget, leaf_rows))
     member = groups.join(roots.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("v", "fp"))
     least = member.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return member.join(least, "root").select("fp", "component_id")
+    return member.join(least, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, budget: int = 2, width: int = 3, leaf_rows: int = 8192) -> DataFrame:
-    """doc_id, fp and component_id of every row of ``docs`` (doc_id, text)."""
-    prints = materialize(with_fingerprint(docs.select("doc_id", "text"), width).drop("text"))
-    return prints.join(classes(prints, budget, leaf_rows), "fp").select("doc_id", "fp", "component_id")
+    """doc_id, h (hash of the text), fp, root and component_id of every row of ``docs`` (doc_id, text)."""
+    named = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    prints = materialize(with_fingerprint(named, width).drop("text"))
+    return prints.join(classes(prints, budget, leaf_rows), "fp").select("doc_id", "h", "fp", "root", "component_id")
+
+
+def deduplicate(docs: DataFrame, budget: int = 2, width: int = 3) -> DataFrame:
+    """One row of each component: the one with the least id (of repeated ids, with the least hash of its text)."""
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("best")
+    keep = near_duplicates(docs, budget, width).groupBy("root").agg(best).select(F.col("best.doc_id").alias("_d"), F.col("best.h").alias("_h"))
+    mine = docs.withColumn("_t", F.xxhash64("text"))
+    met = mine.join(keep, mine["doc_id"].eqNullSafe(keep["_d"]) & (mine["_t"] == keep["_h"]), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("doc_id", "_t").orderBy("_t"))
+    return met.withColumn("_nth", nth).filter("_nth = 1").select(docs.columns)
 
 
 def hex_print(fp: str = "fp"):
