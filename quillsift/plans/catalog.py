@@ -1,6 +1,8 @@
-"""All queries of the detection and trace operators, by name."""
+"""All queries of the detection and trace operators, by name, each with its SQL twin."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from quillsift.plans import detection, traces
+
+QUERIES = {**detection.QUERIES, **traces.QUERIES}
+ORACLES = {**detection.ORACLES, **traces.ORACLES}
