@@ -234,12 +234,17 @@ def near_duplicates(docs: DataFrame, budget: int = 2, width: int = 3, leaf_rows:
 
 def deduplicate(docs: DataFrame, budget: int = 2, width: int = 3) -> DataFrame:
     """One row of each component: the one with the least id (of repeated ids, with the least hash of its text)."""
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("best")
-    keep = near_duplicates(docs, budget, width).groupBy("root").agg(best).select(F.col("best.doc_id").alias("_d"), F.col("best.h").alias("_h"))
+    rows = near_duplicates(docs, budget, width).groupBy("root", "doc_id", "h").agg(F.count("*").alias("copies"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "copies")).alias("best")
+    keep = materialize(rows.groupBy("root").agg(best).select(F.col("best.doc_id").alias("_d"), F.col("best.h").alias("_h"), F.col("best.copies").alias("_c")))
     mine = docs.withColumn("_t", F.xxhash64("text"))
-    met = mine.join(keep, mine["doc_id"].eqNullSafe(keep["_d"]) & (mine["_t"] == keep["_h"]), "left_semi")
+    chosen = lambda k: mine.join(k, mine["doc_id"].eqNullSafe(k["_d"]) & (mine["_t"] == k["_h"]), "left_semi")
+    single = chosen(keep.filter("_c = 1")).select(docs.columns)
+    again = keep.filter("_c > 1")  # rows that repeat both id and text
+    if again.isEmpty():
+        return single
     nth = F.row_number().over(Window.partitionBy("doc_id", "_t").orderBy("_t"))
-    return met.withColumn("_nth", nth).filter("_nth = 1").select(docs.columns)
+    return single.unionAll(chosen(again).withColumn("_nth", nth).filter("_nth = 1").select(docs.columns))
 
 
 def hex_print(fp: str = "fp"):
