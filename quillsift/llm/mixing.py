@@ -154,10 +154,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, si
         F.col("source").alias("_s"), F.col("size").alias("_n"), F.col("salt").alias("_k"), "source_size", "target", "rate", "n", "_got",
     ))
     dealt = _settle(dealt, most).withColumn("_each", F.expr("_got div n")).withColumn("_more", F.col("_got") % F.col("n")).drop("n", "_got")
-    here = docs.withColumn("_salt", salts)
-    rank = F.row_number().over(Window.partitionBy("source", "size", "_salt").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ranked = here.withColumn("_rank", rank)
-    out = ranked.join(dealt, F.expr("source <=> _s AND size = _n AND _salt = _k"))
+    # one key without nulls for the ranks and the join, so that the rows are dealt out once for both
+    key = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit(""))
+    here = docs.withColumns({"_src": key("source"), "_salt": salts})
+    rank = F.row_number().over(Window.partitionBy("_src", "size", "_salt").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    dealt = dealt.withColumn("_s", key("_s")).toDF(*("_src" if c == "_s" else "size" if c == "_n" else "_salt" if c == "_k" else c for c in dealt.columns))
+    out = here.withColumn("_rank", rank).join(dealt, ["_src", "size", "_salt"])
     copies = F.least(F.col("_each") + (F.col("_rank") <= F.col("_more")).cast("long"), F.lit(most)).cast("long")
     out = out.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
-    return out.drop("_salt", "_rank", "_s", "_n", "_k", "_each", "_more")
+    return out.select(*docs.columns, *(r for r in results if r not in docs.columns))
