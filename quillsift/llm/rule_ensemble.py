@@ -153,11 +153,19 @@ def learn(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 25, depth
 
 
 def fit(stats: DataFrame, labels: DataFrame, names: list[str], max_rows: int = 20000) -> Rules:
-    """Learn from ``labels`` (doc_id, quality) of rows that aren't held out; at most ``max_rows`` rows of numbers are gathered."""
+    """Learn from ``labels`` (doc_id, quality) of rows that aren't held out; at most ``max_rows`` rows of numbers are gathered.
+
+    The sample is the rows of the least hashes of ids. Hashes far above it are
+    dropped where the labels are read, as every task would otherwise send its own
+    ``max_rows`` least rows to the driver.
+    """
+    spread = 1 << 30
     known = labels.filter(learnable("doc_id") & F.col("quality").isNotNull()).select("doc_id", F.col("quality").alias("_y"))
+    known = known.withColumn("_h", F.pmod(F.xxhash64("doc_id"), F.lit(spread)))
+    reach = min(spread, 1 + 5 * spread * max_rows // (4 * max(1, known.count())))  # a quarter more than are wanted
     rows = (
-        stats.select("doc_id", *names).join(known, "doc_id")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "_y", *names).limit(max_rows).select("_y", *names).collect()
+        stats.select("doc_id", *names).join(known.filter(F.col("_h") < reach), "doc_id")
+        .orderBy("_h", "doc_id", "_y", *names).limit(max_rows).select("_y", *names).collect()
     )
     data = np.array([tuple(r) for r in rows], dtype=float).reshape(-1, len(names) + 1)
     return learn(data[:, 1:], (data[:, 0] > 0).astype(float), names)
