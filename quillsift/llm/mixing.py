@@ -143,13 +143,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, si
     state = multipliers(
         cells.groupBy("source", "size").agg(F.sum("n").alias("n")), goals.select("key", "source_size", "n_docs", F.col("target").cast("double").alias("target")), most
     )
-    # copies of a cell: the whole numbers that the running sum of its source's rates passes in it
-    run = Window.partitionBy("source").orderBy("size", "salt").rowsBetween(Window.unboundedPreceding, 0)
+    # copies of a cell: the whole numbers that the running sum of its source's rates passes in it. The sum runs over
+    # the sizes of a source first, then over the cells of one size, so that no task holds all cells of a source.
     rate = F.when(F.col("size") == 0, F.lit(0.0)).otherwise(_rate(F.col("size"), F.col("lam"), F.col("mean"), most))
     dealt = cells.join(state.select("key", "source_size", "target", "_full", "mean", "lam"), F.expr("source <=> key"))
-    dealt = dealt.withColumn("rate", rate).withColumn("_up", F.sum((F.col("rate") * F.col("n")).cast("decimal(38,9)")).over(run))
-    dealt = dealt.withColumn("_up", F.floor(F.col("_up") + F.lit("0.5").cast("decimal(2,1)")).cast("long"))
-    dealt = dealt.withColumn("_got", F.col("_up") - F.coalesce(F.lag("_up").over(Window.partitionBy("source").orderBy("size", "salt")), F.lit(0)))
+    dealt = dealt.withColumn("rate", rate).withColumn("_part", (F.col("rate") * F.col("n")).cast("decimal(38,9)"))
+    whole = lambda c: F.floor(c + F.lit("0.5").cast("decimal(2,1)")).cast("long")
+    sums = dealt.groupBy(F.col("source").alias("_o"), F.col("size").alias("_z")).agg(F.sum("_part").alias("_own"))
+    by_size = Window.partitionBy("_o").orderBy("_z").rowsBetween(Window.unboundedPreceding, 0)
+    sums = sums.select("_o", "_z", (F.sum("_own").over(by_size) - F.col("_own")).alias("_before"))
+    in_size = Window.partitionBy("source", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, 0)
+    dealt = dealt.join(sums, F.expr("source <=> _o AND size = _z")).withColumn("_up", F.col("_before") + F.sum("_part").over(in_size))
+    dealt = dealt.withColumn("_got", whole(F.col("_up")) - whole(F.col("_up") - F.col("_part")))
     dealt = materialize(dealt.select(
         F.col("source").alias("_s"), F.col("size").alias("_n"), F.col("salt").alias("_k"), "source_size", "target", "rate", "n", "_got",
     ))

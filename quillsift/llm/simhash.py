@@ -243,8 +243,9 @@ def deduplicate(docs: DataFrame, budget: int = 2, width: int = 3) -> DataFrame:
     again = keep.filter("_c > 1")  # rows that repeat both id and text
     if again.isEmpty():
         return single
-    nth = F.row_number().over(Window.partitionBy("doc_id", "_t").orderBy("_t"))
-    return single.unionAll(chosen(again).withColumn("_nth", nth).filter("_nth = 1").select(docs.columns))
+    # rows alike in both are merged before the shuffle, however many they are
+    one = chosen(again).groupBy("doc_id", "_t").agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    return single.unionAll(one.select("_row.*"))
 
 
 def hex_print(fp: str = "fp"):
