@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from quillsift.llm.common import learnable, small_batches
 
 DIMS = 4096
+#: Rows turned into features at a time, and about as many bytes of text, which bounds a worker's memory.
+ROWS, PART_BYTES = 128, 500_000
 UNDETERMINED = "und"
 #: Non-letters of ASCII become blanks; bytes of multi-byte characters stay.
 _CLEAN = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -46,9 +48,9 @@ def features(texts: list[str]) -> np.ndarray:
     raw = [t.lower().encode("utf-8", "replace").translate(_CLEAN) for t in texts]
     out = np.zeros((len(raw), DIMS), dtype=np.float32)
     start = 0
-    while start < len(raw):  # a few megabytes at a time
+    while start < len(raw):
         stop, size = start, 0
-        while stop < len(raw) and (stop == start or size + len(raw[stop]) < 4_000_000):
+        while stop < len(raw) and (stop == start or size + len(raw[stop]) < PART_BYTES):
             size += len(raw[stop]) + 2
             stop += 1
         part = raw[start:stop]
@@ -152,6 +154,12 @@ def decode(model: Model, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     return belief.argmax(axis=1), ranked[:, -1], lead
 
 
+def decode_texts(model: Model, texts: list[str]) -> tuple[np.ndarray, ...]:
+    """decode for the features of whole texts, a few rows at a time."""
+    parts = [decode(model, features(texts[i : i + ROWS])) for i in range(0, len(texts), ROWS)]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
@@ -165,7 +173,7 @@ def identify(docs: DataFrame, model: Model, ambiguous_below: float = 0.1) -> Dat
         out = pd.DataFrame({"lang_pred": [UNDETERMINED] * len(texts), "score": 0.0, "ambiguous": False})
         rows = [i for i, t in enumerate(texts) if t is not None and model.langs and has_letter(t)]
         if rows:
-            best, score, lead = decode(model, features([texts.iloc[i] for i in rows]))
+            best, score, lead = decode_texts(model, [texts.iloc[i] for i in rows])
             out.loc[rows, "lang_pred"] = [model.langs[b] for b in best]
             out.loc[rows, "score"] = score.astype(float)
             out.loc[rows, "ambiguous"] = lead < ambiguous_below
