@@ -3,8 +3,9 @@
 A record's layout is fingerprinted by hashing its sorted nested field paths. The
 fingerprint selects a declarative mapping, from which Spark column expressions
 are built that turn the record into canonical turns: prompt and completion
-pairs, instructions with optional inputs, and lists of messages under several
-names. Layouts without a mapping raise an error that names the paths.
+pairs, instructions with optional inputs, lists of messages under several names,
+and tables with a row for each turn, whose turns and roles are canonical already
+and stay as they are. Layouts without a mapping raise an error that names the paths.
 
 The template marks every turn and escapes control strings inside texts::
 
@@ -55,7 +56,8 @@ def fingerprint(paths: list[str]) -> str:
 
 
 #: Layout paths and how turns are made of them: either pairs of (role, field or
-#: fields, joined by a blank line), or ("each", array, role field, text field).
+#: fields, joined by a blank line), or ("each", array, role field, text field), or
+#: ("rows", turn field, role field, text field) where every row is a turn.
 LAYOUTS: tuple[tuple[tuple[str, ...], tuple], ...] = (
     (("completion", "prompt"), (("user", ("prompt",)), ("assistant", ("completion",)))),
     (("prompt", "response"), (("user", ("prompt",)), ("assistant", ("response",)))),
@@ -66,8 +68,11 @@ LAYOUTS: tuple[tuple[tuple[str, ...], tuple], ...] = (
     (("messages[].content", "messages[].role"), ("each", "messages", "role", "content")),
     (("messages[].role", "messages[].text"), ("each", "messages", "role", "text")),
     (("conversations[].from", "conversations[].value"), ("each", "conversations", "from", "value")),
+    (("role", "text", "turn"), ("rows", "turn", "role", "text")),
 )
 MAPPINGS = {fingerprint(list(paths)): mapping for paths, mapping in LAYOUTS}
+#: Columns that some layout has; a query may ignore all others.
+COLUMNS = frozenset(re.split(r"[.\[]", p)[0] for paths, _ in LAYOUTS for p in paths)
 
 
 def mapping_of(schema: T.StructType, ignore: tuple[str, ...] = ()) -> tuple:
@@ -82,6 +87,9 @@ def mapping_of(schema: T.StructType, ignore: tuple[str, ...] = ()) -> tuple:
 def canonical_turns(records: DataFrame, id_col: str, ignore: tuple[str, ...] = ()) -> DataFrame:
     """(conv_id, turn, role, text) of records of one layout. Optional empty fields make no turn of their own."""
     mapping = mapping_of(records.drop(id_col).schema, ignore)
+    if mapping[0] == "rows":
+        _, turn, role, text = mapping
+        return records.select(F.col(id_col).alias("conv_id"), F.col(turn).cast("long").alias("turn"), *(F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in ((role, "role"), (text, "text"))))
     known = F.create_map(*(F.lit(x) for pair in ROLES.items() for x in pair))
     if mapping[0] == "each":
         _, array, role, text = mapping

@@ -63,13 +63,11 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     text = "</s>[INST] ok [/INST]"
-    probe = spark.range(2).select(
-        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
-        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"),
-    )
-    return chat_format.read_back(own.unionByName(probe))
+    probe = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.lit(text).alias("prompt"), F.lit(text).alias("completion"))
+    layouts = (load(spark, sf_dir, "conversations"), probe)
+    own, probed = (chat_format.canonical_turns(x, "conv_id", tuple(c for c in x.columns if c not in chat_format.COLUMNS)) for x in layouts)
+    return chat_format.read_back(own.unionByName(probed))
 
 
 QUERIES = {

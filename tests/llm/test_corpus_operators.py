@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillsift.llm import chat_format, decontaminate, language_id, line_clean, mixing, rule_ensemble, simhash, suffix_dedup, surrogates, token_spans
+from quillsift.llm import chat_format, decontaminate, language_id, line_clean, mixing, registry, rule_ensemble, simhash, suffix_dedup, surrogates, token_spans
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [(1, None, None, None, None), (2, "", "en", "a", 0), (2, "", "en", "a", 0), (None, "one two three four", "en", "b", 9), (3, "12 34 !!", "de", None, 8)]
@@ -165,3 +165,20 @@ def test_chat(spark):
     ties = spark.createDataFrame([(1, 0, "user", "b"), (1, 0, "user", "a"), (1, None, None, None)], "conv_id long, turn long, role string, text string")
     row = chat_format.read_back(ties).first()
     assert row.n_turns == 3 and row.turns_sha256 == hashlib.sha256(b"\n\nuser\na\nuser\nb\n").hexdigest()
+
+
+def test_chat_layouts_of_the_query(spark, tmp_path):
+    """The query takes whatever layout its table has, by fingerprint; each gives the same digests."""
+    flat = [(1, 0, "user", "hi <s>"), (1, 1, "assistant", "yes"), (2, 0, "user", ""), (2, 1, "assistant", "b\\c")]
+    rows = spark.createDataFrame(flat, "conv_id long, turn long, role string, text string")
+    listed = rows.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content"))).alias("messages"))
+    texts = F.map_from_entries(F.collect_list(F.struct("role", "text")))
+    paired = rows.groupBy("conv_id").agg(texts.alias("m")).select("conv_id", F.col("m.user").alias("prompt"), F.col("m.assistant").alias("response"))
+    got = []
+    for i, table in enumerate((rows.withColumn("other", F.lit(1)), listed, paired)):
+        table.write.parquet(f"{tmp_path}/{i}/conversations.parquet")
+        got.append(sorted(map(tuple, registry.op10_chat_format(spark, f"{tmp_path}/{i}").collect())))
+    assert len(got[0]) == 3 and got[0] == got[1] == got[2]
+    rows.withColumnRenamed("text", "body").write.parquet(f"{tmp_path}/odd/conversations.parquet")
+    with pytest.raises(ValueError):
+        registry.op10_chat_format(spark, f"{tmp_path}/odd")
