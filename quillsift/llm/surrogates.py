@@ -20,7 +20,11 @@ value that would be left unchanged; the others draw again until none collides.
 The few redrawn values are handed to the rewriting pass: as a table of a checked
 size, or joined by the text's hash if there are more than ``max_shared``.
 
-Defined results: a null text stays null with no entities; texts without entities
+Defined results: a structured value that still has no surrogate after ``WIDEN``
+draws, or that has no letter or digit to change, gets one of a wider format: more
+letters, a phone's or number's extension, an address's port, more digits of a card,
+one more with each further draw, so that formats in full use end too. A secret has
+a letter or digit. A null text stays null with no entities; texts without entities
 are unchanged to the byte. Rows that repeat a doc_id are rewritten alike. Card
 numbers are those with a right check digit; other long numbers stay. Texts of any
 length are read whole. A column n_entities is replaced.
@@ -49,7 +53,7 @@ _PERSON = re.compile(rf"(?<!\w)(?P<title>{'|'.join(sorted(_GENDER, key=len, reve
 _ENTITY = re.compile(
     r"(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
     r"|(?P<access>(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9]))"
-    r"|(?P<label>\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[ \t]*[=:][ \t]*[\"']?)(?P<secret>[A-Za-z0-9+/_.~-]{6,})"
+    r"|(?P<label>\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[ \t]*[=:][ \t]*[\"']?)(?P<secret>(?=[+/_.~-]*[A-Za-z0-9])[A-Za-z0-9+/_.~-]{6,})"
     r"|(?P<phone>(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?![\w-]|\.\d))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w-]|\.\d))"
@@ -124,8 +128,29 @@ def script_of(word: str) -> str:
     return "cyrillic" if "Ѐ" <= word[0] <= "ӿ" else "greek" if "Ͱ" <= word[0] <= "Ͽ" else "latin"
 
 
+#: Draws of a structured value within its own format.
+WIDEN = 4
+
+
 def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
-    """The replacement of a value in canonical form; each attempt draws anew."""
+    """The replacement of a value in canonical form; each attempt draws anew, later ones in a wider format."""
+    new = _drawn(key, kind, value, attempt)
+    if kind.startswith("name") or attempt < WIDEN and (not attempt or new != value):
+        return new
+    n = _number(key, "wider", kind, attempt, value)
+    symbols = _DIGITS if kind in ("ip", "card", "phone", "ssn") else _UPPER if kind == "access" else _LOWER
+    more = ""
+    for _ in range(max(1, attempt - WIDEN + 1)):
+        n, d = divmod(n, len(symbols))
+        more += symbols[d]
+    if kind == "email":
+        return new.replace("@", more + "@", 1)
+    if kind == "card":
+        return next(x for d in _DIGITS if luhn(re.sub(r"\D", "", x := new[:-1] + more + d)))
+    return new + {"ip": ":", "phone": " x", "ssn": " x"}.get(kind, "") + more
+
+
+def _drawn(key: bytes, kind: str, value: str, attempt: int) -> str:
     tweak = f"{kind}|{attempt}"
     if kind == "email":
         local, _, domain = value.partition("@")
