@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsift.llm import decontaminate, language_id, mixing, simhash, surrogates
+from quillsift.llm import decontaminate, language_id, mixing, near_copies, surrogates
 from quillsift.llm.common import load, materialize
 from quillsift.llm.registry import pii_key
 
@@ -22,8 +22,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies."""
-    return simhash.deduplicate(docs)
+    """Keep one document of each group of near copies: five-word shingles alike to 0.8 or more, all such pairs."""
+    return near_copies.deduplicate(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ STAGES = [
     ("source_mixing", mix_sources),
 ]
 
-#: No SQL: learned language models and fingerprints of shingles.
+#: No SQL: learned language models and keyed surrogates.
 ORACLE_SQL = None
 
 

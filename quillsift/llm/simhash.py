@@ -234,7 +234,12 @@ def near_duplicates(docs: DataFrame, budget: int = 2, width: int = 3, leaf_rows:
 
 def deduplicate(docs: DataFrame, budget: int = 2, width: int = 3) -> DataFrame:
     """One row of each component: the one with the least id (of repeated ids, with the least hash of its text)."""
-    rows = near_duplicates(docs, budget, width).groupBy("root", "doc_id", "h").agg(F.count("*").alias("copies"))
+    return least_rows(docs, near_duplicates(docs, budget, width))
+
+
+def least_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Of ``docs``, the row with the least id of each root in ``found`` (root, doc_id, h)."""
+    rows = found.groupBy("root", "doc_id", "h").agg(F.count("*").alias("copies"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "copies")).alias("best")
     keep = materialize(rows.groupBy("root").agg(best).select(F.col("best.doc_id").alias("_d"), F.col("best.h").alias("_h"), F.col("best.copies").alias("_c")))
     mine = docs.withColumn("_t", F.xxhash64("text"))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillsift.llm import chat_format, decontaminate, language_id, line_clean, mixing, registry, rule_ensemble, simhash, suffix_dedup, surrogates, token_spans
+from quillsift.llm import chat_format, decontaminate, language_id, line_clean, mixing, near_copies, registry, rule_ensemble, simhash, suffix_dedup, surrogates, token_spans
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [(1, None, None, None, None), (2, "", "en", "a", 0), (2, "", "en", "a", 0), (None, "one two three four", "en", "b", 9), (3, "12 34 !!", "de", None, 8)]
@@ -182,3 +182,31 @@ def test_chat_layouts_of_the_query(spark, tmp_path):
     rows.withColumnRenamed("text", "body").write.parquet(f"{tmp_path}/odd/conversations.parquet")
     with pytest.raises(ValueError):
         registry.op10_chat_format(spark, f"{tmp_path}/odd")
+
+
+def test_pipeline_drops_every_near_copy(spark, odd):
+    """Groups as by brute force over five-word shingles, whatever the sample that orders them."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    base = [[f"w{rng.randrange(400)}" for _ in range(rng.randrange(20, 200))] for _ in range(12)]
+    texts, common = [], "one line that very many of these documents have in common".split()
+    for i in range(150):
+        words = list(base[i % 12]) + (common if i % 3 == 0 else [])
+        for _ in range(rng.randrange(0, 4)):
+            words[rng.randrange(len(words))] = f"e{i}"
+        texts.append(" ".join(words))
+    texts += [" ".join([*common, f"x{i}"]) for i in range(30)] + [texts[0], "a b", "A  b", "a c"]
+    sets = [set(near_copies.shingle_set(t).tolist()) for t in texts]
+    want = list(range(len(texts)))
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j]))]
+    assert sum(sets[i] != sets[j] for i, j in pairs) > 100
+    for _ in want:
+        for i, j in pairs:
+            want[i] = want[j] = min(want[i], want[j])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for sample in (0, 20_000):
+        got = near_copies.near_copies(docs, sample).groupBy("root").agg(F.min("doc_id").alias("d"), F.collect_list("doc_id").alias("all")).collect()
+        assert {i: r.d for r in got for i in r["all"]} == dict(enumerate(want))
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == sorted(set(want))
+    assert [r.doc_id for r in near_copies.deduplicate(odd).filter("doc_id < 3").collect()] == [1] and near_copies.deduplicate(odd.limit(0)).count() == 0
