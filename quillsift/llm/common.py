@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -12,9 +13,9 @@ from pyspark.sql import functions as F
 #: A word of every contract here: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows of an Arrow batch sent to a Python worker. Texts may be long, so batches
-#: are kept far below Spark's default of 10,000 rows.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch sent to a Python worker. Texts may be long, so
+#: batches are kept far below Spark's defaults.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -25,23 +26,47 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session, as one row may be megabytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bound the Arrow batches of this session in rows and bytes, as one row may be megabytes.
+
+    Results are computed lazily under the session's settings, so these bounds
+    can't be set for one operator alone. They are lowered only: smaller ones stay.
+    """
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(name, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
 
 
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only where that is unset (single-machine tests) is a folder of our own made
-    and set as the checkpoint folder.
+    Only where that is unset and everything runs on one machine (master local, as
+    in tests) is a folder of our own made and set as the checkpoint folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="quillsift-")
         spark.sparkContext.setCheckpointDir(root)
     return root
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """Write ``df`` once, dealt out by ``key`` into as many buckets as there are shuffle partitions, and read it again.
+
+    Joins by ``key`` then read it where it lies. The table is named in the
+    session's catalog and lies in the shared folder.
+    """
+    spark = df.sparkSession
+    name = f"quillsift_{uuid.uuid4().hex}"
+    path, n = f"{scratch_root(spark)}/{name}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, key).write.bucketBy(n, key).option("path", path).format("parquet").saveAsTable(name)
+    _made.append((spark, path))
+    return spark.table(name)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it again.
 

@@ -59,7 +59,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(load(spark, sf_dir, "documents"), with_kept=False)
+    return suffix_dedup.remove_repeats(load(spark, sf_dir, "documents")).drop("kept")
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

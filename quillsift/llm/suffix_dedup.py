@@ -7,26 +7,34 @@ input and never cross documents.
 Sharding by content. The least hash of the grams inside a window of ``width``
 bytes depends on the window alone, so equal windows have equal least hashes.
 Runs of neighbouring windows with one least hash are *pieces*, and pieces with
-that hash are a *class*: equal windows always meet in one class. Pieces are first
-compared as wholes, by 128-bit digests. A piece that occurs twice is removed
-whole; a class of one distinct piece that can't repeat inside itself needs no
-more. Only distinct pieces of the remaining classes, mostly the edges of
-repeated passages, are fetched and put in suffix arrays.
+that hash are a *class*: equal windows always meet in one class. Pieces equal by a
+128-bit digest are carried once, with the number of their places as a weight. A
+class of one distinct piece that can't repeat inside itself is settled by that
+number: with one place it has no repeat, with more it is one group, and the piece
+is removed whole. The pieces of all other classes are fetched and put in suffix
+arrays, whose groups repeat if their weights exceed one.
 
 Suffix arrays. Classes are packed in shards of about ``shard_bytes``. A shard's
 suffixes are sorted by Larsson-Sadakane refinement in numpy: groups of equal
 prefixes are split by the ranks of the suffixes one prefix length further on,
 and sorted groups drop out. Kasai's common prefixes (in Phi order: a value is one
 less than its predecessor's unless the bytes before differ) give the groups of
-windows that agree on ``width`` bytes. A class larger than a shard is split into
-several shards, each sorted on its own, and each pair of them is merged by binary
-search of the windows of one in the suffix array of the other. A class beyond
-``max_shards`` shards is dealt out by digests of its windows instead, grouped
-with partial counts, which is exact for a class of any size.
-
-Defined results: a null text is empty; texts shorter than ``width`` lose nothing;
-copies of a longer text lose everything. Rows that repeat a doc_id stay separate.
-Texts of any length are read whole.
+windows that agree on ``width`` bytes.
+
+Classes larger than a shard are split into several shards, each sorted on its
+own, and each pair of them is merged by binary search of the windows of one in the
+suffix array of the other. As pairs grow with the square of a class, one of more
+than ``paired`` shards is first cut anew by the least hash of another hash
+function, up to ``levels`` times, which parts windows that share a gram but not
+their surroundings; what is still large then is merged pair by pair all the same.
+
+Texts are written once, dealt out evenly by a row number and bucketed, so that the
+fetch of pieces and the removal join that table without moving the texts again.
+
+Defined results: a null text is empty, as is an empty table's result; texts shorter
+than ``width`` lose nothing; copies of a longer text lose everything. Rows that
+repeat a doc_id stay separate. Texts of any length are read whole; a piece of very
+many windows is carried in parts. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -36,13 +44,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import materialize, small_batches
+from quillsift.llm.common import bucketed, materialize, small_batches
 
 GRAM = 32
+#: Windows of a piece, at most; longer runs are carried as several pieces of one class.
+MOST_WINDOWS = 500_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
@@ -57,11 +68,12 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
+def gram_hashes(data: np.ndarray, gram: int = GRAM, seed: int = 0) -> np.ndarray:
     up, down = _power(len(data))
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(data * up, out=sums[1:])
     h = (sums[gram:] - sums[:-gram]) * down[: len(data) - gram + 1]
+    h ^= np.uint64(seed * 0xD6E8FEB86659FD93 % 2**64)
     h ^= h >> np.uint64(33)
     h *= np.uint64(0xFF51AFD7ED558CCD)
     return h ^ (h >> np.uint64(29))
@@ -79,65 +91,86 @@ def sliding_least(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
-def pieces(data: bytes, width: int) -> list[tuple[int, int, int, int, int, bool]]:
-    """(start, windows, class, digest, digest, may repeat in itself) of each run of windows with one least hash."""
+def pieces(data: bytes, width: int, seed: int = 0) -> tuple[np.ndarray, ...]:
+    """Start, windows, class, two halves of a digest, may repeat in itself: of each run of windows with one least hash."""
     arr = np.frombuffer(data, dtype=np.uint8)
     gram = min(GRAM, width)
-    h, w = gram_hashes(arr, gram), width - gram + 1
+    h, w = gram_hashes(arr, gram, seed), width - gram + 1
     least = sliding_least(h, w)
     starts = np.r_[0, np.flatnonzero(least[1:] != least[:-1]) + 1]
-    ends = np.r_[starts[1:], len(least)]
+    sizes = np.diff(np.r_[starts, len(least)])
+    if sizes.max() > MOST_WINDOWS:
+        parts = -(-sizes // MOST_WINDOWS)
+        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        starts = np.repeat(starts, parts) + nth * MOST_WINDOWS
+        sizes = np.minimum(np.repeat(sizes, parts) - nth * MOST_WINDOWS, MOST_WINDOWS)
     values, which = np.unique(least[starts], return_inverse=True)
     at = np.flatnonzero(h <= values[-1])
     slot = np.minimum(np.searchsorted(values, h[at]), len(values) - 1)
     hit = values[slot] == h[at]
     codes = np.sort(slot[hit] * (len(h) + 1) + at[hit])  # places of the least grams, by gram
     first = which * (len(h) + 1) + starts
-    twice = np.searchsorted(codes, first + (ends - starts) + w - 2, "right") - np.searchsorted(codes, first, "left") > 1
-    view = memoryview(data)
-    out = []
-    for s, e, v, two in zip(starts.tolist(), ends.tolist(), least[starts].view(np.int64).tolist(), twice.tolist(), strict=True):
-        d = xxhash.xxh3_128_digest(view[s : e - 1 + width])
-        out.append((s, e - s, v, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True), two))
-    return out
+    twice = np.searchsorted(codes, first + sizes + w - 2, "right") - np.searchsorted(codes, first, "left") > 1
+    view, digest = memoryview(data), xxhash.xxh3_128_digest
+    digests = b"".join([digest(view[a:b]) for a, b in zip(starts.tolist(), (starts + sizes + width - 1).tolist(), strict=True)])
+    d = np.frombuffer(digests, dtype="<i8").reshape(-1, 2)
+    return starts, sizes, least[starts].view(np.int64), d[:, 0], d[:, 1], twice
 
 
-def prefix_keys(data: np.ndarray) -> np.ndarray:
-    """The first 7 bytes of every suffix as one number; the end of the text sorts first."""
-    padded = np.zeros(len(data) + 6, dtype=np.uint64)
+def prefix_keys(data: np.ndarray, size: int = 7) -> np.ndarray:
+    """The first ``size`` bytes, up to 7, of every suffix as one number; the end of the text sorts first."""
+    padded = np.zeros(len(data) + size - 1, dtype=np.uint64)
     padded[: len(data)] = data
     padded[: len(data)] += np.uint64(1)
     key = np.zeros(len(data), dtype=np.uint64)
-    for k in range(7):
+    for k in range(size):
         key = key * np.uint64(257) + padded[k : k + len(data)]
     return key
 
 
-def suffix_array(data: np.ndarray, keys: np.ndarray | None = None) -> np.ndarray:
+def _packed_order(high: np.ndarray, low: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """``high`` and ``low`` (below 2**bits), sorted by high and then low, as whole numbers if they fit."""
+    if not len(high) or int(high.max()).bit_length() + bits <= 63:
+        both = (high.astype(np.int64) << bits) | low
+        both.sort()
+        return both >> bits, both & ((1 << bits) - 1)
+    by = np.argsort(high, kind="stable")
+    return high[by], low[by]
+
+
+def suffix_array(data: np.ndarray) -> np.ndarray:
     """Larsson-Sadakane: refine groups of equal prefixes by the ranks h further on, doubling h."""
     n = len(data)
     if n == 0:
         return np.zeros(0, dtype=np.int64)
-    keys = prefix_keys(data) if keys is None else keys
-    order = np.argsort(keys, kind="stable")
-    sorted_keys = keys[order]
-    new = np.r_[True, sorted_keys[1:] != sorted_keys[:-1]]
-    slots, h = np.arange(n), 7
-    group = np.maximum.accumulate(np.where(new, slots, 0))
-    rank = np.empty(n + 1, dtype=np.int64)
+    bits, h, small = n.bit_length(), 5, np.int32 if n < 2**31 - 1 else np.int64
+    sorted_keys, order = _packed_order(prefix_keys(data, h).astype(np.int64), np.arange(n), bits)
+    order = order.astype(small)
+    new = np.empty(n, dtype=bool)
+    new[0] = True
+    np.not_equal(sorted_keys[1:], sorted_keys[:-1], out=new[1:])
+    slots = np.arange(n, dtype=small)
+    group = np.maximum.accumulate(slots * new)
+    rank = np.empty(n + 1, dtype=small)
     rank[order], rank[n] = group, -1
     while True:
-        alone = new & np.r_[new[1:], True]
-        slots, group = slots[~alone], group[~alone]  # sorted groups drop out
+        shared = ~new
+        shared[:-1] |= shared[1:]  # of groups of two or more; sorted groups drop out
+        slots, group = slots[shared], group[shared]
         if not len(slots):
-            return order
-        members = order[slots]
-        further = rank[np.minimum(members + h, n)] + 1
-        by = np.argsort(group * (n + 1) + further, kind="stable")
-        members, further = members[by], further[by]
+            return order.astype(np.int64)
+        members, new = order[slots], new[shared]
+        nth = np.cumsum(new, dtype=np.int64)  # groups, numbered without gaps, need fewer bits
+        further = rank[np.minimum(members + small(min(h, n)), n)]
+        nth <<= bits
+        nth |= further + small(1)
+        by, members = _packed_order(nth, members, bits)
+        members = members.astype(small)
         order[slots] = members
-        new = np.r_[True, (group[1:] != group[:-1]) | (further[1:] != further[:-1])]
-        group = np.maximum.accumulate(np.where(new, slots, 0))
+        new = np.empty(len(by), dtype=bool)
+        new[0] = True
+        np.not_equal(by[1:], by[:-1], out=new[1:])
+        group = np.maximum.accumulate(slots * new)
         rank[members] = group
         h *= 2
 
@@ -171,22 +204,23 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, keys: np.ndarray | None
 
 
 class Shard:
-    """Windows of packed pieces, sorted."""
+    """Windows of packed pieces, sorted; weights are the places of each piece."""
 
-    def __init__(self, parts: list[bytes], width: int):
+    def __init__(self, parts: list[bytes], weights: np.ndarray, width: int):
         self.width, self.data = width, np.frombuffer(b"".join(parts), dtype=np.uint8)
         self.sizes = np.array([len(p) for p in parts], dtype=np.int64)
         self.begin = np.cumsum(self.sizes) - self.sizes
         self.keys = prefix_keys(self.data)
-        self.order = suffix_array(self.data, self.keys)
+        self.order = suffix_array(self.data)
         prefix = common_prefixes(self.data, self.order, self.keys)
         inside = np.arange(len(self.data)) - np.repeat(self.begin, self.sizes)
         self.valid = inside + width <= np.repeat(self.sizes, self.sizes)  # windows that end in their own piece
         self.group = np.cumsum(prefix < width) - 1
-        self.members = np.bincount(self.group, self.valid[self.order], self.group[-1] + 1 if len(self.group) else 0)
+        weight = np.repeat(np.asarray(weights, dtype=np.float64), self.sizes) * self.valid
+        self.members = np.bincount(self.group, weight[self.order], self.group[-1] + 1 if len(self.group) else 0)
 
     def repeated(self) -> np.ndarray:
-        """Mask of the windows that start twice in the shard."""
+        """Mask of the windows that start at two places or more."""
         out = np.zeros(len(self.data), dtype=bool)
         out[self.order] = self.members[self.group] > 1
         return out & self.valid
@@ -241,52 +275,15 @@ def _runs(mask: np.ndarray, shard: Shard, ids: pd.DataFrame) -> pd.DataFrame:
 RUN = "cls long, d1 long, d2 long, from long, to long"
 
 
-def repeated_runs(docs: DataFrame, width: int = 400, shard_bytes: int = 4_000_000, max_shards: int = 6) -> DataFrame:
-    """(k1, k2, spans): the repeated bytes of each distinct text, as pairs of first and past-the-last offset.
-
-    ``docs`` holds doc_id, k1, k2 (hashes of the text) and raw (its bytes).
-    """
+def _sort_packed(parts: DataFrame, width: int, shard_bytes: int) -> DataFrame:
+    """Whole classes, packed in shards, each in one suffix array."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["start", "n", "cls", "d1", "d2", "multi"]
-        for pdf in batches:
-            rows, who = [], []
-            for k, raw in enumerate(pdf["raw"]):
-                found = pieces(raw, width)
-                rows += found
-                who += [k] * len(found)
-                if len(rows) > 100_000 or (k == len(pdf) - 1 and rows):
-                    yield pd.concat([pdf[["doc_id", "k1", "k2"]].iloc[who].reset_index(drop=True).astype({"doc_id": "Int64"}), pd.DataFrame(rows, columns=names)], axis=1)
-                    rows, who = [], []
-
-    long = docs.filter(F.length("raw") >= width)
-    made = materialize(long.select("doc_id", "k1", "k2", "raw").mapInPandas(cut, "doc_id long, k1 long, k2 long, start long, n long, cls long, d1 long, d2 long, multi boolean"))
-    ref = F.min(F.struct("doc_id", "k1", "k2", "start", "n")).alias("ref")
-    known = materialize(made.groupBy("cls", "d1", "d2").agg(F.count("*").alias("c"), F.max("multi").alias("multi"), ref))
-    size = F.col("ref.n") + (width - 1)
-    kinds = known.groupBy("cls").agg(F.count("*").alias("p"), F.max("multi").alias("any"), F.sum(size).alias("bytes"))
-    kinds = kinds.filter("p > 1 OR any").withColumn("shards", F.ceil(F.col("bytes") / shard_bytes)).select("cls", "shards")
-    fetch = known.join(kinds, "cls").select("cls", "d1", "d2", "c", "shards", "ref.*")
-    one = docs.select("k1", "k2", "raw", F.col("doc_id").alias("_d"))
-    wanted = fetch.groupBy("k1", "k2", "doc_id").agg(F.collect_list(F.struct("cls", "d1", "d2", "c", "shards", "start", "n")).alias("refs"))
-    held = one.join(wanted, (one.k1 == wanted.k1) & (one.k2 == wanted.k2) & one["_d"].eqNullSafe(wanted.doc_id)).select("raw", "refs")
-
-    def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for raw, refs in zip(pdf["raw"], pdf["refs"], strict=True):
-                rows = [(r["cls"], r["d1"], r["d2"], r["c"], r["shards"], raw[r["start"] : r["start"] + r["n"] + width - 1]) for r in refs]
-                yield pd.DataFrame(rows, columns=["cls", "d1", "d2", "c", "shards", "piece"])
-
-    parts = held.mapInPandas(slices, "cls long, d1 long, d2 long, c long, shards long, piece binary")
-    parts = materialize(parts.dropDuplicates(["cls", "d1", "d2"]))
-
-    def sort_packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Whole classes, packed in shards, each in one suffix array."""
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
 
         def flush(frame: pd.DataFrame) -> pd.DataFrame:
-            shard = Shard(list(frame["piece"]), width)
-            return _runs(shard.repeated() & np.repeat(frame["c"].to_numpy() == 1, shard.sizes), shard, frame)
+            shard = Shard(list(frame["piece"]), frame["c"].to_numpy(), width)
+            return _runs(shard.repeated(), shard, frame)
 
         for pdf in batches:
             held.append(pdf)
@@ -301,36 +298,119 @@ def repeated_runs(docs: DataFrame, width: int = 400, shard_bytes: int = 4_000_00
         if held:
             yield flush(pd.concat(held, ignore_index=True))
 
+    return parts.repartition("cls").sortWithinPartitions("cls").mapInPandas(packed, RUN)
+
+
+def _merge_pairs(parts: DataFrame, width: int) -> DataFrame:
+    """Classes of several shards: every shard by itself, and every two of one class merged."""
+
     def merge_pair(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        """Two shards of one class: what each repeats of the other; a shard with itself: what it repeats."""
         sides = [pdf[pdf["side"] == s].reset_index(drop=True) for s in (0, 1)]
-        shards = [Shard(list(s["piece"]), width) for s in sides if len(s)]
+        shards = [Shard(list(s["piece"]), s["c"].to_numpy(), width) for s in sides if len(s)]
         if key[1] == key[2]:
             return _runs(shards[0].repeated(), shards[0], sides[0])
         if len(shards) < 2:
             return pd.DataFrame(columns=["cls", "d1", "d2", "from", "to"])
         return pd.concat([_runs(shards[i].found_in(shards[1 - i]), shards[i], sides[i]) for i in (0, 1)])
 
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for cls, d1, d2, piece in zip(pdf["cls"], pdf["d1"], pdf["d2"], pdf["piece"], strict=True):
-                view = memoryview(piece)
-                ds = [xxhash.xxh3_128_digest(view[k : k + width]) for k in range(len(piece) - width + 1)]
-                yield pd.DataFrame({"cls": cls, "d1": d1, "d2": d2, "from": np.arange(len(ds)), "digest": ds})
-
-    cols = ["cls", "d1", "d2", "c", "piece"]
-    packed = parts.filter("shards <= 1").select(cols).repartition("cls").sortWithinPartitions("cls").mapInPandas(sort_packed, RUN)
-    own = F.pmod("d1", "shards")
     pairs = F.expr("transform(sequence(0L, shards - 1), x -> struct(least(x, i) AS a, greatest(x, i) AS b, int(x < i) AS side))")
-    large = parts.filter((F.col("shards") > 1) & (F.col("shards") <= max_shards)).withColumn("i", own).withColumn("_p", F.explode(pairs))
-    merged = large.select(*cols, "_p.*").groupBy("cls", "a", "b").applyInPandas(merge_pair, RUN)
-    each = parts.filter(F.col("shards") > max_shards).select(cols).mapInPandas(windows, "cls long, d1 long, d2 long, from long, digest binary")
-    again = each.groupBy("cls", "digest").agg(F.count("*").alias("_n")).filter("_n > 1")
-    spread = each.join(again, ["cls", "digest"]).select("cls", "d1", "d2", "from", (F.col("from") + width).alias("to"))
-    whole = known.filter("c > 1").select("cls", "d1", "d2", F.lit(0).cast("long").alias("from"), size.alias("to"))
-    runs = whole.unionAll(packed).unionAll(merged).unionAll(spread)
-    spans = made.join(runs, ["cls", "d1", "d2"]).select("k1", "k2", (F.col("start") + F.col("from")).alias("a"), (F.col("start") + F.col("to")).alias("b"))
-    return spans.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    dealt = parts.withColumn("i", F.pmod("d1", "shards")).withColumn("_p", F.explode(pairs))
+    return dealt.select("cls", "d1", "d2", "c", "piece", "_p.*").groupBy("cls", "a", "b").applyInPandas(merge_pair, RUN)
+
+
+def _open_classes(known: DataFrame, size: Column, shard_bytes: int) -> DataFrame:
+    """cls and its number of shards, of the classes that need a suffix array; known: distinct pieces with places c and multi."""
+    kinds = known.groupBy("cls").agg(F.count("*").alias("p"), F.max("multi").alias("any"), F.sum(size).alias("bytes"))
+    return kinds.filter("p > 1 OR any").select("cls", F.ceil(F.col("bytes") / shard_bytes).alias("shards"))
+
+
+def _whole(known: DataFrame, size: Column) -> DataFrame:
+    """Runs of the pieces that have several places: all of each."""
+    return known.filter("c > 1").select("cls", "d1", "d2", F.lit(0).cast("long").alias("from"), size.cast("long").alias("to"))
+
+
+def _cut_table(rows: list[tuple[np.ndarray, ...]], who: list[int], ids: pa.RecordBatch, more: dict[str, pa.Array] | None = None) -> pa.RecordBatch:
+    """pieces() of several texts, with the columns ``ids`` of the row that each belongs to."""
+    start, n, cls, d1, d2, multi = (np.concatenate(x) for x in zip(*rows, strict=True))
+    at = pa.array(np.repeat(who, [len(r[0]) for r in rows]))
+    named = {"start": start, "n": n, "cls": cls, "d1": d1, "d2": d2}
+    cols = {k: ids.column(k).take(at) for k in ids.schema.names} | {k: pa.array(v.astype(np.int64)) for k, v in named.items()}
+    return pa.RecordBatch.from_pydict(cols | {"multi": pa.array(multi)} | (more or {}))
+
+
+def _recut(parts: DataFrame, width: int, shard_bytes: int, paired: int, level: int, levels: int) -> DataFrame:
+    """Runs of large classes by classes of their pieces' windows under another hash."""
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = pa.RecordBatch.from_pydict({"p0": batch.column("cls"), "p1": batch.column("d1"), "p2": batch.column("d2"), "c": batch.column("c")})
+            for k, raw in enumerate(batch.column("piece").to_pylist()):
+                cut = pieces(raw, width, level)
+                parts_ = pa.array([raw[a : a + n + width - 1] for a, n in zip(cut[0].tolist(), cut[1].tolist(), strict=True)], pa.binary())
+                yield _cut_table([cut], [k], ids, {"piece": parts_})
+
+    schema = "p0 long, p1 long, p2 long, c long, start long, n long, cls long, d1 long, d2 long, multi boolean, piece binary"
+    made = materialize(parts.select("cls", "d1", "d2", "c", "piece").mapInArrow(again, schema))
+    known = materialize(made.groupBy("cls", "d1", "d2").agg(F.sum("c").alias("c"), F.max("multi").alias("multi"), F.first("piece").alias("piece")))
+    kinds = materialize(_open_classes(known, F.length("piece"), shard_bytes))
+    found = resolved(known.join(kinds, "cls").drop("multi"), kinds, width, shard_bytes, paired, level, levels)
+    found = found.unionAll(_whole(known, F.length("piece")))
+    here = made.select("p0", "p1", "p2", "start", "cls", "d1", "d2").join(materialize(found), ["cls", "d1", "d2"])
+    return here.select(F.col("p0").alias("cls"), F.col("p1").alias("d1"), F.col("p2").alias("d2"), (F.col("start") + F.col("from")).alias("from"), (F.col("start") + F.col("to")).alias("to"))
+
+
+def resolved(parts: DataFrame, kinds: DataFrame, width: int, shard_bytes: int, paired: int, level: int = 0, levels: int = 4) -> DataFrame:
+    """Repeated runs of the pieces ``parts`` (cls, d1, d2, c, shards, piece) of the classes ``kinds`` (cls, shards)."""
+    parts = materialize(parts)
+    paired = paired if level < levels else 2**62
+    runs = _sort_packed(parts.filter("shards <= 1").select("cls", "d1", "d2", "c", "piece"), width, shard_bytes)
+    runs = runs.unionAll(_merge_pairs(parts.filter((F.col("shards") > 1) & (F.col("shards") <= paired)), width))
+    if not kinds.filter(F.col("shards") > paired).isEmpty():
+        runs = runs.unionAll(_recut(parts.filter(F.col("shards") > paired), width, shard_bytes, paired, level + 1, levels))
+    return runs
+
+
+def repeated_runs(texts: DataFrame, width: int = 400, shard_bytes: int = 1_400_000, paired: int = 4) -> DataFrame:
+    """(rid, spans): the repeated bytes of each row, as pairs of first and past-the-last offset.
+
+    ``texts`` holds rid (unique) and raw (``width`` bytes or more), and is read twice.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, who, n = [], [], 0
+            for k, raw in enumerate(batch.column("raw")):
+                rows.append(pieces(raw.as_buffer(), width))
+                who.append(k)
+                n += len(rows[-1][0])
+                if n > 100_000 or k == batch.num_rows - 1:
+                    yield _cut_table(rows, who, batch.select(["rid"]))
+                    rows, who, n = [], [], 0
+
+    made = materialize(texts.select("rid", "raw").mapInArrow(cut, "rid long, start long, n long, cls long, d1 long, d2 long, multi boolean"))
+    place = [F.first(x).alias(x) for x in ("rid", "start", "n")]  # of one and the same row
+    known = materialize(made.groupBy("cls", "d1", "d2").agg(F.count("*").alias("c"), F.max("multi").alias("multi"), *place))
+    kinds = materialize(_open_classes(known, F.col("n") + (width - 1), shard_bytes))
+    fetch = known.join(kinds, "cls")
+    refs = fetch.groupBy("rid").agg(F.collect_list(F.struct("cls", "d1", "d2", "c", "shards", "start", "n")).alias("refs"))
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [f.name for f in batch.column("refs").type.value_type]
+            for raw, mine in zip(batch.column("raw"), batch.column("refs"), strict=True):
+                raw, own = raw.as_py(), mine.values
+                field = {k: own.field(i) for i, k in enumerate(names)}
+                at, n = field["start"].to_numpy().tolist(), field["n"].to_numpy().tolist()
+                for lo in range(0, len(at), 10_000):
+                    hi = min(lo + 10_000, len(at))
+                    parts = pa.array([raw[a : a + k + width - 1] for a, k in zip(at[lo:hi], n[lo:hi], strict=True)], pa.binary())
+                    yield pa.RecordBatch.from_pydict({k: field[k].slice(lo, hi - lo) for k in ("cls", "d1", "d2", "c", "shards")} | {"piece": parts})
+
+    parts = texts.select("rid", "raw").join(refs, "rid").select("raw", "refs").mapInArrow(slices, "cls long, d1 long, d2 long, c long, shards long, piece binary")
+    runs = resolved(parts, kinds, width, shard_bytes, paired).unionAll(_whole(known, F.col("n") + (width - 1)))
+    runs = materialize(runs.groupBy("cls", "d1", "d2").agg(F.collect_set(F.struct("from", "to")).alias("runs")))
+    moved = F.transform("runs", lambda r: F.struct((F.col("start") + r["from"]).alias("a"), (F.col("start") + r["to"]).alias("b")))
+    return made.select("rid", "start", "cls", "d1", "d2").join(runs, ["cls", "d1", "d2"]).groupBy("rid").agg(F.flatten(F.collect_list(moved)).alias("spans"))
 
 
 def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -344,22 +424,32 @@ def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, width: int = 400, shard_bytes: int = 4_000_000, max_shards: int = 6, with_kept: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and (on request) kept, the remaining bytes, of every row."""
-    small_batches(docs.sparkSession)
-    text = F.coalesce("text", F.lit(""))
-    keyed = docs.select("doc_id", text.cast("binary").alias("raw"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"))
-    found = keyed.join(repeated_runs(keyed, width, shard_bytes, max_shards), ["k1", "k2"], "left").select("doc_id", "raw", "spans")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept
+def remove_repeats(docs: DataFrame, width: int = 400, shard_bytes: int = 1_400_000, paired: int = 4) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes) and text of every row.
 
-    def drop(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for doc_id, raw, spans in zip(pdf["doc_id"], pdf["raw"], pdf["spans"], strict=True):
-                cuts = merged_spans([(s["a"], s["b"]) for s in spans]) if spans is not None else []
-                edges = [0, *(x for cut in cuts for x in cut), len(raw)]
-                kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                rows.append((doc_id, len(raw), len(raw) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest(), *[kept] * with_kept))
-            yield pd.DataFrame(rows, columns=[f.split()[0] for f in schema.split(", ")]).astype({"doc_id": "Int64"})
-
-    return found.mapInPandas(drop, schema)
+    ``text`` is ``kept`` as a string; a character cut in two by a removal is U+FFFD in it.
+    """
+    small_batches(docs.sparkSession)
+    raw = F.coalesce("text", F.lit("")).cast("binary")
+    keyed = docs.select("doc_id", raw.alias("raw"))
+    numbered = keyed.filter(F.length("raw") >= width).withColumn("rid", F.monotonically_increasing_id())
+    texts = bucketed(numbered, "rid")
+    found = texts.join(repeated_runs(texts, width, shard_bytes, paired), "rid", "left")
+
+    @F.pandas_udf("n_removed long, n_spans long, kept_sha256 string, kept binary, text string")
+    def drop(raws: pd.Series, spans: pd.Series) -> pd.DataFrame:
+        rows = []
+        for raw, own in zip(raws, spans, strict=True):
+            cuts = merged_spans([(s["a"], s["b"]) for s in own]) if own is not None else []
+            edges = [0, *(x for cut in cuts for x in cut), len(raw)]
+            kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if cuts else raw
+            rows.append((len(raw) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest(), kept, kept.decode("utf-8", "replace")))
+        return pd.DataFrame(rows, columns=["n_removed", "n_spans", "kept_sha256", "kept", "text"])
+
+    cut = found.withColumn("_r", drop("raw", "spans")).select("doc_id", F.length("raw").cast("long").alias("n_bytes"), "_r.*")
+    none = F.lit(0).cast("long")
+    short = keyed.filter(F.length("raw") < width).select(
+        "doc_id", F.length("raw").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"),
+        F.sha2("raw", 256).alias("kept_sha256"), F.col("raw").alias("kept"), F.col("raw").cast("string").alias("text"),
+    )
+    return short.unionByName(cut)

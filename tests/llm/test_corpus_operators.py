@@ -149,7 +149,7 @@ def test_suffix_dedup(spark):
     rows += [(100, None), (101, ""), (102, rows[3][1]), (103, "q" * 500)]
     want = list(repeats([(t or "").encode() for _, t in rows], 40))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for sizes in ({}, {"shard_bytes": 600, "max_shards": 50}, {"shard_bytes": 300, "max_shards": 1}):
+    for sizes in ({}, {"shard_bytes": 600, "paired": 50}, {"shard_bytes": 300, "paired": 2}):
         got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(df, width=40, **sizes).collect()}
         assert [got[i] for i, _ in rows] == want
 
