@@ -54,9 +54,13 @@ def action(level: Column, policy: dict[str, str] | None = None) -> Column:
     return _cases([(level == r, a) for r, a in (POLICY if policy is None else policy).items()], F.lit("mask"))
 
 
-def source_detail(sources: Column) -> Column:
+# What is said of a region's sources; a visual region's kind tells it apart.
+VISUAL_DETAILS = {"face": "Face (Visual)", "qr_code": "Visual", "signature": "Signature (Visual)"}
+DETAILS = {"rule + privacy_filter": "Text (OCR + Model + Rule)", "privacy_filter": "Text (OCR + Model)", "rule": "Text (OCR + Rule)", "": "Text (OCR)"}
+
+
+def source_detail(kind: Column, sources: Column) -> Column:
     has = lambda s: F.array_contains(sources, s)
-    return (
-        F.when(has("visual"), "Face/Visual/Signature").when(has("rule") & has("privacy_filter"), "Rule + Model")
-        .when(has("privacy_filter"), "Model").when(has("rule"), "Rule").otherwise("OCR")
-    )
+    seen = _cases([(kind == k, d) for k, d in VISUAL_DETAILS.items()], F.lit("Visual"))
+    read = F.when(has("rule") & has("privacy_filter"), DETAILS["rule + privacy_filter"]).when(has("privacy_filter"), DETAILS["privacy_filter"])
+    return F.when(has("visual"), seen).otherwise(read.when(has("rule"), DETAILS["rule"]).otherwise(DETAILS[""]))

@@ -1,8 +1,12 @@
 """Rule detectors: lines of words to detections.
 
-Each detector works on a line's array of words, so no detector shuffles; a line
-is left out before its words are unnested if it can't have a hit. The vertical
+Each detector works on a line's array of words, so no detector shuffles. One
+regular expression on the whole line, of all the detectors asked for, leaves out
+the lines that can't have a hit before they are split into words. The vertical
 search of labels above values is the only join, within a document.
+
+A doc_id names one document: hits, lines and boxes are joined by it, so rows that
+repeat one would be taken for one text. Callers number such rows first.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from quillsift.functions import entity
 from quillsift.functions import patterns as P
 from quillsift.sources import tables
 
+
 def _first_label(pattern: str) -> Column:
     """Index of the first label on the line, or null."""
     at = F.array_position(F.transform("ws", lambda w: w.rlike(pattern)), True)
@@ -87,6 +92,24 @@ def rules(unicode_labels: bool = False) -> dict[str, Rule]:
     }
 
 
+def gates(unicode_labels: bool = False) -> dict[str, str]:
+    """For each detector, an expression that every line with a hit matches as a whole."""
+    more = P.HINDI_LABELS if unicode_labels else {}
+    labels = {"roll": P.ROLL_LABEL, "registration": P.REGISTRATION_LABEL, "centre": P.CENTRE_LABEL, "name": P.NAME_LABEL}
+    label = {k: P.edged(v, more.get(k)) for k, v in labels.items()}
+    return {
+        "email": "@", "phone": r"[6-9](?:[()\-]*\d){9}", "pan": r"\d{4}", "aadhaar": r"\d{4}", "ifsc": "0", "gstin": r"\d{4}",
+        "account": P.edged(P.ACCOUNT_CONTEXT), "roll": label["roll"], "registration": label["registration"], "centre": label["centre"],
+        "secret": rf"{P.UUID}|eyJ|(?i:{P.SECRET_CONTEXT})", "card": r"\d(?:-*\d){12}", "customer_id": P.edged(P.CUSTOMER_LABEL), "names": label["name"],
+    }
+
+
+def may_hit(names: tuple[str, ...], unicode_labels: bool = False) -> Column:
+    """Whether a line can have a hit of any of the detectors: one search for all of them."""
+    known = gates(unicode_labels)
+    return F.col("line").rlike("|".join(f"(?:{g})" for g in dict.fromkeys(known[n] for n in names)))
+
+
 #: The order in which detectors run; later ones see what earlier ones found.
 ORDER = ("email", "email_joined", "phone", "pan", "aadhaar", "ifsc", "gstin", "account", "roll", "registration", "centre", "secret", "card", "customer_id", "names", "address")
 
@@ -99,7 +122,7 @@ def detect_many(lined: DataFrame, names: tuple[str, ...], unicode_labels: bool =
     near = F.transform("ws", lambda w, i: F.struct(
         i.cast("long").alias("wi"), w.alias("word"), *(F.coalesce(F.get("ws", i + k), F.lit("")).alias(c) for k, c in ((-1, "prev"), (1, "n1"), (2, "n2"))),
     ))
-    cells = lined.filter(F.size("ws") > 0).withColumns(facts).select("doc_id", "ln", *facts, F.inline(near))
+    cells = lined.filter(may_hit(names, unicode_labels)).filter(F.size("ws") > 0).withColumns(facts).select("doc_id", "ln", *facts, F.inline(near))
     hits = []
     for n, r in chosen.items():
         length = F.lit(1) if r.length is None else r.length
@@ -121,10 +144,10 @@ def detect(lined: DataFrame, name: str, unicode_labels: bool = False) -> DataFra
 
 def detect_email_joined(lined: DataFrame) -> DataFrame:
     """Mail addresses split over words of a line: the words that take part, first to last."""
-    glued = lined.filter(F.exists("ws", lambda w: F.contains(w, F.lit("@")))).withColumn("m", F.explode(F.regexp_extract_all(F.array_join("ws", ""), F.lit(P.EMAIL), F.lit(0))))
+    glued = lined.filter(F.contains("line", F.lit("@"))).withColumn("m", F.explode(F.regexp_extract_all(F.array_join("ws", ""), F.lit(P.EMAIL), F.lit(0))))
     part = F.filter(F.transform("ws", lambda w, i: F.struct(i.cast("long").alias("i"), F.contains(F.col("m"), F.regexp_replace(w, "[@.]", "")).alias("ok"))), lambda x: x["ok"])
     hits = glued.withColumn("part", part).filter(F.size("part") >= 2)
-    wi, wi_to = F.element_at("part", 1)["i"], F.element_at("part", -1)["i"]
+    wi, wi_to = F.try_element_at("part", F.lit(1))["i"], F.try_element_at("part", F.lit(-1))["i"]
     return hits.select(
         "doc_id", "ln", wi.alias("wi"), wi_to.alias("wi_to"), F.lit("private_email").alias("type"), F.lit(0.98).alias("confidence"),
         F.array_join(F.transform("part", lambda x: F.get("ws", x["i"].cast("int"))), " ").alias("text"),
@@ -156,12 +179,12 @@ def detect_address(lined: DataFrame) -> DataFrame:
     )
     hits = line.filter(own | going).withColumn("taken", taken).filter(F.size("taken") > 0)
     return hits.select(
-        "doc_id", "ln", F.element_at("taken", 1)["i"].alias("wi"), F.element_at("taken", -1)["i"].alias("wi_to"), F.lit("private_address").alias("type"),
+        "doc_id", "ln", F.try_element_at("taken", F.lit(1))["i"].alias("wi"), F.try_element_at("taken", F.lit(-1))["i"].alias("wi_to"), F.lit("private_address").alias("type"),
         F.when(own, 0.96).otherwise(0.95).alias("confidence"), F.array_join(F.transform("taken", lambda x: x["w"]), " ").alias("text"),
     )
 
 
-#: Label, value test, furthest distance of the middles, type and confidence of each vertical search.
+#: Label, value test, furthest distance of the middles, type and confidence of each vertical search; fixed values.
 VERTICAL: dict[str, tuple[str, Callable[[Column], Column], int, str, float]] = {
     "roll": (P.ROLL_LABEL, lambda w: P.between(P.digits(w), 6, 12), 55, "roll_number", 0.98),
     "registration": (P.REGISTRATION_LABEL, lambda w: w.rlike(r"[A-Za-z0-9]{2,}\/[0-9]{4,}") | w.rlike(r"^[A-Za-z0-9]{5,14}$"), 55, "id_number", 0.97),

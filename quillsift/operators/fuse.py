@@ -32,21 +32,25 @@ def _touch(a: list[float], b: list[float], kind: str) -> bool:
 
 
 def _compatible(a: str, sa: str, b: str, sb: str) -> bool:
-    return a == b or {a, b} == {"secret", "token"} or (sa == "visual" and sb == "visual") or "unknown" in (a, b)
+    return a == b or {a, b} == {"secret", "token"} or (sa == "visual" and sb == "visual")
 
 
 def fuse_rows(frame: pd.DataFrame) -> list[tuple]:
-    """(type, sources, confidence, box, number merged) of regions in the order of their bases."""
+    """(type, sources, confidence, box, number merged) of regions in the order of their bases.
+
+    What may join a base is judged by the base's own type, even where the region
+    has taken a more specific one from a member.
+    """
     rows = frame.sort_values(["confidence", "arrival"], ascending=[False, True], kind="stable")
     items = list(zip(rows["type"], rows["source"], rows["confidence"], rows[["x0", "y0", "x1", "y1"]].to_numpy().tolist(), strict=True))
     used, out = [False] * len(items), []
-    for i, (kind, source, confidence, at) in enumerate(items):
+    for i, (base, source, confidence, at) in enumerate(items):
         if used[i]:
             continue
-        at, sources, n = list(at), [source], 1
+        kind, at, sources, n = base, list(at), [source], 1
         for j in range(i + 1, len(items)):
             k2, s2, c2, b2 = items[j]
-            if not used[j] and _compatible(kind, source, k2, s2) and _touch(at, b2, kind):
+            if not used[j] and _compatible(base, source, k2, s2) and _touch(at, b2, base):
                 used[j], n = True, n + 1
                 at = [min(at[0], b2[0]), min(at[1], b2[1]), max(at[2], b2[2]), max(at[3], b2[3])]
                 sources += [s2] * (s2 not in sources)
@@ -56,6 +60,16 @@ def fuse_rows(frame: pd.DataFrame) -> list[tuple]:
     return out
 
 
+#: The order of detections of equal confidence: by source, then as each source found them.
+SOURCES = ("privacy_filter", "rule", "visual")
+
+
+def arrived(detections: DataFrame, *order: str) -> DataFrame:
+    """Add ``arrival``, the place of each detection in its frame: by source, then by ``order``."""
+    place = F.array_position(F.array(*map(F.lit, SOURCES)), F.col("source"))
+    return detections.withColumn("arrival", F.row_number().over(Window.partitionBy("doc_id").orderBy(place, *order)).cast("long"))
+
+
 def fuse(detections: DataFrame, policy: dict[str, str] | None = None) -> DataFrame:
     """Fused regions of detections (doc_id, arrival, type, source, confidence, x0..y1), with tag, risk, token, action and rank."""
 
@@ -69,5 +83,5 @@ def fuse(detections: DataFrame, policy: dict[str, str] | None = None) -> DataFra
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy(entity.rank(F.col("risk")), "y0", "seq"))
     return out.withColumns({
         "id": F.concat(F.lit("fused-"), "seq"), "token": F.concat(F.lit("<"), "tag", F.lit("_0"), "seq", F.lit(">")),
-        "action": entity.action(F.col("risk"), policy), "detail": entity.source_detail(F.col("sources")), "place": place.cast("long"),
+        "action": entity.action(F.col("risk"), policy), "detail": entity.source_detail(F.col("type"), F.col("sources")), "place": place.cast("long"),
     })

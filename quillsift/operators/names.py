@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -45,54 +46,72 @@ def _same(a: str, b: str) -> bool:
     return a == b or (min(len(a), len(b)) >= 3 and (a.startswith(b) or b.startswith(a)))
 
 
+# Words of one line start no further apart than LINE; boxes nearer than SAME on all sides are one.
+LINE, SAME = 22, 5
+
+
 def align_rows(words: pd.DataFrame, spans: pd.DataFrame) -> list[tuple]:
-    """Boxes of every occurrence of each span in one document's words, split where it goes on to another line."""
+    """(type, text, confidence, box, first and last word) of every occurrence of each span, split where it goes on to another line.
+
+    ``words`` of one document in reading order; first and last are places in it.
+    """
     plain = [_clean(w) for w in words["word"]]
     box = words[["x0", "y0", "x1", "y1"]].to_numpy()
     out: list[tuple] = []
-
-    def add(kind: str, text: str, confidence: float, at: list[int]) -> None:
-        start = 0
-        for k in range(1, len(at) + 1):
-            if k == len(at) or abs(box[at[k]][1] - box[at[k - 1]][1]) >= 22 or (box[at[k]][1] != box[at[start]][1] and abs(box[at[k]][1] - box[at[start]][1]) >= 22):
-                part = box[at[start:k]]
-                b = (*part[:, :2].min(axis=0), *part[:, 2:].max(axis=0))
-                if not any(o[0] == kind and all(abs(x - y) <= 5 for x, y in zip(o[3:], b, strict=True)) for o in out):
-                    out.append((kind, text, confidence, *map(float, b)))
+    seen: dict[str, dict] = {}
+
+    def add(kind: str, text: str, confidence: float, first: int, last: int) -> None:
+        start = first
+        for k in range(first + 1, last + 2):
+            if k > last or abs(box[k][1] - box[start][1]) >= LINE:
+                part = box[start:k]
+                b = tuple(map(float, (*part[:, :2].min(axis=0), *part[:, 2:].max(axis=0))))
+                cell = tuple(int(x // SAME) for x in b)
+                near = seen.setdefault(kind, {})
+                around = (o for c in itertools.product(*((x - 1, x, x + 1) for x in cell)) for o in near.get(c, ()))
+                if not any(all(abs(x - y) < SAME for x, y in zip(o, b, strict=True)) for o in around):
+                    near.setdefault(cell, []).append(b)
+                    out.append((kind, text, confidence, *b, start, k - 1))
                 start = k
 
+    starts: dict[str, list[int]] = {}  # words by their first three letters, which are all that a match may rest on
+    for i, p in enumerate(plain):
+        starts.setdefault(p[:3], []).append(i)
     for kind, text, confidence in zip(spans["type"], spans["text"], spans["confidence"], strict=True):
         tokens = [t for t in map(_clean, text.split()) if t]
         n, hit = len(tokens), False
-        for i in range(len(plain) - n + 1 if n else 0):
-            if all(_same(plain[i + k], tokens[k]) for k in range(n)):
-                add(kind, text, confidence, list(range(i, i + n)))
+        for i in starts.get(tokens[0][:3], ()) if n else ():
+            if i + n <= len(plain) and all(_same(plain[i + k], tokens[k]) for k in range(n)):
+                add(kind, text, confidence, i, i + n - 1)
                 hit = True
         glued = "".join(tokens)
         if not hit and len(glued) >= 4:
             for i, p in enumerate(plain):
                 if p == glued or (len(p) >= 6 and glued in p):
-                    add(kind, text, confidence, [i])
+                    add(kind, text, confidence, i, i)
                     hit = True
-        if not hit:
-            for t in (t for t in tokens if len(t) >= 3):
-                for i, p in enumerate(plain):
-                    if p == t or (len(t) >= 4 and t in p):
-                        add(kind, text, confidence, [i])
+        if not hit and n == 1 and len(glued) >= 3:
+            for i, p in enumerate(plain):
+                if p == glued or (len(glued) >= 4 and glued in p):
+                    add(kind, text, confidence, i, i)
     return out
 
 
-ALIGNED = "doc_id long, type string, text string, confidence double, x0 double, y0 double, x1 double, y1 double"
+ALIGNED = "doc_id long, type string, text string, confidence double, x0 double, y0 double, x1 double, y1 double, words array<struct<ln: bigint, wi: bigint>>"
 
 
 def align(spans: DataFrame, boxed: DataFrame) -> DataFrame:
-    """Place spans (doc_id, type, text, confidence) on the words of their documents."""
+    """Place spans (doc_id, type, text, confidence) on the words of their documents; ``words`` are those of each box."""
 
     def placed(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = align_rows(right.sort_values(["ln", "wi"]), left.sort_values(["type", "text"])) if len(left) else []
-        return pd.DataFrame([(key[0], *r) for r in rows], columns=[c.split()[0] for c in ALIGNED.split(", ")])
+        right = right.sort_values(["ln", "wi"])
+        where = list(zip(right["ln"].tolist(), right["wi"].tolist(), strict=True))
+        rows = align_rows(right, left.sort_values(["type", "text"])) if len(left) else []
+        made = [(key[0], *r[:-2], [{"ln": a, "wi": b} for a, b in where[r[-2] : r[-1] + 1]]) for r in rows]
+        return pd.DataFrame(made, columns=["doc_id", "type", "text", "confidence", "x0", "y0", "x1", "y1", "words"])
 
     mine = boxed.join(spans.select("doc_id").distinct(), "doc_id", "left_semi")  # documents without spans stay away from Python
+    mine = mine.select(*(F.col(c).alias(c) for c in mine.columns))  # both sides may come of one table
     return spans.groupBy("doc_id").cogroup(mine.groupBy("doc_id")).applyInPandas(placed, ALIGNED)
 
 
@@ -107,25 +126,62 @@ def align_exact(spans: DataFrame, boxed: DataFrame) -> DataFrame:
     return met.select("doc_id", "text", "ln", F.col("i").cast("long").alias("wi"), (F.col("i") + F.size("ts") - 1).cast("long").alias("wi_to"))
 
 
-def decode_spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Coalesce neighbouring tokens of one label (doc_id, pos, label, token), sorted by document and place.
+#: Confidence of a decoded span, a fixed value.
+DECODED = 0.95
+SPAN = "doc_id long, label string, text string, confidence double, pos long, pos_to long"
+
+
+def _spans_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Runs of labelled tokens as spans; a document may go on in the next batch."""
+    now: list | None = None
+    rows: list[tuple] = []
+
+    def close() -> None:
+        nonlocal now
+        if now is not None:
+            text = " ".join(now[2]).strip()
+            if len(text) > 1:
+                rows.append((now[0], now[1], text, DECODED, now[3], now[4]))
+        now = None
 
-    Labels carry BIOES prefixes; ``E-`` closes a span, ``O`` is none.
-    """
     for pdf in batches:
-        rows, now = [], None
-        for doc, label, token in zip(pdf["doc_id"], pdf["label"], pdf["token"], strict=True):
-            prefix, _, kind = label.partition("-")
-            if label == "O" or now is None or now[0] != doc or now[1] != kind or prefix in "BS":
-                if now and len(now[2]) > 1:
-                    rows.append(tuple(now))
-                now = None if label == "O" else [doc, kind, token]
+        for doc, pos, label, token in zip(pdf["doc_id"], pdf["pos"], pdf["label"], pdf["token"], strict=True):
+            token = (token or "").strip()
+            special = (token.startswith("[") and token.endswith("]")) or token in ("<s>", "</s>")
+            if now is not None and now[0] != doc:
+                close()
+            if not label or label == "O" or not token or special:
+                close()
+                continue
+            prefix, kind = (label[0].upper(), label[2:].lower()) if re.match(r"[BIESLbiesl]-", label) else ("", label.lower())
+            if now is not None and (prefix in ("I", "E", "S", "L") or now[1] == kind):
+                now[2].append(token)
+                now[4] = pos
             else:
-                now[2] += token
-            if now and prefix in "ES":
-                if len(now[2]) > 1:
-                    rows.append(tuple(now))
-                now = None
-        if now and len(now[2]) > 1:
-            rows.append(tuple(now))
-        yield pd.DataFrame(rows, columns=["doc_id", "label", "text"])
+                close()
+                now = [doc, kind, [token], pos, pos]
+            if prefix == "E":
+                close()
+        if rows:
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SPAN.split(", ")])
+            rows.clear()
+    close()
+    if rows:
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in SPAN.split(", ")])
+
+
+def decode_spans(tokens: DataFrame) -> DataFrame:
+    """(doc_id, label, text, confidence, pos, pos_to): neighbouring tokens of one label, in tokens (doc_id, pos, label, token).
+
+    Labels may carry the prefixes of a BIOESL scheme: I, E, S and L go on with the
+    span before, whatever its label, E ends it, and ``O`` is none. Special tokens,
+    in brackets or marking a sequence, end a span too. A span of one character is dropped.
+    """
+    dealt = tokens.select("doc_id", "pos", "label", "token").repartition("doc_id").sortWithinPartitions("doc_id", "pos")
+    return dealt.mapInPandas(_spans_of, SPAN)
+
+
+def best_label(logits: Column, labels: list[str]) -> Column:
+    """The label of the greatest logit, the first of equal ones; ``O`` if it has no name."""
+    at = F.array_position(logits, F.array_max(logits)).cast("int")
+    return F.coalesce(F.try_element_at(F.array(*map(F.lit, labels)), F.greatest(at, F.lit(1))), F.lit("O"))

@@ -14,15 +14,15 @@ CONFIG = {"severity": entity.RANKS}
 def redact(lined: DataFrame, hits: DataFrame, tagged: bool = False) -> DataFrame:
     """(doc_id, text) with the words of ``hits`` (doc_id, ln, wi, wi_to, and token if tagged) replaced.
 
-    Overlapping hits mask a word once; tagged, the least token stands. Words are
-    rejoined by single blanks.
+    Overlapping hits mask a word once; tagged, the least token stands. Lines without
+    a hit stay as they are; in the others, words are rejoined by single blanks.
     """
     token = F.col("token") if tagged else F.lit(BLOCK)
     each = hits.select("doc_id", "ln", F.explode(F.sequence("wi", "wi_to")).alias("w"), token.alias("t"))
     masks = each.groupBy("doc_id", "ln", "w").agg(F.min("t").alias("t")).groupBy("doc_id", "ln").agg(F.map_from_entries(F.collect_list(F.struct("w", "t"))).alias("m"))
-    met = lined.select("doc_id", "ln", "ws").join(masks, ["doc_id", "ln"], "left")
+    met = lined.select("doc_id", "ln", "line", "ws").join(masks, ["doc_id", "ln"], "left")
     new = F.transform("ws", lambda w, i: F.coalesce(F.try_element_at("m", i.cast("long")), w))
-    line = F.array_join(F.when(F.col("m").isNull(), F.col("ws")).otherwise(new), " ")
+    line = F.when(F.col("m").isNull(), F.col("line")).otherwise(F.array_join(new, " "))
     gathered = met.select("doc_id", "ln", line.alias("line")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ln", "line"))).alias("ls"))
     return gathered.select("doc_id", F.array_join(F.col("ls.line"), "\n").alias("text"))
 
@@ -32,25 +32,43 @@ def severity(detections: DataFrame, *by: str) -> DataFrame:
     return detections.groupBy(*by).agg(F.count("*").alias("total"), *(F.count_if(F.col("risk") == r).alias(r) for r in entity.RANKS))
 
 
-def manifest(fused: DataFrame, strict_constants: bool = False, sanitized: Column | None = None) -> DataFrame:
+def manifest(fused: DataFrame, strict_constants: bool = False, sanitized: Column | None = None, about: dict[str, Column] | None = None) -> DataFrame:
     """(doc_id, total, levels, manifest): one JSON document a frame, without any original text.
 
     The exposure follows ``sanitized`` (default: true), or is the constant of a
-    protected frame if ``strict_constants``.
+    protected frame if ``strict_constants``. ``about`` (the file's name, the frame's
+    size, the time taken and so on) are constants of a frame, which lead the document.
     """
     safe = F.lit(True) if sanitized is None or strict_constants else sanitized
-    cells = F.array_sort(F.collect_list(F.struct("place", "id", "type", "tag", "risk", "token", "action", "confidence")))
-    out = fused.groupBy("doc_id").agg(F.count("*").alias("total"), *(F.count_if(F.col("risk") == r).alias(r) for r in entity.RANKS), cells.alias("detections"))
+    box = F.struct("x0", "y0", "x1", "y1").alias("bbox")
+    cells = F.array_sort(F.collect_list(F.struct("place", "id", "tag", "type", "risk", "confidence", "token", F.col("detail").alias("source"), box, "action")))
+    held = [F.first(c).alias(f"_{k}") for k, c in (about or {}).items()]
+    out = fused.groupBy("doc_id").agg(F.count("*").alias("total"), *(F.count_if(F.col("risk") == r).alias(r) for r in entity.RANKS), cells.alias("detections"), *held)
     body = F.struct(
+        F.lit("1.0").alias("manifestVersion"), *(F.col(f"_{k}").alias(k) for k in about or {}),
         F.when(safe, "PROTECTED").otherwise("UNPROTECTED").alias("privacyStatus"), F.when(safe, "NONE").otherwise("RAW").alias("cloudExposure"),
-        F.struct("total", *entity.RANKS).alias("summary"), "detections",
+        F.struct(F.col("total").alias("totalRegions"), *entity.RANKS).alias("summary"), F.transform("detections", lambda d: d.dropFields("place")).alias("detections"),
     )
     return out.select("doc_id", "total", *entity.RANKS, F.to_json(body).alias("manifest"))
 
 
-def audit(summary: DataFrame, sanitized: Column) -> DataFrame:
-    """One append-only row a frame: counts, and whether raw data left."""
-    return summary.select("doc_id", F.col("total").alias("detections"), F.col("critical"), sanitized.alias("sanitized"), (~sanitized).alias("cloud_exposure"))
+def write_manifest(manifests: DataFrame, path: str) -> None:
+    """Append the documents, a line each, to files of JSON."""
+    manifests.select(F.col("manifest").alias("value")).write.mode("append").text(path)
+
+
+def audit(summary: DataFrame, sanitized: Column, about: dict[str, Column] | None = None, error: Column | None = None) -> DataFrame:
+    """One append-only row a frame: counts at each level, whether raw data left, why, and ``about`` (size, time taken, runtime)."""
+    counts = [F.col("total").alias("detections"), *entity.RANKS]
+    return summary.select(
+        "doc_id", *(c.alias(k) for k, c in (about or {}).items()), *counts, sanitized.alias("sanitized"), (~sanitized).alias("cloud_exposure"),
+        (F.lit(None).cast("string") if error is None else error).alias("error"),
+    )
+
+
+def write_audit(rows: DataFrame, path: str) -> None:
+    """Append audit rows; nothing that is there is ever changed."""
+    rows.withColumn("logged_at", F.current_timestamp()).write.mode("append").parquet(path)
 
 
 def fail_closed(df: DataFrame, required: str) -> DataFrame:

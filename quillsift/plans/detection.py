@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillsift.functions import boxes, entity
 from quillsift.functions import patterns as P
-from quillsift.operators import detect, fuse, names, redact
+from quillsift.operators import detect, fuse, names, redact, sanitize
 from quillsift.sources import tables
 from quillsift.sources.tables import load
 
@@ -165,13 +165,24 @@ _BELOW = {
     "registration": (P.REGISTRATION_LABEL, "(regexp_matches(word, '[A-Za-z0-9]{2,}/[0-9]{4,}') OR regexp_matches(word, '^[A-Za-z0-9]{5,14}$'))", 55, "id_number", "0.97"),
     "centre": (P.CENTRE_LABEL, f"len({_NUM}) BETWEEN 5 AND 8", 40, "id_number", "0.95"),
 }
-for _name, (_label, _value, _far, _kind, _conf) in _BELOW.items():
-    QUERIES[f"detect_{_name}_below"] = lambda spark, sf_dir, n=_name: detect.detect_below(
-        tables.word_boxes(tables.lines(spark.sql(FORMS.replace("chr(10)", "char(10)").replace("FROM customer", "FROM {t}"), t=load(spark, sf_dir, "customer")))), n
-    )
-    ORACLES[f"detect_{_name}_below"] = f"""WITH {ctes(FORMS)}, h AS (SELECT doc_id, ln AS hl, wi AS hw, (x0 + x1) / 2 AS mid, y1 AS hy FROM boxed WHERE regexp_matches(word, '(?i)\\b(?:{_label})\\b')),
-c AS (SELECT b.*, row_number() OVER (PARTITION BY doc_id, hl, hw ORDER BY ln, wi) AS n FROM boxed b JOIN h USING (doc_id) WHERE {_value} AND abs((x0 + x1) / 2 - mid) < {_far} AND y0 - hy > 4 AND y0 - hy < 75)
-SELECT DISTINCT doc_id, ln, wi, wi AS wi_to, '{_kind}' AS type, CAST({_conf} AS DOUBLE) AS confidence, word AS text, x0, y0, x1, y1 FROM c WHERE n = 1"""
+_BELOW_SQL = {
+    name: f"""WITH {ctes(FORMS)},
+h AS (SELECT doc_id, ln AS hl, wi AS hw, (x0 + x1) / 2 AS mid, y1 AS hy FROM boxed WHERE regexp_matches(word, '(?i)\\b(?:{label})\\b')),
+c AS (SELECT b.*, row_number() OVER (PARTITION BY doc_id, hl, hw ORDER BY ln, wi) AS n FROM boxed b JOIN h USING (doc_id)
+  WHERE {value} AND abs((x0 + x1) / 2 - mid) < {far} AND y0 - hy > 4 AND y0 - hy < 75)
+SELECT DISTINCT doc_id, ln, wi, wi AS wi_to, '{kind}' AS type, CAST({conf} AS DOUBLE) AS confidence, word AS text, x0, y0, x1, y1 FROM c WHERE n = 1"""
+    for name, (label, value, far, kind, conf) in _BELOW.items()
+}
+
+
+def _forms(spark, sf_dir):
+    made = FORMS.replace("chr(10)", "char(10)").replace("FROM customer", "FROM {t}")
+    return tables.word_boxes(tables.lines(spark.sql(made, t=load(spark, sf_dir, "customer"))))
+
+
+for _name, _sql in _BELOW_SQL.items():
+    QUERIES[f"detect_{_name}_below"] = lambda spark, sf_dir, n=_name: detect.detect_below(_forms(spark, sf_dir), n)
+    ORACLES[f"detect_{_name}_below"] = _sql
 
 _THREE = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS type FROM words WHERE {w}" for k, w in (("private_email", f"regexp_matches(word, '^{P.EMAIL}$')"), ("secret", _SECRET[1]), ("credit_card", _CARDS)))
 _RISK = "CASE " + " ".join(f"WHEN type IN ({', '.join(repr(t) for t in ts)}) THEN '{r}'" for r, ts in entity.RISKS.items()) + " ELSE 'low' END"
@@ -186,17 +197,65 @@ def severity_by_type(spark, sf_dir):
 
 
 def _profile_hits(spark, sf_dir):
-    found = detect.detect_many(profiles(spark, sf_dir), tuple(_DETECT)).drop("detector")
-    return found.withColumn("risk", entity.risk(F.col("type")))
+    """All that the rules and the name model find in the profiles."""
+    return sanitize.detections(tables.profiles(spark, sf_dir))
 
 
-_ALL = " UNION ALL ".join(f"(SELECT doc_id, ln, wi, wi_to, type, confidence FROM ({s}))" for s in _DETECT.values())
-_ALL_RISK = f"SELECT *, {_RISK} AS risk FROM ({_ALL})"
+_NAMES = [f"(?i){a}{names.NAME}" for a, _ in names.ANCHORS]
+_FOUND = " UNION ALL ".join(
+    """SELECT doc_id, {n} AS phrase, CAST({c} AS DOUBLE) AS confidence, unnest(regexp_extract_all(text, '{p}', 1)) AS s,
+  unnest(range(len(regexp_extract_all(text, '{p}', 1)))) AS i FROM src""".replace("{n}", str(n)).replace("{c}", str(c)).replace("{p}", p.replace("'", "''"))
+    for n, (p, (_, c)) in enumerate(zip(_NAMES, names.ANCHORS, strict=True))
+)
+_ANCHORED = f"""WITH {ctes(PROFILES)}, f AS ({_FOUND}),
+t AS (SELECT *, trim(regexp_replace(regexp_replace(s, '(?i)\\b(?:{names.ENDS})\\b.*$', ''), '[0-9:;.,()/*\\-]', ' ', 'g')) AS name FROM f)
+SELECT doc_id, name, confidence, CAST(phrase AS BIGINT) AS phrase FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, lower(name) ORDER BY phrase, i) AS n FROM t WHERE len(name) > 2) WHERE n = 1"""
+_PLAINED = "regexp_replace(lower({x}), '[^\\p{L}\\p{N}]', '', 'g')"
+_SAME = """(ps[i + k + 1] = ts[k + 1] OR (least(len(ps[i + k + 1]), len(ts[k + 1])) >= 3
+    AND (starts_with(ps[i + k + 1], ts[k + 1]) OR starts_with(ts[k + 1], ps[i + k + 1]))))"""
+#: Names at all their places, by runs of words that are alike; of spans at one place, the first by text.
+_ALIGNED = f"""SELECT doc_id, 'private_person' AS type, text, confidence, x0, y0, x1, y1, ln, wi, ln_to, wi_to FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, i, n ORDER BY text) AS nth FROM (
+  SELECT doc_id, text, confidence, i, len(ts) AS n, list_min(x0s[i + 1 : i + len(ts)]) AS x0, y0s[i + 1] AS y0, list_max(x1s[i + 1 : i + len(ts)]) AS x1,
+    list_max(y0s[i + 1 : i + len(ts)]) + 12.0 AS y1, lns[i + 1] AS ln, wis[i + 1] AS wi, lns[i + len(ts)] AS ln_to, wis[i + len(ts)] AS wi_to FROM (
+  SELECT *, unnest(list_filter(range(len(ps) - len(ts) + 1), lambda i: len(list_filter(range(len(ts)), lambda k: NOT {_SAME})) = 0)) AS i FROM (
+  SELECT s.doc_id, s.name AS text, s.confidence, d.*, list_filter(list_transform(string_split_regex(s.name, '\\s+'), lambda x: {_PLAINED.replace("{x}", "x")}), lambda x: x <> '') AS ts
+  FROM ({{anchored}}) s JOIN (SELECT doc_id AS d, list({_PLAINED.replace("{x}", "word")} ORDER BY ln, wi) AS ps, list(x0 ORDER BY ln, wi) AS x0s, list(x1 ORDER BY ln, wi) AS x1s,
+    list(y0 ORDER BY ln, wi) AS y0s, list(ln ORDER BY ln, wi) AS lns, list(wi ORDER BY ln, wi) AS wis FROM boxed GROUP BY doc_id) d ON s.doc_id = d.d))))
+WHERE nth = 1"""
+
+
+def _aligned(source: str) -> str:
+    return f"WITH {ctes(source)} " + _ALIGNED.replace("{anchored}", _ANCHORED.replace(PROFILES, source))
+
+
+def _everything(source: str) -> str:
+    """All detections of the rules and the model in DuckDB: (doc_id, ln, wi, ln_to, wi_to, type, confidence, source, risk)."""
+    simple = {n: s.replace(PROFILES, source) for n, s in _DETECT.items()}
+    inline = simple | {"email_joined": _JOINED.replace(PROFILES, source), "address": _ADDRESS.replace(PROFILES, source)}
+    place = {n: detect.ORDER.index(n) for n in inline}
+    got = " UNION ALL ".join(f"SELECT {place[n]} AS place, doc_id, ln, wi, wi_to, type, confidence FROM ({q})" for n, q in inline.items())
+    parts, seen = [f"inl AS ({got})"], ["inl"]
+    for n, q in _BELOW_SQL.items():
+        here = detect.ORDER.index(n)
+        earlier = " UNION ALL ".join(f"SELECT place, doc_id, ln, wi FROM {t}" for t in seen)
+        parts.append(
+            f"below_{n} AS (SELECT {here} AS place, doc_id, ln, wi, wi_to, type, confidence FROM ({q.replace(FORMS, source)}) b WHERE NOT EXISTS"
+            f" (SELECT 1 FROM ({earlier}) e WHERE e.place <= {here} AND e.doc_id = b.doc_id AND e.ln = b.ln AND e.wi = b.wi))"
+        )
+        seen.append(f"below_{n}")
+    rules = " UNION ALL ".join(f"SELECT doc_id, ln, wi, ln AS ln_to, wi_to, type, confidence, 'rule' AS source FROM {t}" for t in seen)
+    model = f"SELECT doc_id, ln, wi, ln_to, wi_to, type, confidence, 'privacy_filter' AS source FROM ({_aligned(source)})"
+    return f"WITH {', '.join(parts)} SELECT *, {_RISK} AS risk FROM ({rules} UNION ALL {model})"
+
+
+_ALL_RISK = _everything(PROFILES)
 
 
 @query("all_detections", _ALL_RISK)
 def all_detections(spark, sf_dir):
-    return _profile_hits(spark, sf_dir).drop("text")
+    return _profile_hits(spark, sf_dir).select("doc_id", "ln", "wi", "ln_to", "wi_to", "type", "confidence", "source", "risk")
 
 
 @query("detections_by_risk", f"SELECT doc_id, ln, wi, type FROM ({_ALL_RISK}) WHERE risk = 'critical'")
@@ -212,17 +271,20 @@ def severity_summary(spark, sf_dir):
     return redact.severity(_profile_hits(spark, sf_dir), "doc_id")
 
 
-@query("audit_log", f"SELECT doc_id, total AS detections, critical, critical < 2 AS sanitized, critical >= 2 AS cloud_exposure FROM (SELECT doc_id, {_LEVELS} FROM ({_ALL_RISK}) GROUP BY doc_id)")
+@query("audit_log", f"""SELECT doc_id, '1280x800' AS dimensions, total AS detections, critical, high, medium, low, critical < 3 AS sanitized, critical >= 3 AS cloud_exposure,
+  CASE WHEN critical >= 3 THEN 'too many secrets' END AS error FROM (SELECT doc_id, {_LEVELS} FROM ({_ALL_RISK}) GROUP BY doc_id)""")
 def audit_log(spark, sf_dir):
-    return redact.audit(severity_summary(spark, sf_dir), F.col("critical") < 2)
+    safe = F.col("critical") < 3
+    about = {"dimensions": F.lit("1280x800")}
+    return redact.audit(severity_summary(spark, sf_dir), safe, about, F.when(~safe, "too many secrets"))
 
 
 _RANK = "CASE risk WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END"
 
 
-@query("ranked_detections", f"SELECT doc_id, type, ln, wi, row_number() OVER (PARTITION BY doc_id ORDER BY {_RANK}, ln, wi, type, confidence) AS place FROM ({_ALL_RISK})")
+@query("ranked_detections", f"SELECT doc_id, type, ln, wi, row_number() OVER (PARTITION BY doc_id ORDER BY {_RANK}, ln, wi, type, confidence, source, wi_to) AS place FROM ({_ALL_RISK})")
 def ranked_detections(spark, sf_dir):
-    by = fuse.Window.partitionBy("doc_id").orderBy(entity.rank(F.col("risk")), "ln", "wi", "type", "confidence")
+    by = fuse.Window.partitionBy("doc_id").orderBy(entity.rank(F.col("risk")), "ln", "wi", "type", "confidence", "source", "wi_to")
     return _profile_hits(spark, sf_dir).select("doc_id", "type", "ln", "wi", F.row_number().over(by).cast("long").alias("place"))
 
 
@@ -313,17 +375,6 @@ def scrub_text(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", P.scrub(F.col("text")).alias("text"))
 
 
-_NAMES = [f"(?i){a}{names.NAME}" for a, _ in names.ANCHORS]
-_FOUND = " UNION ALL ".join(
-    "SELECT doc_id, {n} AS phrase, CAST({c} AS DOUBLE) AS confidence, unnest(regexp_extract_all(text, '{p}', 1)) AS s, unnest(range(len(regexp_extract_all(text, '{p}', 1)))) AS i FROM src".replace("{n}", str(n)).replace("{c}", str(c)).replace("{p}", p.replace("'", "''"))
-    for n, (p, (_, c)) in enumerate(zip(_NAMES, names.ANCHORS, strict=True))
-)
-
-
-_ANCHORED = f"""WITH {ctes(PROFILES)}, f AS ({_FOUND}), t AS (SELECT *, trim(regexp_replace(regexp_replace(s, '(?i)\\b(?:{names.ENDS})\\b.*$', ''), '[0-9:;.,()/*\\-]', ' ', 'g')) AS name FROM f)
-SELECT doc_id, name, confidence, CAST(phrase AS BIGINT) AS phrase FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(name) ORDER BY phrase, i) AS n FROM t WHERE len(name) > 2) WHERE n = 1"""
-
-
 @query("anchored_names", _ANCHORED)
 def anchored_names(spark, sf_dir):
     return names.anchored_names(tables.profiles(spark, sf_dir))
@@ -333,9 +384,9 @@ def _spans(spark, sf_dir):
     return names.anchored_names(tables.profiles(spark, sf_dir)).select("doc_id", F.lit("private_person").alias("type"), F.col("name").alias("text"), "confidence")
 
 
-@query("align_spans")
+@query("align_spans", f"SELECT doc_id, type, text, confidence, x0, y0, x1, y1 FROM ({_aligned(PROFILES)})")
 def align_spans(spark, sf_dir):
-    return names.align(_spans(spark, sf_dir), tables.word_boxes(profiles(spark, sf_dir)))
+    return names.align(_spans(spark, sf_dir), tables.word_boxes(profiles(spark, sf_dir))).drop("words")
 
 
 _EXACT = f"""{_ANCHORED.replace("SELECT doc_id, name, confidence, CAST(phrase AS BIGINT) AS phrase FROM", ", spans AS (SELECT doc_id, name AS text FROM", 1).rstrip()}),
@@ -356,44 +407,90 @@ def decode_logits(spark, sf_dir):
     return load(spark, sf_dir, "embeddings").select("vec_id", best.cast("long").alias("best"))
 
 
+@query("decode_spans", """WITH w AS (SELECT conv_id * 1000 + turn AS doc_id, unnest(string_split(text, ' ')) AS token, unnest(range(len(string_split(text, ' ')))) AS pos FROM conversations),
+l AS (SELECT *, trim(token) <> '' AND token SIMILAR TO '.*[a-e]' AS lit FROM w),
+g AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM l WHERE lit)
+SELECT doc_id, 'name' AS label, text, CAST(0.95 AS DOUBLE) AS confidence, pos, pos_to FROM (
+  SELECT doc_id, string_agg(trim(token), ' ' ORDER BY pos) AS text, min(pos) AS pos, max(pos) AS pos_to FROM g GROUP BY doc_id, run) WHERE len(text) > 1""")
+def decode_spans(spark, sf_dir):
+    """Words that end in a to e are labelled as one name from the first to the last of a run."""
+    said = load(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.posexplode(F.split("text", " ")).alias("pos", "token"))
+    label = F.when((F.trim("token") != "") & F.col("token").rlike(r"^.*[a-e]$"), F.when(F.col("pos") % 2 == 0, "B-Name").otherwise("I-name")).otherwise("O")
+    return names.decode_spans(said.withColumn("pos", F.col("pos").cast("long")).withColumn("label", label))
+
+
+@query("fused_profiles")
+def fused_profiles(spark, sf_dir):
+    """The whole union of the profiles' detections, fused."""
+    return sanitize.fused(_profile_hits(spark, sf_dir))
+
+
+_PARTS = """SELECT l_orderkey AS doc_id, l_linenumber AS detector, l_partkey % 3 AS slot, CASE l_suppkey % 4 WHEN 0 THEN 'pan' WHEN 1 THEN 'secret' WHEN 2 THEN 'private_date' ELSE 'unknown' END AS type,
+  CASE l_linenumber % 2 WHEN 0 THEN 'rule' ELSE 'privacy_filter' END AS source, CAST(0.90 + l_linenumber % 3 * 0.02 AS DOUBLE) AS confidence FROM """
+_REGIONS = f"""SELECT doc_id, slot, type, list(source ORDER BY confidence DESC, source, detector) AS found, max(confidence) AS top,
+  arg_min(row(source, detector), row(-confidence, source, detector)) AS base, count(*) AS n_merged FROM ({_PARTS} lineitem) GROUP BY doc_id, slot, type"""
+_FUSED = f"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY top DESC, base, slot, type) AS seq, type, {_RISK} AS risk, array_to_string(list_distinct(found).list_sort(), '+') AS sources, n_merged,
+  round(CASE WHEN len(list_distinct(found)) > 1 THEN least(0.99, top + 0.02) ELSE top END, 2) AS confidence, CAST(slot * 100 AS DOUBLE) AS x0,
+  CASE WHEN len(list_distinct(found)) > 1 THEN 'Text (OCR + Model + Rule)' WHEN found[1] = 'rule' THEN 'Text (OCR + Rule)' ELSE 'Text (OCR + Model)' END AS detail FROM ({_REGIONS})"""
+
+
 def _fused(spark, sf_dir):
-    docs = tables.profiles(spark, sf_dir)
-    found = detect.detect_all(docs)
-    found = found.withColumn("arrival", 1_000_000_000 + F.col("detector") * 10_000_000 + F.col("ln") * 10_000 + F.col("wi"))
-    model = names.align(_spans(spark, sf_dir), tables.word_boxes(tables.lines(docs)))
-    model = model.withColumn("source", F.lit("privacy_filter")).withColumn("arrival", (F.col("y0") * 10_000 + F.col("x0")).cast("long"))
-    cols = ["doc_id", "arrival", "type", "source", "confidence", "x0", "y0", "x1", "y1"]
-    return fuse.fuse(found.select(cols).unionByName(model.select(cols)))
+    """Regions of detections that share a box or lie far apart."""
+    made = spark.sql(_PARTS + "{t}", t=load(spark, sf_dir, "lineitem"))
+    x = (F.col("slot") * 100).cast("double")
+    boxed = made.withColumns({"x0": x, "y0": F.lit(0.0), "x1": x + 50, "y1": F.lit(12.0)})
+    return fuse.fuse(fuse.arrived(boxed, "detector", "slot", "type"))
 
 
-@query("fuse")
+@query("fuse", _FUSED)
 def fused(spark, sf_dir):
-    return _fused(spark, sf_dir)
+    return _fused(spark, sf_dir).select("doc_id", "seq", "type", "risk", F.array_join(F.array_sort("sources"), "+").alias("sources"), "n_merged", "confidence", "x0", "detail")
 
 
-@query("redaction_manifest")
+@query("redaction_manifest", f"""SELECT doc_id, count(*) AS total, {", ".join(f"count(*) FILTER (WHERE risk = '{r}') AS {r}" for r in entity.RANKS)}, 'PROTECTED' AS status, count(*) AS regions,
+  string_agg(concat('<', CASE WHEN type IN ('private_date', 'unknown') THEN 'SENSITIVE_DATA' ELSE upper(type) END, '_0', seq, '>'), ' '
+    ORDER BY CASE risk WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, seq) AS tokens FROM ({_FUSED}) GROUP BY doc_id""")
 def redaction_manifest(spark, sf_dir):
-    return redact.manifest(_fused(spark, sf_dir))
+    """The documents' counts, and what is read back from the JSON."""
+    made = redact.manifest(_fused(spark, sf_dir), about={"filename": F.concat("doc_id", F.lit(".png"))})
+    back = F.from_json("manifest", "privacyStatus string, summary struct<totalRegions: bigint>, detections array<struct<token: string>>")
+    out = made.withColumn("b", back)
+    return out.select("doc_id", "total", *entity.RANKS, F.col("b.privacyStatus").alias("status"), F.col("b.summary.totalRegions").alias("regions"), F.array_join("b.detections.token", " ").alias("tokens"))
 
 
-_MASK = f"SELECT doc_id, ln, list_transform(range(len(ws)), lambda i: CASE WHEN regexp_matches(ws[i + 1], '^{P.EMAIL}$') THEN '{{t}}' ELSE ws[i + 1] END) AS nw FROM lines"
+def _masked(source: str, token: str) -> str:
+    """Texts in DuckDB with the words of all detections that are masked replaced; {token} may name the least token t of a word."""
+    seq = "concat('<', CASE WHEN type = 'token' THEN 'SECRET' WHEN type IN ('private_date', 'private_url', 'unknown') THEN 'SENSITIVE_DATA' ELSE upper(type) END, '_0', seq, '>')"
+    return f"""WITH {ctes(source)}, hits AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ln, wi, wi_to, type) AS seq FROM ({_everything(source)}) WHERE risk <> 'low'),
+m AS (SELECT w.doc_id, w.ln, w.wi, min({seq}) AS t FROM words w JOIN hits h ON w.doc_id = h.doc_id AND (w.ln > h.ln OR (w.ln = h.ln AND w.wi >= h.wi)) AND (w.ln < h.ln_to OR (w.ln = h.ln_to AND w.wi <= h.wi_to))
+  GROUP BY w.doc_id, w.ln, w.wi),
+r AS (SELECT w.doc_id, w.ln, string_agg(coalesce({token}, w.word), ' ' ORDER BY w.wi) AS new, count(t) AS n FROM words w LEFT JOIN m ON m.doc_id = w.doc_id AND m.ln = w.ln AND m.wi = w.wi GROUP BY w.doc_id, w.ln)
+SELECT l.doc_id, string_agg(CASE WHEN r.n > 0 THEN r.new ELSE l.line END, chr(10) ORDER BY l.ln) AS text, CAST(sum(coalesce(r.n, 0)) AS BIGINT) AS n_masked
+FROM lines l LEFT JOIN r ON r.doc_id = l.doc_id AND r.ln = l.ln GROUP BY l.doc_id"""
 
 
-def _masked(token: str) -> str:
-    return f"WITH {ctes(PROFILES)} SELECT doc_id, string_agg(array_to_string(nw, ' '), chr(10) ORDER BY ln) AS text FROM ({_MASK.replace('{t}', token)}) GROUP BY doc_id"
+_CLEAN = f"CASE WHEN t IS NOT NULL THEN '{redact.BLOCK}' END"
 
 
-@query("redact_clean", _masked(redact.BLOCK))
+@query("redact_clean", f"SELECT doc_id, text FROM ({_masked(PROFILES, _CLEAN)})")
 def redact_clean(spark, sf_dir):
-    lined = profiles(spark, sf_dir)
-    return redact.redact(lined, detect.detect(lined, "email"))
+    return redact.redact(profiles(spark, sf_dir), sanitize.masked_words(_profile_hits(spark, sf_dir)))
 
 
-@query("redact_tagged", _masked("<PRIVATE_EMAIL_01>"))
+@query("redact_tagged", f"SELECT doc_id, text FROM ({_masked(PROFILES, 't')})")
 def redact_tagged(spark, sf_dir):
-    lined = profiles(spark, sf_dir)
-    hits = detect.detect(lined, "email").withColumn("seq", F.row_number().over(fuse.Window.partitionBy("doc_id").orderBy("ln", "wi")))
-    return redact.redact(lined, hits.withColumn("token", F.concat(F.lit("<"), entity.tag(F.col("type")), F.lit("_0"), "seq", F.lit(">"))), tagged=True)
+    hits = _profile_hits(spark, sf_dir).filter(F.col("action") != "allow")
+    hits = hits.withColumn("seq", F.row_number().over(fuse.Window.partitionBy("doc_id").orderBy("ln", "wi", "wi_to", "type")))
+    token = F.concat(F.lit("<"), entity.tag(F.col("type")), F.lit("_0"), "seq", F.lit(">"))
+    each = hits.select("doc_id", token.alias("token"), F.inline("words")).select("doc_id", "ln", "wi", F.col("wi").alias("wi_to"), "token")
+    return redact.redact(profiles(spark, sf_dir), each, tagged=True)
+
+
+@query("sanitize", f"""SELECT d.doc_id, m.text, d.text IS NOT NULL AS sanitized, CASE WHEN d.text IS NULL THEN 'no text' END AS error, coalesce(m.n_masked, 0) AS n_masked
+  FROM documents d LEFT JOIN ({_masked(DOCS, _CLEAN)}) m ON m.doc_id = d.doc_id""")
+def sanitized(spark, sf_dir):
+    """The documents on the whole way: all detections, masked by the policy, with an error where that can't be."""
+    return sanitize.sanitize(load(spark, sf_dir, "documents")).select("doc_id", "text", "sanitized", "error", "n_masked")
 
 
 @query("base64_roundtrip", "SELECT doc_id, to_base64(encode(text)) AS code, text AS back FROM documents")

@@ -86,8 +86,8 @@ def dedup_results(spark, sf_dir):
 
 @query("orphan_requests", """SELECT q.event_id FROM events q WHERE q.event_type = 'click' AND NOT EXISTS (SELECT 1 FROM events a WHERE a.user_id = q.user_id AND a.event_type = 'view' AND a.ts >= q.ts AND epoch_us(a.ts) - epoch_us(q.ts) < 21600000000)""")
 def orphan_requests(spark, sf_dir):
-    """The next answer of the same user settles it, so a window does for the join with a time bound."""
-    by = trace.Window.partitionBy("user_id").orderBy("ts").rangeBetween(0, trace.Window.unboundedFollowing)
+    """The next answer of the same user settles it: a running least time, from the latest event back, for the join with a time bound."""
+    by = trace.Window.partitionBy("user_id").orderBy(F.desc("ts")).rangeBetween(trace.Window.unboundedPreceding, trace.Window.currentRow)
     answer = F.min(F.when(F.col("event_type") == "view", trace.micros_of("ts"))).over(by)
     marked = events(spark, sf_dir).withColumn("_a", answer).filter("event_type = 'click'")
     return marked.filter(F.col("_a").isNull() | (F.col("_a") - trace.micros_of("ts") >= 21600000000)).select("event_id")
@@ -123,11 +123,12 @@ def fallback_reply(spark, sf_dir):
     return load(spark, sf_dir, "conversations").select("conv_id", "turn", trace.fallback_reply(log, F.col("conv_id") % 2 == 0).alias("reply"))
 
 
-_EL = "SELECT o_orderkey % 40 AS frame_id, o_orderkey AS id, o_custkey % 1300 - 20 AS x, o_orderkey * 7 % 900 - 20 AS y, o_custkey % 5 * 30 AS w, o_orderkey % 4 * 12 AS h FROM "
+_EL = "SELECT o_orderkey // 200 AS frame_id, o_orderkey AS id, o_custkey % 1300 - 20 AS x, o_orderkey * 7 % 900 - 20 AS y, o_custkey % 5 * 30 AS w, o_orderkey % 4 * 12 AS h FROM "
 
 
 def _elements(spark, sf_dir):
-    return spark.sql(_EL + "{t}", t=load(spark, sf_dir, "orders"))
+    """Frames of a bounded number of elements, however large the table is."""
+    return spark.sql(_EL.replace("//", "div") + "{t}", t=load(spark, sf_dir, "orders"))
 
 
 _SEEN = f"s AS (SELECT * FROM ({_EL} orders) WHERE w > 0 AND h > 0 AND x < 1280 AND y < 800 AND x + w > 0 AND y + h > 0)"
@@ -157,7 +158,7 @@ def resolve_element(spark, sf_dir):
     label = F.lower(F.concat("c_mktsegment", F.lit(" "), F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("nation "), "c_nationkey")).otherwise("x")))
     n = load(spark, sf_dir, "nation").select("n_nationkey", F.lower(F.trim("n_name")).alias("name"))
     held = n.groupBy(F.lit(0).alias("frame_id")).agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "name"))).alias("els"))  # a frame's manifest: 50 at most
-    met = c.withColumns({"label": label, "frame_id": F.lit(0)}).join(F.broadcast(held), "frame_id")
+    met = c.withColumns({"label": label, "frame_id": F.lit(0)}).join(held, "frame_id")  # one row: Spark broadcasts it by its size
     by_id = F.filter("els", lambda e: (e["n_nationkey"] == F.col("c_nationkey")) & (F.col("c_custkey") % 2 == 0))
     by_label = F.filter("els", lambda e: F.contains(F.col("label"), e["name"]) | F.contains(e["name"], F.col("label")))
     found = F.get(F.concat(by_id, by_label), F.lit(0))
@@ -173,9 +174,9 @@ def action_point(spark, sf_dir):
     return e.select("id", px.alias("px"), py.alias("py"))
 
 
-@query("scaled_elements", f"SELECT id, floor(x * s + 0.5) AS x, floor(y * s + 0.5) AS y, floor(w * s + 0.5) AS w, floor(h * s + 0.5) AS h FROM (SELECT *, least(1.0, CAST(640 AS DOUBLE) / greatest(frame_id * 40 + 200, 720)) AS s FROM ({_EL} orders))")
+@query("scaled_elements", f"SELECT id, floor(x * s + 0.5) AS x, floor(y * s + 0.5) AS y, floor(w * s + 0.5) AS w, floor(h * s + 0.5) AS h FROM (SELECT *, least(1.0, CAST(640 AS DOUBLE) / greatest(frame_id % 40 * 40 + 200, 720)) AS s FROM ({_EL} orders))")
 def scaled_elements(spark, sf_dir):
-    s = F.least(F.lit(1.0), F.lit(640.0) / F.greatest(F.col("frame_id") * 40 + 200, F.lit(720)))
+    s = F.least(F.lit(1.0), F.lit(640.0) / F.greatest(F.col("frame_id") % 40 * 40 + 200, F.lit(720)))
     up = lambda c: F.floor(F.col(c) * s + 0.5).cast("double").alias(c)
     return _elements(spark, sf_dir).select("id", *map(up, ("x", "y", "w", "h")))
 

@@ -42,15 +42,28 @@ def words(lined: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return out.withColumn("wi", F.col("wi").cast("long"))
 
 
+#: Cells of a line that are placed together; a line's running offsets are kept by such runs.
+RUN = 256
+
+
 def word_boxes(lined: DataFrame) -> DataFrame:
-    """Words with synthetic boxes: 8 by 12 pixels a character, 20 pixels a line."""
-    cells = lined.select("doc_id", "ln", F.posexplode(F.split("line", r"(?<=\s)(?=\S)")).alias("k", "cell"))
-    before = Window.partitionBy("doc_id", "ln").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    at = F.coalesce(F.sum(F.length("cell")).over(before), F.lit(0))
-    placed = cells.withColumn("at", at).withColumn("word", F.regexp_replace("cell", r"\s+$", "")).filter(F.col("word") != "")
-    wi = F.row_number().over(Window.partitionBy("doc_id", "ln").orderBy("k")) - 1
-    return placed.select(
-        "doc_id", "ln", wi.cast("long").alias("wi"), "word", (8.0 * F.col("at")).alias("x0"), (20.0 * F.col("ln")).alias("y0"),
+    """Words with synthetic boxes: 8 by 12 pixels a character, 20 pixels a line.
+
+    The offsets of words are running sums inside their line, made of the line alone,
+    so that nothing is shuffled.
+    """
+    total = lambda cells: F.aggregate(cells, F.lit(0).cast("long"), lambda n, c: n + F.length(c))
+    cells = F.split("line", r"(?<=\s)(?=\S)")
+    runs = F.transform(F.sequence(F.lit(0), F.expr(f"(size(cells) - 1) div {RUN}")), lambda r: F.slice("cells", r * RUN + 1, RUN))
+    placed = lambda at, run: F.transform(run, lambda c, k: F.struct((at + total(F.slice(run, 1, k))).alias("at"), c.alias("cell")))
+    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<array<struct<at: bigint, cell: string>>>").alias("out"))
+    added = lambda a, run: F.struct((a["at"] + total(run)).alias("at"), F.array_append(a["out"], placed(a["at"], run)).alias("out"))
+    found = lined.select("doc_id", "ln", cells.alias("cells")).filter(F.size("cells") > 0)
+    found = found.select("doc_id", "ln", F.posexplode(F.flatten(F.aggregate(runs, empty, added)["out"])).alias("k", "c"), F.get("cells", F.lit(0)).rlike(r"^\s*$").alias("blank"))
+    word = F.regexp_replace("c.cell", r"\s+$", "")
+    found = found.select("doc_id", "ln", (F.col("k") - F.col("blank").cast("int")).cast("long").alias("wi"), word.alias("word"), F.col("c.at").alias("at")).filter(F.col("word") != "")
+    return found.select(
+        "doc_id", "ln", "wi", "word", (8.0 * F.col("at")).alias("x0"), (20.0 * F.col("ln")).alias("y0"),
         (8.0 * (F.col("at") + F.length("word"))).alias("x1"), (20.0 * F.col("ln") + 12).alias("y1"),
     )
 
