@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+
 def _rgb() -> tuple[Column, Column, Column]:
     return F.col("r"), F.col("g"), F.col("b")
 
@@ -27,6 +30,7 @@ def stretch(gray: Column) -> Column:
     return F.when(gray > 210, 255.0).when(gray < 50, 0.0).otherwise((gray - 50) * 255 / 160)
 
 
+# Fixed values of the next two: ranges of skin and dark pixels.
 def is_skin() -> Column:
     r, g, b = _rgb()
     y, cb, cr = luma(), 128 - 0.168736 * r - 0.331264 * g + 0.5 * b, 128 + 0.5 * r - 0.418688 * g - 0.081312 * b
@@ -68,3 +72,124 @@ def components(cells: DataFrame, seed: int, grow: int) -> DataFrame:
         return pd.DataFrame([(key[0], *b) for b in found], columns=[c.split()[0] for c in schema.split(", ")])
 
     return cells.groupBy("frame_id").applyInPandas(of_frame, schema)
+
+
+# Preprocessing before text is read.
+GROW_BELOW, GROW_BY, WIDEST = (1400, 1000), 1.5, 2600
+
+
+def scan_scale(width: Column, height: Column) -> Column:
+    """By how much a frame is enlarged before its text is read: small ones are, none beyond the widest."""
+    grown = F.when((width < GROW_BELOW[0]) | (height < GROW_BELOW[1]), F.lit(GROW_BY)).otherwise(F.lit(1.0))
+    return F.when(width * grown > WIDEST, F.lit(float(WIDEST)) / width).otherwise(grown)
+
+
+def preprocess(pixels: DataFrame) -> DataFrame:
+    """Add ``v``: gray with stretched contrast, of inverted colours in dark frames."""
+    dark = dark_mode(pixels).select("frame_id", "dark")
+    gray = F.when(F.col("dark"), 255 - luma()).otherwise(luma())
+    return pixels.join(dark, "frame_id", "left").withColumn("v", stretch(gray)).drop("dark")
+
+
+# Fixed values. A zone is left, top, width and height as shares of the frame's; the first zone with a face ends the search.
+FACE_ZONES = ((0.45, 0.03, 0.53, 0.65), (0.01, 0.04, 0.50, 0.78), (0.15, 0.04, 0.70, 0.75))
+FACE = {"cell": 6, "seed": 2, "grow": 1, "least_zone": (45, 50), "least_size": (20, 24), "least_sum": 15, "pad": (0.18, 0.35, 0.25),
+        "box": (35, 45), "most": ((300, 0.65), (380, 0.75)), "aspect": (0.45, 1.35), "word_length": 3, "words": 4, "confidence": 0.98}
+CODE_ZONE = (0.02, 0.40, 0.45, 0.58)
+CODE = {"cell": 8, "seed": 12, "grow": 10, "box": (45, 200), "aspect": (0.82, 1.20), "cells": 20, "pad": 4, "word_length": 4, "words": 2, "confidence": 0.97}
+
+
+def _half_up(x: float) -> int:
+    return math.floor(x + 0.5)
+
+
+def _grid(at: np.ndarray, zone: tuple[int, int, int, int], cell: int) -> np.ndarray:
+    """Marked pixels (x, y) of a zone, counted by whole cells."""
+    left, top, width, height = zone
+    rows, cols = height // cell, width // cell
+    x, y = (at[:, 0] - left) // cell, (at[:, 1] - top) // cell
+    inside = (at[:, 0] >= left) & (at[:, 1] >= top) & (x < cols) & (y < rows)
+    return np.bincount(y[inside] * cols + x[inside], minlength=rows * cols).reshape(rows, cols) if rows and cols else np.zeros((0, 0), dtype=np.int64)
+
+
+def _words_inside(words: np.ndarray, box: tuple, length: int) -> int:
+    """words: rows of x, y of the middle and the number of letters and digits."""
+    if not len(words):
+        return 0
+    x, y, n = words.T
+    return int(((n >= length) & (x >= box[0]) & (x <= box[2]) & (y >= box[1]) & (y <= box[3])).sum())
+
+
+def _zone(share: tuple, width: int, height: int) -> tuple[int, int, int, int]:
+    return tuple(_half_up(s * n) for s, n in zip(share, (width, height, width, height), strict=True))
+
+
+def face_box(skin: np.ndarray, zone: tuple, width: int, height: int, words: np.ndarray) -> tuple | None:
+    """The box of the group with most skin that has the shape of a portrait and holds no paragraph."""
+    left, top, w, h = zone
+    if w < FACE["least_zone"][0] or h < FACE["least_zone"][1]:
+        return None
+    cell, best, most = FACE["cell"], None, 0
+    for r0, c0, r1, c1, _, n in blobs(_grid(skin, zone, cell), FACE["seed"], FACE["grow"]):
+        bw, bh = (c1 - c0 + 1) * cell, (r1 - r0 + 1) * cell
+        if bw < FACE["least_size"][0] or bh < FACE["least_size"][1] or n < FACE["least_sum"]:
+            continue
+        side, up, down = _half_up(bw * FACE["pad"][0]), _half_up(bh * FACE["pad"][1]), _half_up(bh * FACE["pad"][2])
+        box = (
+            max(0, c0 * cell - side + left), max(0, r0 * cell - up + top),
+            min(width, (c1 + 1) * cell + side + left), min(height, (r1 + 1) * cell + down + top),
+        )
+        size = (box[2] - box[0], box[3] - box[1])
+        limits = [max(least, share * n_) for (least, share), n_ in zip(FACE["most"], (width, height), strict=True)]
+        aspect = size[0] / max(1, size[1])
+        fits = all(lo <= x <= hi for lo, x, hi in zip(FACE["box"], size, limits, strict=True)) and FACE["aspect"][0] <= aspect <= FACE["aspect"][1]
+        if fits and n > most and _words_inside(words, box, FACE["word_length"]) < FACE["words"]:
+            best, most = box, n
+    return best
+
+
+def code_boxes(dark: np.ndarray, width: int, height: int, words: np.ndarray) -> list[tuple]:
+    """Square groups of dense dark cells in the zone of codes that hold no text."""
+    zone, cell, out = _zone(CODE_ZONE, width, height), CODE["cell"], []
+    for r0, c0, r1, c1, n_cells, _ in blobs(_grid(dark, zone, cell), CODE["seed"], CODE["grow"]):
+        bw, bh = (c1 - c0 + 1) * cell, (r1 - r0 + 1) * cell
+        lo, hi = CODE["box"]
+        if lo <= bw <= hi and lo <= bh <= hi and CODE["aspect"][0] <= bw / max(1, bh) <= CODE["aspect"][1] and n_cells >= CODE["cells"]:
+            pad = CODE["pad"]
+            box = (
+                max(0, c0 * cell - pad + zone[0]), max(0, r0 * cell - pad + zone[1]),
+                min(width, (c1 + 1) * cell + pad + zone[0]), min(height, (r1 + 1) * cell + pad + zone[1]),
+            )
+            if _words_inside(words, box, CODE["word_length"]) < CODE["words"]:
+                out.append(box)
+    return out
+
+
+VISUAL = "doc_id long, type string, confidence double, x0 double, y0 double, x1 double, y1 double"
+
+
+def visual(pixels: DataFrame, frames: DataFrame, boxed: DataFrame) -> DataFrame:
+    """Faces and codes of frames (doc_id, width, height), from pixels (doc_id, x, y, r, g, b) and words (doc_id, word, x0..y1).
+
+    Only skin and dark pixels are moved, frame by frame.
+    """
+    marked = pixels.select("doc_id", "x", "y", is_skin().alias("skin"), is_dark().alias("dark")).filter("skin OR dark")
+    named = frames.select(F.col("doc_id").alias("_f"), "width", "height")
+    marked = marked.join(named, F.col("doc_id") == F.col("_f")).drop("_f")
+    n = F.length(F.regexp_replace("word", r"[^\p{L}\p{N}]", ""))
+    middles = boxed.select("doc_id", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"), n.alias("n"))
+
+    def of_frame(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows: list[tuple] = []
+        if len(left):
+            width, height = int(left["width"].iat[0]), int(left["height"].iat[0])
+            words = right[["x", "y", "n"]].to_numpy(dtype=float)
+            at = left[["x", "y"]].to_numpy(dtype=np.int64)
+            skin, dark = at[left["skin"].to_numpy()], at[left["dark"].to_numpy()]
+            faces = (face_box(skin, _zone(z, width, height), width, height, words) for z in FACE_ZONES)
+            face = next((f for f in faces if f), None)
+            rows += [(key[0], "face", FACE["confidence"], *map(float, face))] if face else []
+            rows += [(key[0], "qr_code", CODE["confidence"], *map(float, b)) for b in code_boxes(dark, width, height, words)]
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in VISUAL.split(", ")])
+
+    return marked.groupBy("doc_id").cogroup(middles.groupBy("doc_id")).applyInPandas(of_frame, VISUAL)

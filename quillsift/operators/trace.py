@@ -91,3 +91,53 @@ def element_manifest(elements: DataFrame, width: float, height: float, limit: in
     inside = F.expr("frame_id = _f AND id <> _id AND x >= _x AND y >= _y AND x + w <= _x + _w AND y + h <= _y + _h AND (w * h < _w * _h OR id > _id)")
     top = seen.join(outer.withColumnRenamed("frame_id", "_f"), inside, "left_anti")
     return top.withColumn("ordinal", F.row_number().over(Window.partitionBy("frame_id").orderBy("id")).cast("long")).filter(F.col("ordinal") <= limit)
+
+
+def point_hit(elements: DataFrame, points: DataFrame) -> DataFrame:
+    """points (frame_id, px, py, ...) with ``hit``: the topmost (last drawn) element of the frame that holds the point, or null."""
+    held = F.expr("px >= x AND px < x + w AND py >= y AND py < y + h")
+    met = points.withColumn("_n", F.monotonically_increasing_id()).join(elements.select("frame_id", "id", "x", "y", "w", "h"), "frame_id", "left")
+    return met.groupBy("_n", *points.columns).agg(F.max(F.when(held, F.col("id"))).alias("hit")).drop("_n")
+
+
+# Why an early DONE is refused.
+REFUSED = {
+    "confirmation": "DONE rejected: form confirmation screen not detected. The form is NOT submitted yet — scroll through the remaining questions, fill anything still empty, then click Submit.",
+    "required": "DONE rejected: one or more required fields on the page are still empty or invalid. Fill them before submitting.",
+}
+
+
+def done_gate(action: Column, is_form: Column, confirmed: Column, unfilled: Column, reachable: Column | None = None) -> Column:
+    """Why a DONE is refused, or null: an unconfirmed form, then empty required fields. A page that can't be asked is trusted."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    asked = F.lit(True) if reachable is None else yes(reachable)
+    refused = F.when(yes(is_form) & ~yes(confirmed), REFUSED["confirmation"]).when(yes(unfilled), REFUSED["required"])
+    return F.when((action == "DONE") & asked, refused)
+
+
+def stopped_message(steps: Column) -> Column:
+    """What a run says that its user has stopped."""
+    return F.concat(F.array_join(F.concat(steps, F.array(F.lit("Stopped by user."))), " → "))
+
+
+def file_stem(name: Column) -> Column:
+    """A file's name without its last extension."""
+    return F.regexp_replace(name, r"\.[^/.]+$", "")
+
+
+def correlate(requests: DataFrame, replies: DataFrame, failures: DataFrame, key: str, timeout_us: int) -> DataFrame:
+    """requests (key, id, at) with ``status``: answered, failed by the worker's next failure, timed out; and ``took`` of the answered.
+
+    replies (id, at) answer their request if they come within the time; a failure (key, at)
+    fails all requests of its worker that are still open then.
+    """
+    first = replies.groupBy("id").agg(F.min("at").alias("_r"))
+    both = requests.select(key, "id", "at", F.lit(False).alias("_bad")).unionByName(failures.select(key, F.lit(None).cast("long").alias("id"), "at", F.lit(True).alias("_bad")))
+    later = Window.partitionBy(key).orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    timed = both.withColumn("_f", F.min(F.when(F.col("_bad"), F.col("at"))).over(later)).filter(~F.col("_bad")).drop("_bad")
+    limit = F.col("at") + timeout_us
+    met = timed.join(first, "id", "left")
+    answered = (F.col("_r") >= F.col("at")) & (F.col("_r") < limit) & (F.col("_f").isNull() | (F.col("_r") <= F.col("_f")))
+    failed = F.col("_f") < limit
+    status = F.when(answered, "answered").when(failed, "failed").otherwise("timed out")
+    return met.select(key, "id", status.alias("status"), F.when(answered, F.col("_r") - F.col("at")).alias("took"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillsift.operators import pixels, trace
+from quillsift.operators import pixels, sanitize, trace
 from quillsift.sources import tables
 from quillsift.sources.tables import load
 from quillsift.streaming import twins
@@ -216,7 +216,82 @@ def skin_pixels(spark, sf_dir):
     return _pixels(spark, sf_dir).select("pos", pixels.is_skin().alias("skin"), pixels.is_dark().alias("dark"))
 
 
-@query("pixel_blobs")
+@query("pixel_blobs", f"""WITH RECURSIVE c AS (SELECT frame_id, pos // 100 % 10 AS row, pos // 1000 AS col, count(*) AS n FROM (SELECT *, {_LUMA} AS y FROM ({_PX} part)) WHERE y < 90 GROUP BY ALL),
+reach AS (SELECT frame_id, row, col, row AS r, col AS k FROM c UNION SELECT reach.frame_id, reach.row, reach.col, c.row, c.col FROM reach JOIN c
+  ON c.frame_id = reach.frame_id AND abs(c.row - reach.r) <= 1 AND abs(c.col - reach.k) <= 1),
+named AS (SELECT frame_id, row, col, min(r * 1000 + k) AS blob FROM reach GROUP BY ALL)
+SELECT frame_id, min(row) AS row0, min(col) AS col0, max(row) AS row1, max(col) AS col1, count(*) AS n_cells, CAST(sum(n) AS BIGINT) AS score
+FROM named JOIN c USING (frame_id, row, col) GROUP BY frame_id, blob HAVING max(n) >= 2""")
 def pixel_blobs(spark, sf_dir):
     cells = _pixels(spark, sf_dir).filter(pixels.luma() < 90).groupBy("frame_id", F.expr("pos div 100 % 10").alias("row"), F.expr("pos div 1000").alias("col")).agg(F.count("*").alias("n"))
     return pixels.components(cells, seed=2, grow=1)
+
+
+@query("preprocess_pixels", f"""WITH p AS (SELECT *, {_LUMA} AS y FROM ({_PX} part)),
+d AS (SELECT frame_id, round(avg(y), 6) < 130 AS dark FROM p WHERE pos % 4 = 0 GROUP BY frame_id), g AS (SELECT pos, CASE WHEN dark THEN 255 - y ELSE y END AS y FROM p LEFT JOIN d USING (frame_id))
+SELECT pos, round(CASE WHEN y > 210 THEN 255.0 WHEN y < 50 THEN 0.0 ELSE (y - 50) * 255 / 160 END, 9) AS v FROM g""")
+def preprocess_pixels(spark, sf_dir):
+    return pixels.preprocess(_pixels(spark, sf_dir)).select("pos", F.round("v", 9).alias("v"))
+
+
+@query("scan_scale", """SELECT p_partkey, CASE WHEN w * g > 2600 THEN 2600 / w ELSE g END AS scale FROM (SELECT p_partkey, w, CASE WHEN w < 1400 OR h < 1000 THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END AS g
+  FROM (SELECT p_partkey, CAST(p_partkey * 37 % 4000 + 1 AS DOUBLE) AS w, p_partkey * 53 % 2000 + 1 AS h FROM part))""")
+def scan_scale(spark, sf_dir):
+    w, h = ((F.col("p_partkey") * k % m + 1).cast("double") for k, m in ((37, 4000), (53, 2000)))
+    return load(spark, sf_dir, "part").select("p_partkey", pixels.scan_scale(w, h).alias("scale"))
+
+
+@query("point_hit", f"""WITH e AS ({_EL} orders), p AS (SELECT c_custkey, c_custkey % 30 AS frame_id, c_custkey * 31 % 1280 AS px, c_custkey * 17 % 800 AS py FROM customer)
+SELECT c_custkey, max(CASE WHEN px >= x AND px < x + w AND py >= y AND py < y + h THEN id END) AS hit FROM p LEFT JOIN e USING (frame_id) GROUP BY c_custkey""")
+def point_hit(spark, sf_dir):
+    c = F.col("c_custkey")
+    points = load(spark, sf_dir, "customer").select("c_custkey", (c % 30).alias("frame_id"), (c * 31 % 1280).alias("px"), (c * 17 % 800).alias("py"))
+    return trace.point_hit(_elements(spark, sf_dir), points).select("c_custkey", "hit")
+
+
+@query("done_gate", f"""SELECT page_id, CASE WHEN page_id % 3 = 0 AND page_id % 11 <> 0 THEN CASE WHEN page_id % 2 = 0 AND page_id % 5 <> 0 THEN '{trace.REFUSED["confirmation"]}'
+  WHEN page_id % 7 = 0 THEN '{trace.REFUSED["required"]}' END END AS refused FROM pages""")
+def done_gate(spark, sf_dir):
+    n = F.col("page_id")
+    action = F.when(n % 3 == 0, "DONE").otherwise("CLICK")
+    return load(spark, sf_dir, "pages").select("page_id", trace.done_gate(action, n % 2 == 0, n % 5 == 0, n % 7 == 0, n % 11 != 0).alias("refused"))
+
+
+@query("stopped_runs", "SELECT conv_id, array_to_string(list_append(list(role ORDER BY turn), 'Stopped by user.'), ' → ') AS message FROM conversations GROUP BY conv_id")
+def stopped_runs(spark, sf_dir):
+    steps = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda s: s["role"])
+    return load(spark, sf_dir, "conversations").groupBy("conv_id").agg(steps.alias("steps")).select("conv_id", trace.stopped_message(F.col("steps")).alias("message"))
+
+
+@query("file_stems", "SELECT doc_id, regexp_replace(concat(source, '.v1/', lang, '.tar.gz'), '\\.[^/.]+$', '') AS stem FROM documents")
+def file_stems(spark, sf_dir):
+    name = F.concat("source", F.lit(".v1/"), "lang", F.lit(".tar.gz"))
+    return load(spark, sf_dir, "documents").select("doc_id", trace.file_stem(name).alias("stem"))
+
+
+@query("required_fields", """SELECT conv_id, turn, CASE WHEN trim(text) = '' OR text IS NULL THEN 'instruction is required' WHEN turn % 3 = 0 THEN 'image is required' END AS error FROM conversations""")
+def required_fields(spark, sf_dir):
+    fields = {"instruction": F.col("text"), "image": F.when(F.col("turn") % 3 != 0, F.col("role"))}
+    return sanitize.require_fields(load(spark, sf_dir, "conversations"), fields).select("conv_id", "turn", "error")
+
+
+@query("correlate_requests", """WITH e AS (SELECT *, epoch_us(ts) AS t0 FROM events), q AS (SELECT user_id, event_id AS id, t0 FROM e WHERE event_type = 'click'),
+r AS (SELECT event_id - event_id % 5 AS id, min(t0) AS r FROM e WHERE event_type = 'view' GROUP BY 1),
+m AS (SELECT q.*, r.r, (SELECT min(f.t0) FROM e f WHERE f.event_type = 'error' AND f.user_id = q.user_id AND f.t0 >= q.t0) AS f FROM q LEFT JOIN r USING (id)),
+a AS (SELECT *, coalesce(r >= t0 AND r < t0 + 86400000000 AND (f IS NULL OR r <= f), false) AS ok FROM m)
+SELECT user_id, id, CASE WHEN ok THEN 'answered' WHEN f < t0 + 86400000000 THEN 'failed' ELSE 'timed out' END AS status, CASE WHEN ok THEN r - t0 END AS took FROM a""")
+def correlate_requests(spark, sf_dir):
+    e = events(spark, sf_dir).withColumn("at", trace.micros_of("ts"))
+    of = lambda kind: e.filter(F.col("event_type") == kind)
+    replies = of("view").select((F.col("event_id") - F.col("event_id") % 5).alias("id"), "at")
+    return trace.correlate(of("click").select("user_id", F.col("event_id").alias("id"), "at"), replies, of("error").select("user_id", "at"), "user_id", 86_400_000_000)
+
+
+@query("language_select", """SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'eng' WHEN doc_id % 4 = 1 AND lang <> 'en' THEN 'hin' WHEN doc_id % 4 = 2 AND lang <> 'en' THEN 'eng+hin' WHEN doc_id % 4 = 3 AND lang <> 'en' THEN 'eng+hin' ELSE 'eng' END AS language
+  FROM documents WHERE lang IS NOT NULL""")
+def language_select(spark, sf_dir):
+    """Documents in English have no Hindi at hand."""
+    docs = load(spark, sf_dir, "documents").filter(F.col("lang").isNotNull())
+    wanted = F.element_at(F.array(*map(F.lit, ("eng", "hin", "eng+hin", None))), (F.col("doc_id") % 4 + 1).cast("int"))
+    held = F.when(F.col("lang") == "en", F.array(F.lit("eng"))).otherwise(F.array(F.lit("eng"), F.lit("hin")))
+    return docs.select("doc_id", tables.select_language(wanted, held).alias("language"))

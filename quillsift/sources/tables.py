@@ -30,6 +30,33 @@ def invalid_reason(name: Column, size: Column, mime: Column | None = None) -> Co
     return reason
 
 
+# What text may be read in, and what is fallen back to.
+LANGUAGES, DEFAULT_LANGUAGE, FALLBACK = ("eng", "hin", "eng+hin"), "eng+hin", "eng"
+
+
+def select_language(wanted: Column, available: Column) -> Column:
+    """The language to read in: the one wanted if all its parts are at hand (an array), else the fallback; an error without that."""
+    wanted = F.coalesce(wanted, F.lit(DEFAULT_LANGUAGE))
+    held = F.size(F.array_except(F.split(wanted, r"\+"), available)) == 0
+    error = F.raise_error(F.lit("no language to read the text in"))
+    return F.when(wanted.isin(*LANGUAGES) & held, wanted).when(F.array_contains(available, FALLBACK), FALLBACK).otherwise(error)
+
+
+def scanned_words(cells: DataFrame, scale: Column, width: Column, height: Column) -> DataFrame:
+    """Words as a text reader gives them (word, confidence, x0..y1): trimmed, none empty, scaled back, kept in the frame, confidence from 0 to 1."""
+    inside = lambda c, top: F.least(F.greatest(F.floor(F.col(c) / scale + 0.5), F.lit(0)), top).cast("double").alias(c)
+    sure = F.when(F.coalesce("confidence", F.lit(0)) == 0, F.lit(80)).otherwise(F.col("confidence")) / 100
+    kept = [c for c in cells.columns if c not in ("word", "confidence", "x0", "y0", "x1", "y1")]
+    out = cells.withColumn("word", F.trim("word")).filter(F.col("word") != "")
+    return out.select(*kept, "word", sure.alias("confidence"), inside("x0", width), inside("y0", height), inside("x1", width), inside("y1", height))
+
+
+def first_source(**given: Column) -> Column:
+    """Where an image comes from: the first of file, blob and data URL that is there; an error if none is."""
+    order = [F.when(given[k].isNotNull() & (F.length(given[k]) > 0), F.struct(F.lit(k).alias("kind"), given[k].cast("binary").alias("body"))) for k in ("file", "blob", "dataUrl") if k in given]
+    return F.coalesce(*order, F.raise_error(F.lit("no image is given")).cast("struct<kind: string, body: binary>"))
+
+
 def lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, ln, line, ws): the lines of each text with their words. Blank lines keep their number; a null text has none."""
     cut = docs.select("doc_id", F.posexplode(F.split(text, "\n")).alias("ln", "line"))

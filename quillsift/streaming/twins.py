@@ -29,20 +29,32 @@ def first_result(events: DataFrame, key: list[str], ts: str, late: str = "1 hour
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(key)
 
 
-def ttl_cache(events: DataFrame, key: str, ttl_ms: int) -> DataFrame:
-    """Reads with ``hit``: the last write is under ``ttl_ms`` old and not read yet. events: key, id, ms, is_write."""
+def ttl_cache(events: DataFrame, key: str, ttl_ms: int, late: str = "1 hour") -> DataFrame:
+    """Reads with ``hit``: the last write is under ``ttl_ms`` old and not read yet. events: key, id, ms, is_write.
+
+    All rows of a key in a trigger are put in order before they are played. The state of
+    a key goes with the read that takes its write, or once the watermark has passed its end.
+    """
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        written = state.get[0] if state.exists else -1
         rows = []
-        for pdf in frames:
-            for i, ms, write in sorted(zip(pdf["id"], pdf["ms"], pdf["is_write"], strict=True), key=lambda x: (x[1], x[0])):
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            written = state.get[0] if state.exists else -1
+            held = pd.concat(list(frames), ignore_index=True)
+            for i, ms, write in sorted(zip(held["id"], held["ms"], held["is_write"], strict=True), key=lambda x: (x[1], x[0])):
                 if write:
-                    written = ms
+                    written = int(ms)
                 else:
                     rows.append((k[0], i, written >= 0 and ms - written < ttl_ms))
                     written = -1
-        state.update((int(written),))
+            if written >= 0 and written + ttl_ms > state.getCurrentWatermarkMs():
+                state.update((written,))
+                state.setTimeoutTimestamp(written + ttl_ms)
+            elif state.exists:
+                state.remove()
         yield pd.DataFrame(rows, columns=[key, "id", "hit"])
 
-    return events.groupBy(key).applyInPandasWithState(step, f"{key} long, id long, hit boolean", "written long", "append", GroupStateTimeout.NoTimeout)
+    timed = events.withColumn("_at", F.timestamp_millis("ms")).withWatermark("_at", late)
+    return timed.groupBy(key).applyInPandasWithState(step, f"{key} long, id long, hit boolean", "written long", "append", GroupStateTimeout.EventTimeTimeout)
