@@ -16,13 +16,17 @@ every copy of an item lies whole in some passage. Every passage is a query:
    to ``min_overlap``, and some of the answer, unless nearly all of the item is.
 
 Items are gathered to the driver in blocks of ``block_items``; a larger benchmark
-is run block by block over the corpus, each block with its own document
-frequencies.
+is run block by block over the corpus. Document frequencies, the mean length and
+the length of passages are those of all items, and scores are exact sums, so that
+the size of a block bears on neither scores nor matches.
 
 Defined results: null, empty and short documents are passages of their own, and
 match nothing if they hold no word of an item; items that are null or have no
 word match nothing; an item of fewer than five words is one shingle. Repeated
-documents and items give repeated matches, one row each pair of row and item.
+documents and items give repeated matches, one row each pair of row and item. An
+empty table on either side gives no match. Texts of any length are read whole, a
+passage at a time. Columns beyond those named are kept by ``with_matches``, which
+replaces the one that it is told to fill.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -52,24 +57,44 @@ def shingles(words: list) -> set[tuple]:
     return {tuple(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))} if words else set()
 
 
+@dataclass
+class Statistics:
+    """Of all items: how many have a word, their words, the longest one's, and how many items hold each word."""
+
+    n: int = 0
+    words: int = 0
+    longest: int = 1
+    frequency: Counter = field(default_factory=Counter)
+
+    def add(self, text: str) -> None:
+        words = words_of(text)
+        if words:
+            self.n, self.words, self.longest = self.n + 1, self.words + len(words), max(self.longest, len(words))
+            self.frequency.update(set(words))
+
+
 class Index:
     """Postings by term, with impacts, block maxima and a bound for frequent terms."""
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float, block: int = 4, spare: float = 0.3, k1: float = 0.9, b: float = 0.4):
+    def __init__(self, items: list[tuple[int, str]], threshold: float, every: Statistics | None = None, block: int = 4, spare: float = 0.3, k1: float = 0.9, b: float = 0.4):
+        """``every``: the statistics of the whole benchmark, of which ``items`` may be a part; by default those of ``items``."""
         held = [(i, w, t) for i, t in items if (w := words_of(t))]
+        if every is None:
+            every = Statistics()
+            for _, t in items:
+                every.add(t)
         self.ids = [i for i, _, _ in held]
         self.threshold, self.block = threshold, block
-        self.longest = max((len(w) for _, w, _ in held), default=1)
+        self.longest = every.longest
         self.vocabulary: dict[bytes, int] = {}
-        frequency = Counter(w for _, words, _ in held for w in set(words))
-        mean = sum(len(w) for _, w, _ in held) / max(1, len(held))
+        frequency, mean = every.frequency, every.words / max(1, every.n)
         postings: dict[int, list[tuple[int, float]]] = {}
         for k, (_, words, _) in enumerate(held):
             weights = {
-                w: math.log(1 + (len(held) - frequency[w] + 0.5) / (frequency[w] + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(words) / mean))
+                w: math.log(1 + (every.n - frequency[w] + 0.5) / (frequency[w] + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(words) / mean))
                 for w, tf in Counter(words).items()
             }
-            own = sum(weights.values())
+            own = math.fsum(weights.values())
             for w, x in weights.items():
                 postings.setdefault(self.vocabulary.setdefault(w, len(self.vocabulary)), []).append((k, x / own))
         terms = range(len(self.vocabulary))
@@ -144,7 +169,7 @@ class Index:
                     goal = min(goal, cursors[pivot + 1][0])
                 self._forward(cursors, pivot, max(goal, item + 1))
             elif cursors[0][0] == item:
-                score = sum(self.impacts[t][k] for _, k, t in cursors[: pivot + 1])
+                score = math.fsum(self.impacts[t][k] for _, k, t in cursors[: pivot + 1])
                 if score >= theta:
                     found.append((item, score))
                 self._forward(cursors, pivot, item + 1)
@@ -187,14 +212,18 @@ class Index:
 MATCHES = "array<struct<item_id: bigint, score: double, overlap: double>>"
 
 
-def with_matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, min_overlap: float = 0.8, block_items: int = 20000) -> DataFrame:
-    """Add ``matches``, the items found in each row's text, without moving the texts; it replaces a column so named."""
+def with_matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, min_overlap: float = 0.8, block_items: int = 20000, into: str = "matches") -> DataFrame:
+    """Add ``into``, the items found in each row's text, without moving the texts; it replaces a column so named."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.withColumn("matches", F.array().cast(MATCHES))
+    docs = docs.withColumn(into, F.array().cast(MATCHES))
+    items = benchmark.filter(F.col("text").isNotNull()).select("item_id", "text").orderBy("item_id", "text")
+    every = Statistics()
+    for r in items.toLocalIterator():
+        every.add(r["text"])
 
     def add(out: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
-        index = spark.sparkContext.broadcast(Index(items, threshold))  # of block_items items at most
+        index = spark.sparkContext.broadcast(Index(items, threshold, every))  # of block_items items at most
 
         @F.pandas_udf(MATCHES)
         def scan(texts: pd.Series) -> pd.Series:
@@ -204,10 +233,10 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6,
                 for t in texts
             ])
 
-        return out.withColumn("matches", F.concat("matches", scan("text")))
+        return out.withColumn(into, F.concat(into, scan("text")))
 
     block: list[tuple[int, str]] = []
-    for r in benchmark.filter(F.col("text").isNotNull()).select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
+    for r in items.toLocalIterator():
         block.append((r["item_id"], r["text"]))
         if len(block) == block_items:
             docs, block = add(docs, block), []
@@ -222,4 +251,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **limits) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **limits) -> DataFrame:
     """The rows of ``docs`` in which no item is found."""
-    return with_matches(docs, benchmark, **limits).filter(F.size("matches") == 0).select(docs.columns)
+    own = "_quillsift_matches"
+    return with_matches(docs, benchmark, into=own, **limits).filter(F.size(own) == 0).drop(own)
