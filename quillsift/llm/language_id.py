@@ -10,11 +10,13 @@ Defined results: a text that is null or has no letter is ``und`` with score 0; a
 text with letters is given a learned language, however short; without any
 labelled row every text is ``und``; with one language all texts with letters get
 it. Repeated rows are predicted each on its own. Columns named like the results
-are replaced; all others are kept.
+are replaced; all others are kept. An empty table has an empty result. Whole texts
+are read, a bounded number of bytes at a time.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -102,42 +104,62 @@ def fit_bits(x: np.ndarray, langs: list[str], rounds: int = 200, decay: float =
     return Model(tuple(names), codes, w.astype(np.float32), b.astype(np.float32), trust.astype(np.float32))
 
 
+def _sample(known: DataFrame, per_lang: int, max_docs: int) -> DataFrame:
+    """doc_id, lang and t (hash of a text) of ``max_docs`` documents at most, ``per_lang`` of a language: those of the least hashes of ids.
+
+    Ids far above the sample are dropped where they are read, at a bound that
+    follows each language's count, and a repeated id counts once, with the least
+    hash of its texts. The bound widens until every language has its share.
+    """
+    spark, spread = known.sparkSession, 1 << 40
+    known = known.select("doc_id", "lang", F.xxhash64("text").alias("t"), F.pmod(F.xxhash64("doc_id"), F.lit(spread)).alias("h"))
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    reach = {g: min(spread, 1 + 2 * spread * per_lang // n) for g, n in counts.items()}
+    schema = "lang string, reach long"
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    while True:
+        bounds = F.broadcast(spark.createDataFrame(list(reach.items()), schema))  # a row a language
+        near = known.join(bounds, "lang").filter("h < reach").groupBy("lang", "doc_id", "h").agg(F.min("t").alias("t"))
+        found = near.withColumn("r", rank).filter(F.col("r") <= per_lang).collect()
+        have = Counter(r["lang"] for r in found)
+        few = [g for g in reach if have[g] < per_lang and reach[g] < spread]
+        if not few:
+            break
+        reach |= {g: min(spread, 8 * reach[g]) for g in few}
+    found = sorted(found, key=lambda r: (r["r"], r["h"], r["doc_id"], r["lang"]))[:max_docs]
+    return spark.createDataFrame([(r["doc_id"], r["lang"], r["t"]) for r in found], "doc_id long, lang string, t long")
+
+
 def fit(docs: DataFrame, per_lang: int = 400, max_docs: int = 2000) -> Model:
-    """Learn from at most ``max_docs`` labelled rows, ``per_lang`` of a language.
+    """Learn from at most ``max_docs`` labelled documents, ``per_lang`` of a language.
 
-    The sample is the rows with the smallest hashes of their ids among those
-    whose crc32 isn't held out. Ids alone are gathered; whole texts are then
-    turned into features on the executors.
+    The sample is the ids with the smallest hashes among those whose crc32 isn't
+    held out, each with one of its texts. Ids alone are gathered; whole texts are
+    then turned into features on the executors, one row a sampled id.
     """
     small_batches(docs.sparkSession)
-    known = docs.filter(learnable("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    ids = (
-        known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("r", rank)
-        .filter(F.col("r") <= per_lang).orderBy("r", "h", "doc_id").limit(max_docs).select("doc_id").collect()
-    )
-    wanted = sorted({r[0] for r in ids})
-    if not wanted:
-        return fit_bits(np.zeros((0, DIMS), dtype=np.float32), [])
+    known = docs.filter(learnable("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    sample = _sample(known, per_lang, max_docs)
 
     def sparse(batches):
         for pdf in batches:
-            x = features(list(pdf["text"]))
-            cells = [np.flatnonzero(row) for row in x]
-            yield pd.DataFrame({
-                "doc_id": pdf["doc_id"], "lang": pdf["lang"],
-                "cells": [c.astype("<u2").tobytes() for c in cells],
-                "values": [row[c].astype("<f4").tobytes() for row, c in zip(x, cells, strict=True)],
-            })
-
-    rows = (
-        known.filter(F.col("doc_id").isin(wanted)).select("doc_id", "lang", "text")
-        .mapInPandas(sparse, "doc_id long, lang string, cells binary, values binary").limit(2 * max_docs).collect()
-    )
-    rows.sort(key=lambda r: (r["doc_id"], r["lang"], bytes(r["cells"]), bytes(r["values"])))
+            for lo in range(0, len(pdf), ROWS):
+                part = pdf.iloc[lo : lo + ROWS]
+                x = features(list(part["text"]))
+                cells = [np.flatnonzero(row) for row in x]
+                yield pd.DataFrame({
+                    "doc_id": part["doc_id"], "lang": part["lang"],
+                    "cells": [c.astype("<u2").tobytes() for c in cells],
+                    "values": [row[c].astype("<f4").tobytes() for row, c in zip(x, cells, strict=True)],
+                })
+
+    wanted = known.withColumn("t", F.xxhash64("text")).join(F.broadcast(sample), ["doc_id", "lang", "t"])  # max_docs rows
+    made = wanted.select("doc_id", "lang", "text").mapInPandas(sparse, "doc_id long, lang string, cells binary, values binary")
+    rows = made.groupBy("doc_id", "lang").agg(F.min(F.struct("cells", "values")).alias("x")).collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["lang"]))
     x = np.zeros((len(rows), DIMS), dtype=np.float32)
     for i, r in enumerate(rows):
-        x[i, np.frombuffer(r["cells"], "<u2")] = np.frombuffer(r["values"], "<f4")
+        x[i, np.frombuffer(r["x"]["cells"], "<u2")] = np.frombuffer(r["x"]["values"], "<f4")
     return fit_bits(x, [r["lang"] for r in rows])
 
 
@@ -164,9 +186,8 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def identify(docs: DataFrame, model: Model, ambiguous_below: float = 0.1) -> DataFrame:
-    """Add lang_pred, score (0 to 1) and ambiguous (two codewords nearly as close) to every row."""
-    small_batches(docs.sparkSession)
+def identified(model: Model, ambiguous_below: float = 0.1):
+    """A column function of whole texts: a struct of lang_pred, score (0 to 1) and ambiguous (two codewords nearly as close)."""
 
     @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
     def predict(texts: pd.Series) -> pd.DataFrame:
@@ -179,5 +200,11 @@ def identify(docs: DataFrame, model: Model, ambiguous_below: float = 0.1) -> Dat
             out.loc[rows, "ambiguous"] = lead < ambiguous_below
         return out
 
-    found = docs.drop("lang_pred", "score", "ambiguous").withColumn("_lid", predict("text"))
+    return predict
+
+
+def identify(docs: DataFrame, model: Model, ambiguous_below: float = 0.1) -> DataFrame:
+    """Add lang_pred, score and ambiguous to every row, instead of any columns so named."""
+    small_batches(docs.sparkSession)
+    found = docs.drop("lang_pred", "score", "ambiguous").withColumn("_lid", identified(model, ambiguous_below)("text"))
     return found.select("*", "_lid.*").drop("_lid")
