@@ -6,6 +6,8 @@ production parameters and picks the columns of its result.
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,8 +27,11 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pii_key(spark: SparkSession) -> str:
-    """The secret of the surrogates, from the session's settings."""
-    return spark.conf.get("spark.quillsift.pii.key", "set spark.quillsift.pii.key")
+    """The secret of the surrogates, from the session's settings; if there is none, one drawn for this session alone."""
+    name = "spark.quillsift.pii.key"
+    if not spark.conf.get(name, None):
+        spark.conf.set(name, secrets.token_hex(32))
+    return spark.conf.get(name)
 
 
 def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,8 +15,9 @@ same type and format, made with a secret key:
 
 One value always gets one surrogate, in all documents and runs with the same
 key, so coreference is preserved. Collisions are checked over the whole corpus:
-of values of one kind that would share a surrogate only one keeps it, as does no
-value that would be left unchanged; the others draw again until none collides.
+of values of one kind that would share a surrogate only one keeps it, and no value
+keeps one that the corpus holds itself, be it its own or another's; the others draw
+again until none collides.
 The few redrawn values are handed to the rewriting pass: as a table of a checked
 size, or joined by the text's hash if there are more than ``max_shared``.
 
@@ -27,7 +28,9 @@ one more with each further draw, so that formats in full use end too. A secret h
 a letter or digit. A null text stays null with no entities; texts without entities
 are unchanged to the byte. Rows that repeat a doc_id are rewritten alike. Card
 numbers are those with a right check digit; other long numbers stay. Texts of any
-length are read whole. A column n_entities is replaced.
+length are read whole. A column n_entities is replaced; all others are kept. An
+empty table has an empty result. Without a key nothing is replaced: it is an error,
+as whoever knows the key can undo the permutations.
 """
 
 from __future__ import annotations
@@ -249,8 +252,10 @@ def redraws(docs: DataFrame, key: str, max_rounds: int = 100) -> tuple[DataFrame
     where = materialize(docs.select(F.xxhash64("text").alias("h"), "text").mapInPandas(found, "h long, kind string, value string"))
     drawn = materialize(where.groupBy("kind", "value").agg(F.lit(0).alias("attempt")).withColumn("new", draw("kind", "value", "attempt")))
     first = Window.partitionBy("kind", "new").orderBy("attempt", "value")
+    real = drawn.select("kind", F.col("value").alias("new"), F.lit(True).alias("_real"))
     for _ in range(max_rounds):
-        clash = drawn.withColumn("bad", (F.row_number().over(first) > 1) | (F.col("new") == F.col("value")))
+        clash = drawn.withColumn("_nth", F.row_number().over(first)).join(real, ["kind", "new"], "left")
+        clash = clash.select("kind", "value", "attempt", "new", ((F.col("_nth") > 1) | F.col("_real").isNotNull()).alias("bad"))
         clash = materialize(clash)
         losers = clash.filter("bad")
         if losers.isEmpty():
@@ -262,6 +267,8 @@ def redraws(docs: DataFrame, key: str, max_rounds: int = 100) -> tuple[DataFrame
 
 def pseudonymize(docs: DataFrame, key: str, max_shared: int = 50_000) -> DataFrame:
     """Replace the entities in ``text`` of every row and add n_entities."""
+    if not key:
+        raise ValueError("surrogates need a secret key")
     small_batches(docs.sparkSession)
     secret, docs = key.encode(), docs.drop("n_entities")
     where, again = redraws(docs, key)
