@@ -5,7 +5,8 @@ fingerprint selects a declarative mapping, from which Spark column expressions
 are built that turn the record into canonical turns: prompt and completion
 pairs, instructions with optional inputs, lists of messages under several names,
 and tables with a row for each turn, whose turns and roles are canonical already
-and stay as they are. Layouts without a mapping raise an error that names the paths.
+and stay as they are. Layouts without a mapping raise an error that names the paths,
+or are counted by their paths in a table of several layouts.
 
 The template marks every turn and escapes control strings inside texts::
 
@@ -19,7 +20,8 @@ assistant turns.
 Defined results: a null text or role is empty; turns come in the order of turn
 (null first), then role, then text, so that ties have one result; repeated rows
 are repeated turns; a conversation without rows has no output. Columns beyond a
-mapping's paths are ignored.
+mapping's paths are ignored. Conversations of any length are streamed, turn by turn;
+a turn is held whole.
 """
 
 from __future__ import annotations
@@ -105,6 +107,27 @@ def canonical_turns(records: DataFrame, id_col: str, ignore: tuple[str, ...] = (
     return out.filter((F.col("role") != "system") | (F.col("text") != ""))
 
 
+def mixed_turns(records: DataFrame, id_col: str, ignore: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Canonical turns of a table that holds records of several layouts, and the layouts that no mapping is known for.
+
+    A record's own paths are those of the columns that aren't null in it; its layout is
+    the one with the same fingerprint. The second table is (fingerprint, paths, n).
+    """
+    paths = {f.name: field_paths(T.StructType([f])) for f in records.drop(id_col).schema.fields if f.name not in ignore}
+    here = F.flatten(F.array(*(F.when(F.col(c).isNotNull(), F.array(*map(F.lit, p))).otherwise(F.array().cast("array<string>")) for c, p in paths.items())))
+    own = F.array_sort(here)
+    named = records.withColumn("_paths", own).withColumn("_print", F.substring(F.sha2(F.array_join("_paths", "\n"), 256), 1, 16))
+    every = {p for ps in paths.values() for p in ps}
+    known = {fingerprint(list(p)): p for p, _ in LAYOUTS if set(p) <= every}
+    turns = records.sparkSession.createDataFrame([], "conv_id long, turn long, role string, text string")
+    for key, layout in known.items():
+        columns = sorted({re.split(r"[.\[]", p)[0] for p in layout})
+        turns = turns.unionByName(canonical_turns(named.filter(F.col("_print") == key).select(id_col, *columns), id_col))
+    other = named.filter(~F.col("_print").isin(*known)) if known else named
+    unknown = other.groupBy(F.col("_print").alias("fingerprint")).agg(F.first("_paths").alias("paths"), F.count("*").alias("n"))
+    return turns, unknown
+
+
 def escape(text: Column) -> Column:
     out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
     for c in CONTROLS:
