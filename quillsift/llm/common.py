@@ -81,13 +81,26 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    if (name := path.rpartition("/")[2]).startswith("quillsift_"):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the table of ``materialize`` that ``df`` is, once all that is made of it is written itself."""
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        for spark, path in [m for m in _made if folder.endswith(m[1].rpartition("/")[2])]:
+            _remove(spark, path)
+            _made.remove((spark, path))
+
+
 @atexit.register
 def _remove_made() -> None:
     for spark, path in _made:
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _remove(spark, path)
         except Exception:  # the session may be gone already; then the folder's owner clears it
             return
 
