@@ -28,34 +28,37 @@ from quillsift.llm.common import learnable, materialize
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def statistics() -> dict[str, Column]:
-    """Statistics of the column ``text``, as functions of the whole text."""
+#: Characters of which a text is rid before marks, digits and capitals are counted in what is left.
+PLAIN = "abcdefghijklmnopqrstuvwxyz "
+#: Statistics by name, over the columns of ``parts``.
+NAMES = (
+    "n_words", "word_length", "distinct_words", "distinct_sentences", "distinct_lines", "words_per_line", "words_per_sentence",
+    "symbols", "bars", "shouts", "stops", "commas", "digits", "capitals",
+)
+
+
+def parts(docs: DataFrame, *keep: str) -> DataFrame:
+    """One pass over each whole text: its length, words, lines, sentences, and what is neither a small letter nor a blank."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    words = F.filter(F.split(text, SPACE), lambda w: w != "")
-    lines = F.split(text, "\n")
-    marks = F.split(text, r"[.!?]+")
-    n, chars = F.size(words), F.length(text)
-
-    def without(chars_: str) -> Column:
-        return (chars - F.length(F.translate(text, chars_, ""))).cast("double")
-
-    per_word = F.greatest(n, F.lit(1))
-    return {
-        "n_words": n.cast("double"),
-        "word_length": chars / per_word,
-        "distinct_words": F.size(F.array_distinct(words)) / per_word,
-        "distinct_sentences": F.size(F.array_distinct(marks)) / F.size(marks),
-        "distinct_lines": F.size(F.array_distinct(lines)) / F.size(lines),
-        "words_per_line": n / F.size(lines),
-        "words_per_sentence": n / F.size(marks),
-        "symbols": without("#*$%&<>") / per_word,
-        "bars": without("|") / per_word,
-        "shouts": without("!?") / per_word,
-        "stops": without(".") / per_word,
-        "commas": without(",;:") / per_word,
-        "digits": without("0123456789") / F.greatest(chars, F.lit(1)),
-        "capitals": without("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / F.greatest(chars, F.lit(1)),
-    }
+    words = F.array_remove(F.split(text, SPACE), "")
+    return docs.select(
+        *keep, F.length(text).alias("_chars"), words.alias("_words"), F.split(text, "\n").alias("_lines"),
+        F.split(text, r"[.!?]+").alias("_marks"), F.translate(text, PLAIN, "").alias("_rest"),
+    )
+
+
+def statistics(cut: DataFrame, *keep: str) -> DataFrame:
+    """The statistics of the texts whose ``parts`` are given."""
+    n, chars, lines, marks, rest = F.size("_words"), F.col("_chars"), F.size("_lines"), F.size("_marks"), F.col("_rest")
+    per_word, per_char = F.greatest(n, F.lit(1)), F.greatest(chars, F.lit(1))
+    held = lambda chars_: (F.length(rest) - F.length(F.translate(rest, chars_, ""))).cast("double")
+    made = (
+        n.cast("double"), chars / per_word, F.size(F.array_distinct("_words")) / per_word, F.size(F.array_distinct("_marks")) / marks,
+        F.size(F.array_distinct("_lines")) / lines, n / lines, n / marks,
+        held("#*$%&<>") / per_word, held("|") / per_word, held("!?") / per_word, held(".") / per_word, held(",;:") / per_word,
+        held("0123456789") / per_char, held("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / per_char,
+    )
+    return cut.select(*keep, *(c.alias(k) for k, c in zip(NAMES, made, strict=True)))
 
 
 @dataclass(frozen=True)
@@ -173,8 +176,7 @@ def fit(stats: DataFrame, labels: DataFrame, names: list[str], max_rows: int = 2
 
 def score(docs: DataFrame, labels: DataFrame, max_rows: int = 20000, threshold: float = 0.3) -> DataFrame:
     """doc_id, score (0 to 1) and predicted of every row of ``docs``."""
-    columns = statistics()
-    stats = materialize(docs.select("doc_id", *(c.alias(k) for k, c in columns.items())))
-    rules = fit(stats, labels, list(columns), max_rows)
+    stats = materialize(statistics(parts(docs, "doc_id"), "doc_id"))
+    rules = fit(stats, labels, list(NAMES), max_rows)
     scored = stats.withColumn("score", rules.column())
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int")).select("doc_id", "score", "predicted")
