@@ -18,10 +18,14 @@ of one size are ranked by a hash of their id inside salted cells, so that many
 equal documents are dealt over many tasks. A few rounds then add or drop one copy a
 source, of the size nearest what its target still lacks.
 
+Tables of a row a source are held by the driver if there are few sources, and
+written otherwise; what is computed is the same.
+
 Defined results: documents without words are never taken; a source without
 words, or an empty table, takes nothing. The null source is one source, after
-all others. Rows that repeat an id are separate documents. Columns named like
-the results are replaced.
+all others. Rows that repeat an id are separate documents, told apart by their
+texts if ``docs`` has them. Texts of any length are counted whole. Columns named
+like the results are replaced. Multipliers that don't settle are an error.
 """
 
 from __future__ import annotations
@@ -40,6 +44,16 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+#: Rows of a table that the driver may hold.
+FEW = 10_000
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """``df`` computed once: held by the driver if it has few rows, written else."""
+    rows = df.limit(FEW + 1).collect()
+    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= FEW else materialize(df)
+
+
 def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """source, source_size, target of sources (source, source_size).
 
@@ -70,13 +84,13 @@ def _rate(size: Column, lam: Column, mean: Column, most: int) -> Column:
     return F.when(F.col("_full"), F.lit(float(most))).otherwise(most * t / (most - 1 + t))
 
 
-def multipliers(cells: DataFrame, goals: DataFrame, most: int = 3, rounds: int = 40, close: float = 1e-7) -> DataFrame:
+def multipliers(cells: DataFrame, goals: DataFrame, most: int = 3, rounds: int = 100, close: float = 1e-7) -> DataFrame:
     """goals with the multiplier lam of each source and _full where the target is the bound itself."""
     state = goals.withColumns({
         "_full": F.col("target") >= most * F.col("source_size"), "mean": F.greatest(F.col("source_size") / F.greatest("n_docs", F.lit(1)), F.lit(1e-9)),
         "lam": F.lit(0.0), "lo": F.lit(-1e6), "hi": F.lit(1e6), "off": F.col("target").cast("double"),
     })
-    state = materialize(state)
+    state = _kept(state)
     for _ in range(rounds):
         at = cells.join(state, F.expr("source <=> key"))
         rate = _rate(F.col("size"), F.col("lam"), F.col("mean"), most)
@@ -90,35 +104,41 @@ def multipliers(cells: DataFrame, goals: DataFrame, most: int = 3, rounds: int =
         middle = F.when(lo <= -1e6, F.least(2 * hi, F.lit(-1.0))).when(hi >= 1e6, F.greatest(2 * lo, F.lit(1.0))).otherwise((lo + hi) / 2)
         bold = F.abs(newton - F.col("lam")) <= F.greatest(F.lit(2.0), F.abs(F.col("lam")))
         moved = F.when((newton > lo) & (newton < hi) & bold, newton).otherwise(middle)
-        done = F.col("_full") | F.col("got").isNull() | (F.abs(got - F.col("target")) <= close * F.greatest("target", F.lit(1.0)))
+        done = F.col("_full") | F.col("got").isNull() | (F.abs(got - F.col("target")) <= close * F.col("target") + 1e-4)
         nxt = state.withColumnRenamed("key", "key0").join(sums, F.expr("key0 <=> key"), "left").drop("key").withColumnRenamed("key0", "key")
-        state = materialize(nxt.select(
+        state = _kept(nxt.select(
             "key", "source_size", "n_docs", "target", "_full", "mean", F.when(done, F.col("lam")).otherwise(moved).alias("lam"),
             F.when(done, F.col("lo")).otherwise(lo).alias("lo"), F.when(done, F.col("hi")).otherwise(hi).alias("hi"),
             F.when(done, F.lit(0.0)).otherwise(F.abs(got - F.col("target"))).alias("off"),
         ))
         if state.filter("off > 0").isEmpty():
-            break
-    return state
+            return state
+    raise RuntimeError("the multipliers of some sources did not settle")
 
 
 def _settle(dealt: DataFrame, most: int, rounds: int = 8) -> DataFrame:
     """Move each source's words nearer its target, one copy a round: the cell whose size is nearest what is missing."""
+    gaps = dealt.groupBy(F.col("_s").alias("_o")).agg((F.first("target") - F.sum(F.col("_got") * F.col("_n"))).alias("_gap"))
+    gaps, moves = _kept(gaps), None
     for _ in range(rounds):
-        short = dealt.groupBy("_s").agg(F.first("target").alias("_t"), F.sum(F.col("_got") * F.col("_n")).alias("_w"))
-        gap = dealt.join(short.select(F.col("_s").alias("_o"), (F.col("_t") - F.col("_w")).alias("_gap")), F.expr("_s <=> _o"))
+        now = _moved(dealt, moves).join(gaps, F.expr("_s <=> _o"))
         room = F.when(F.col("_gap") > 0, F.col("_got") < most * F.col("n")).otherwise(F.col("_got") > 0) & (F.col("_n") > 0)
         left = F.abs(F.abs("_gap") - F.col("_n"))
-        pick = (
-            gap.filter(room & (left < F.abs("_gap"))).groupBy(F.col("_s").alias("_o"))
-            .agg(F.min(F.struct(left.alias("left"), F.col("_n").alias("size"), F.col("_k").alias("salt"), F.signum("_gap").cast("long").alias("by"))).alias("_p"))
-        )
+        best = F.min(F.struct(left.alias("left"), F.col("_n").alias("size"), F.col("_k").alias("salt"), F.signum("_gap").cast("long").alias("by"))).alias("_p")
+        pick = _kept(now.filter(room & (left < F.abs("_gap"))).groupBy(F.col("_s").alias("_q")).agg(best).select("_q", "_p.size", "_p.salt", "_p.by"))
         if pick.isEmpty():
             break
-        here = F.expr("_n = _p.size AND _k = _p.salt")
-        moved = dealt.join(pick, F.expr("_s <=> _o"), "left").withColumn("_got", F.col("_got") + F.when(here, F.col("_p.by")).otherwise(F.lit(0)))
-        dealt = materialize(moved.drop("_o", "_p"))
-    return dealt
+        moves = pick if moves is None else _kept(moves.unionAll(pick).groupBy("_q", "size", "salt").agg(F.sum("by").alias("by")))
+        step = F.coalesce(F.col("by") * F.col("size"), F.lit(0))
+        gaps = _kept(gaps.join(pick, F.expr("_o <=> _q"), "left").select("_o", (F.col("_gap") - step).alias("_gap")))
+    return _moved(dealt, moves)
+
+
+def _moved(dealt: DataFrame, moves: DataFrame | None) -> DataFrame:
+    if moves is None:
+        return dealt
+    met = dealt.join(moves, F.expr("_s <=> _q AND _n = size AND _k = salt"), "left")
+    return met.withColumn("_got", F.col("_got") + F.coalesce("by", F.lit(0))).drop("_q", "size", "salt", "by")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, sized: DataFrame | None = None) -> DataFrame:
@@ -129,13 +149,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, si
     only where ``docs`` has no column size.
     """
     results = ["size", "source_size", "target", "rate", "copies", "taken"]
+    # which document of a size and source; of rows that repeat an id, the texts tell
+    own = F.xxhash64("doc_id", *(c for c in docs.columns if c == "text" and sized is None))
     if sized is None:
         docs = docs.drop(*results).withColumn("size", word_count())
-        sized = materialize(docs.select("doc_id", "source", "size"))
+        sized = materialize(docs.select("doc_id", "source", "size", own.alias("_own")))
+    else:
+        sized = sized.withColumn("_own", own)
     docs = docs.drop(*(r for r in results if r != "size"))
     n = sized.count()
-    salts = F.pmod(F.xxhash64("doc_id", F.lit("salt")), F.lit(max(1, -(-n // CELL_ROWS))))
-    cells = materialize(sized.withColumn("salt", salts).groupBy("source", "size", "salt").agg(F.count("*").alias("n")))
+    salts = lambda h: F.pmod(F.xxhash64(h, F.lit("salt")), F.lit(max(1, -(-n // CELL_ROWS))))
+    cells = materialize(sized.withColumn("salt", salts(F.col("_own"))).groupBy("source", "size", "salt").agg(F.count("*").alias("n")))
     totals = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n_docs"))
     goals = targets(totals.select("source", "source_size"), weights, most).join(
         totals.select(F.col("source").alias("key"), "n_docs"), F.expr("source <=> key")
@@ -158,11 +182,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, si
     dealt = materialize(dealt.select(
         F.col("source").alias("_s"), F.col("size").alias("_n"), F.col("salt").alias("_k"), "source_size", "target", "rate", "n", "_got",
     ))
-    dealt = _settle(dealt, most).withColumn("_each", F.expr("_got div n")).withColumn("_more", F.col("_got") % F.col("n")).drop("n", "_got")
+    dealt = materialize(_settle(dealt, most)).withColumn("_each", F.expr("_got div n")).withColumn("_more", F.col("_got") % F.col("n")).drop("n", "_got")
     # one key without nulls for the ranks and the join, so that the rows are dealt out once for both
     key = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit(""))
-    here = docs.withColumns({"_src": key("source"), "_salt": salts})
-    rank = F.row_number().over(Window.partitionBy("_src", "size", "_salt").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    here = docs.withColumns({"_src": key("source"), "_own": own}).withColumn("_salt", salts(F.col("_own")))
+    rank = F.row_number().over(Window.partitionBy("_src", "size", "_salt").orderBy("_own", "doc_id"))
     dealt = dealt.withColumn("_s", key("_s")).toDF(*("_src" if c == "_s" else "size" if c == "_n" else "_salt" if c == "_k" else c for c in dealt.columns))
     out = here.withColumn("_rank", rank).join(dealt, ["_src", "size", "_salt"])
     copies = F.least(F.col("_each") + (F.col("_rank") <= F.col("_more")).cast("long"), F.lit(most)).cast("long")
