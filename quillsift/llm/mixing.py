@@ -50,8 +50,8 @@ FEW = 10_000
 
 def _kept(df: DataFrame) -> DataFrame:
     """``df`` computed once: held by the driver if it has few rows, written else."""
-    rows = df.limit(FEW + 1).collect()
-    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= FEW else materialize(df)
+    rows = df.limit(FEW + 1).toArrow()
+    return df.sparkSession.createDataFrame(rows, df.schema) if rows.num_rows <= FEW else materialize(df)
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
