@@ -210,3 +210,14 @@ def test_pipeline_drops_every_near_copy(spark, odd):
         assert {i: r.d for r in got for i in r["all"]} == dict(enumerate(want))
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == sorted(set(want))
     assert [r.doc_id for r in near_copies.deduplicate(odd).filter("doc_id < 3").collect()] == [1] and near_copies.deduplicate(odd.limit(0)).count() == 0
+
+
+def test_several_layouts_in_one_table(spark):
+    rows = [(1, "p", "c", None, None, None, None), (2, None, None, "do", "done", None, None), (3, None, None, "do", "done", "this", None), (4, None, None, None, None, None, [("human", "a"), ("gpt", "b")]), (5, "p", None, None, "x", None, None), (6, None, None, None, None, None, None)]
+    table = spark.createDataFrame(rows, "id long, prompt string, completion string, instruction string, output string, input string, conversations array<struct<`from`: string, value: string>>")
+    turns, unknown = chat_format.mixed_turns(table, "id")
+    got = {}
+    for r in turns.orderBy("conv_id", "turn").collect():
+        got.setdefault(r.conv_id, []).append((r.role, r.text))
+    assert got == {1: [("user", "p"), ("assistant", "c")], 2: [("user", "do"), ("assistant", "done")], 3: [("user", "do\n\nthis"), ("assistant", "done")], 4: [("user", "a"), ("assistant", "b")]}
+    assert {tuple(r.paths): r.n for r in unknown.collect()} == {("output", "prompt"): 1, (): 1}
