@@ -15,7 +15,7 @@ from quillsift.functions import entity
 
 # Thresholds of what is one region.
 OVERLAP, SLACK, LINE, LEFT, RIGHT, ADJACENT = 0.20, 5.0, 18.0, -6.0, 40.0, ("private_person", "private_address")
-FUSED = "doc_id long, seq long, type string, sources array<string>, confidence double, x0 double, y0 double, x1 double, y1 double, n_merged long"
+REGION = "type string, sources array<string>, confidence double, x0 double, y0 double, x1 double, y1 double, n_merged long"
 
 
 def _touch(a: list[float], b: list[float], kind: str) -> bool:
@@ -36,13 +36,17 @@ def _compatible(a: str, sa: str, b: str, sb: str) -> bool:
 
 
 def fuse_rows(frame: pd.DataFrame) -> list[tuple]:
-    """(type, sources, confidence, box, number merged) of regions in the order of their bases.
+    """(type, sources, confidence, box, number merged) of regions in the order of their bases."""
+    rows = frame.sort_values(["confidence", "arrival"], ascending=[False, True], kind="stable")
+    return fold(list(zip(rows["type"], rows["source"], rows["confidence"], rows[["x0", "y0", "x1", "y1"]].to_numpy().tolist(), strict=True)))
+
+
+def fold(items: list[tuple]) -> list[tuple]:
+    """Regions of detections (type, source, confidence, box), the surest first.
 
     What may join a base is judged by the base's own type, even where the region
     has taken a more specific one from a member.
     """
-    rows = frame.sort_values(["confidence", "arrival"], ascending=[False, True], kind="stable")
-    items = list(zip(rows["type"], rows["source"], rows["confidence"], rows[["x0", "y0", "x1", "y1"]].to_numpy().tolist(), strict=True))
     used, out = [False] * len(items), []
     for i, (base, source, confidence, at) in enumerate(items):
         if used[i]:
@@ -73,12 +77,16 @@ def arrived(detections: DataFrame, *order: str) -> DataFrame:
 def fuse(detections: DataFrame, policy: dict[str, str] | None = None) -> DataFrame:
     """Fused regions of detections (doc_id, arrival, type, source, confidence, x0..y1), with tag, risk, token, action and rank."""
 
-    def folded(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [(key[0], n + 1, *r) for n, r in enumerate(fuse_rows(pdf))]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in FUSED.split(", ")])
+    names = [f.split()[0] for f in REGION.split(", ")]
+
+    @F.pandas_udf(f"array<struct<{REGION.replace(' ', ': ')}>>".replace(",: ", ", "))
+    def folded(frames: pd.Series) -> pd.Series:
+        every = ([(c["type"], c["source"], c["confidence"], [c[k] for k in ("x0", "y0", "x1", "y1")]) for c in cells] for cells in frames)
+        return pd.Series([[dict(zip(names, r, strict=True)) for r in fold(items)] for items in every], dtype=object)
 
-    cols = ["doc_id", "arrival", "type", "source", "confidence", "x0", "y0", "x1", "y1"]
-    out = detections.select(cols).groupBy("doc_id").applyInPandas(folded, FUSED)
+    cell = F.struct((-F.col("confidence")).alias("_o"), "arrival", "type", "source", "confidence", "x0", "y0", "x1", "y1")
+    frames = detections.groupBy("doc_id").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    out = frames.select("doc_id", F.posexplode(folded("cells")).alias("seq", "r")).select("doc_id", (F.col("seq") + 1).cast("long").alias("seq"), "r.*")
     out = out.withColumns({"tag": entity.tag(F.col("type")), "risk": entity.risk(F.col("type"))})
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy(entity.rank(F.col("risk")), "y0", "seq"))
     return out.withColumns({

@@ -97,22 +97,28 @@ def align_rows(words: pd.DataFrame, spans: pd.DataFrame) -> list[tuple]:
     return out
 
 
-ALIGNED = "doc_id long, type string, text string, confidence double, x0 double, y0 double, x1 double, y1 double, words array<struct<ln: bigint, wi: bigint>>"
+PLACED = "type: string, text: string, confidence: double, x0: double, y0: double, x1: double, y1: double, words: array<struct<ln: bigint, wi: bigint>>"
 
 
 def align(spans: DataFrame, boxed: DataFrame) -> DataFrame:
     """Place spans (doc_id, type, text, confidence) on the words of their documents; ``words`` are those of each box."""
-
-    def placed(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        right = right.sort_values(["ln", "wi"])
-        where = list(zip(right["ln"].tolist(), right["wi"].tolist(), strict=True))
-        rows = align_rows(right, left.sort_values(["type", "text"])) if len(left) else []
-        made = [(key[0], *r[:-2], [{"ln": a, "wi": b} for a, b in where[r[-2] : r[-1] + 1]]) for r in rows]
-        return pd.DataFrame(made, columns=["doc_id", "type", "text", "confidence", "x0", "y0", "x1", "y1", "words"])
-
-    mine = boxed.join(spans.select("doc_id").distinct(), "doc_id", "left_semi")  # documents without spans stay away from Python
-    mine = mine.select(*(F.col(c).alias(c) for c in mine.columns))  # both sides may come of one table
-    return spans.groupBy("doc_id").cogroup(mine.groupBy("doc_id")).applyInPandas(placed, ALIGNED)
+    names = [f.split(":")[0] for f in PLACED.split(", ")[:-1]]
+
+    @F.pandas_udf(f"array<struct<{PLACED}>>")
+    def placed(spans_: pd.Series, words_: pd.Series) -> pd.Series:
+        out = []
+        for left, right in zip(spans_, words_, strict=True):
+            words = pd.DataFrame({k: [w[k] for w in right] for k in ("ln", "wi", "word", "x0", "y0", "x1", "y1")})
+            own = pd.DataFrame({k: [x[k] for x in left] for k in ("type", "text", "confidence")})
+            where = [{"ln": w["ln"], "wi": w["wi"]} for w in right]
+            out.append([dict(zip(names, r[:-2], strict=False)) | {"words": where[r[-2] : r[-1] + 1]} for r in align_rows(words, own)])
+        return pd.Series(out, dtype=object)
+
+    listed = lambda df, *cols: df.groupBy(F.col("doc_id").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("cells"))
+    held = listed(spans, "type", "text", "confidence").select(F.col("doc_id").alias("_d"), F.col("cells").alias("spans"))
+    mine = boxed.join(spans.select("doc_id").distinct(), "doc_id", "left_semi")  # documents without spans are left out before their words are gathered
+    met = listed(mine, "ln", "wi", "word", "x0", "y0", "x1", "y1").join(held, F.col("doc_id") == F.col("_d"))
+    return met.select("doc_id", F.inline(placed("spans", "cells")))
 
 
 def align_exact(spans: DataFrame, boxed: DataFrame) -> DataFrame:
