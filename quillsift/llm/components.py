@@ -2,7 +2,8 @@
 
 Each round links every node's larger neighbours to its least neighbour, then its
 smaller ones, until the edges are stars. A node's least neighbour is a
-pre-aggregated minimum, so a node with very many links is no bottleneck.
+pre-aggregated minimum, written before it is joined to the links, so that the links
+of a node with very many can be split over tasks.
 """
 
 from __future__ import annotations
@@ -19,12 +20,12 @@ def _mark(edges: DataFrame) -> tuple:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
     return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = materialize(edges.groupBy("u").agg(F.min("v").alias("m")))
     linked = edges.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return linked.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -42,7 +43,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not mark[0]:
             break
-        then = materialize(_small_star(_large_star(now)))
+        then = materialize(_small_star(materialize(_large_star(now))))
         new = _mark(then)
         if new == mark:
             return then

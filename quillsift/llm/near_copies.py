@@ -1,22 +1,27 @@
-"""Near copies by exact similarity of five-word shingles.
-
-Documents whose sets of shingles have a Jaccard similarity of 0.8 or more are
-linked, and chains of links are groups. SimHash fingerprints can't serve here:
-pairs at 0.8 differ in some ten of 64 bits, often more, and the tries' walk
-within so many bits meets nearly all pairs.
-
-All shingles stand in one order, those that are frequent in a sample last. Two
-sets at or above the threshold share one of the first fifth of each (its prefix),
-whatever the order, so that the sample bears on the cost alone and never on the
-result. Sets that share a prefix shingle are candidates, if as many shingles follow
-the first they share as the threshold needs:
-
-1. Every set is compared with one or two others of its prefix shingles,
-   which joins nearly all of a group of any size at a linear cost.
-2. Candidates that aren't in one group by then are compared pair by pair.
+"""Near copies: SimHash tries first, then whatever their error budget can't reach.
+
+Documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more
+are linked, and chains of links are groups. The tries' walk over SimHash
+fingerprints finds pairs within a few bits, which is most copies with a small
+edit; pairs at 0.8 differ in some ten of 64 bits, and a walk within so many bits
+meets nearly all pairs. So the operator works in two steps, and every link is
+verified by the exact similarity of the whole sets:
+
+1. Pairs found by the tries' walk, and pairs of each set with that set, of those that
+   have one of its eight min-hashes, which has the fewest rare shingles, join nearly
+   all of a group of any size at a linear cost.
+2. Sets of different groups are compared wherever they can be at the threshold. All
+   shingles stand in one order, those that are frequent in a sample last. Two sets at
+   or above the threshold share one of the first fifth of each (its prefix),
+   whatever the order, so that the sample bears on the cost alone and never on the
+   result. Sets of different groups that share a prefix shingle are compared, if as
+   many shingles follow the first they share as the threshold needs, and if the
+   parities of their shingles' hashes in 512 cells differ no more than the sets may.
+   A pair meets at the first prefix shingle it shares, and there alone.
 
 Defined results: rows without a word form one group; a text of fewer words than
-a shingle is one shingle; rows that repeat a doc_id share its group.
+a shingle is one shingle; rows that repeat a doc_id share its group; an empty table
+has no rows. Columns beyond doc_id and text are not looked at. Whole texts are read.
 """
 
 from __future__ import annotations
@@ -29,9 +34,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillsift.llm.common import materialize, small_batches
+from quillsift.llm.common import discard, materialize, small_batches
 from quillsift.llm.components import components
-from quillsift.llm.simhash import SEED, least_rows, shingle_hashes
+from quillsift.llm.simhash import SEED, least_rows, links, shingle_hashes, simhash
 
 WIDTH = 5
 #: The threshold is 4 / 5, in integers so that it is exact.
@@ -40,23 +45,38 @@ NUM, DEN = 4, 5
 SAMPLE, FREQUENT, MOST = 8_000, 4, 500_000
 
 
+#: Bits in which fingerprints of the tries' walk may differ.
+BUDGET = 2
+#: Cells of the parities, of those that candidates are tried by once more, and odd factors of the min-hashes, fixed values.
+CELLS, WIDE = 512, 8192
+FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD)
+
+
 def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(shingle_hashes(text, WIDTH))
 
 
-def prefix(own: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The shingles of which a set at the threshold must share one; ``own`` and ``frequent`` ascend."""
+def prefix(own: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
+    """The shingles of which a set at the threshold must share one, and how many of all aren't frequent; ``own`` and ``frequent`` ascend."""
     size = len(own) - -(-NUM * len(own) // DEN) + 1
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
-        weight = np.where(frequent[at] == own, counts[at], 0)
-        own = own[np.lexsort((own, weight))]
-    return own[:size]
+    if not len(frequent):
+        return own[:size], len(own)
+    at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
+    weight = np.where(frequent[at] == own, counts[at], 0)
+    return own[np.lexsort((own, weight))][:size], int((weight == 0).sum())
 
 
-def spread(own: np.ndarray) -> bytes:
-    """How many shingles have each first byte."""
-    return np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=256).astype("<u4").tobytes()
+def parities(own: np.ndarray, cells: int = CELLS) -> np.ndarray:
+    """Whether an odd number of shingles falls in each cell, as longs: sets differ in as many shingles as cells, or more."""
+    odd = np.bincount((own >> np.uint64(40)).astype(np.int64) % cells, minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
+def min_hashes(own: np.ndarray) -> np.ndarray:
+    """The least and the greatest hash, and the least under each of some other orders."""
+    if not len(own):
+        return own.view(np.int64)
+    return np.array([own[0], own[-1], *((own * np.uint64(f)).min() for f in FACTORS)], dtype=np.uint64).view(np.int64)
 
 
 def _frequent(docs: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,84 +99,114 @@ def _frequent(docs: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prints(docs: DataFrame, sample: int) -> DataFrame:
-    """doc_id, h (hash of the text), g (hash of the set of shingles), n (its size), prefix and its counts by first byte."""
+    """doc_id, h (hash of the text), fp, g (hash of the set of shingles), n (its size), how many are rare, its min-hashes, prefix and parities."""
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, sample))
 
-    @F.pandas_udf("g long, n long, prefix array<long>, spread binary")
+    @F.pandas_udf("fp long, g long, n long, rare long, lows array<long>, prefix array<long>, odd array<long>")
     def printed(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
-            own = shingle_set(t)
-            g = np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).view(np.int64)
-            rows.append((g, len(own), prefix(own, *frequent.value).view(np.int64), spread(own)))
-        return pd.DataFrame(rows, columns=["g", "n", "prefix", "spread"])
+            every = shingle_hashes(t, WIDTH)
+            own = np.unique(every)
+            fp, g = (np.uint64(x).view(np.int64) for x in (simhash(every), xxhash.xxh64_intdigest(own.tobytes(), SEED)))
+            first, rare = prefix(own, *frequent.value)
+            rows.append((fp, g, len(own), rare, min_hashes(own), first.view(np.int64), parities(own)))
+        return pd.DataFrame(rows, columns=["fp", "g", "n", "rare", "lows", "prefix", "odd"])
 
-    made = docs.select("doc_id", F.xxhash64("text").alias("h"), printed("text").alias("p"))
-    return materialize(made.select("doc_id", "h", "p.g", "p.n", "p.prefix", "p.spread"))
+    return materialize(docs.select("doc_id", F.xxhash64("text").alias("h"), printed("text").alias("p")).select("doc_id", "h", "p.*"))
 
 
-def _possible() -> Column:
-    """Whether sets x and y (g, n, i) can be at the threshold if the shingle at i is the first they share."""
-    left = F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i"))
-    return (NUM + DEN) * left >= NUM * (F.col("x.n") + F.col("y.n"))
+def _possible(x: str, y: str) -> Column:
+    """Whether sets x and y (structs of g, n and odd) can be at the threshold, by their sizes and parities."""
+    n = F.col(f"{x}.n") + F.col(f"{y}.n")
+    apart = sum(F.bit_count(F.col(f"{x}.odd")[i].bitwiseXOR(F.col(f"{y}.odd")[i])) for i in range(CELLS // 64))
+    return ((NUM + DEN) * F.least(f"{x}.n", f"{y}.n") >= NUM * n) & ((NUM + DEN) * apart <= (DEN - NUM) * n)
 
 
-def _ordered() -> tuple[Column, Column]:
-    return F.least("x.g", "y.g").alias("u"), F.greatest("x.g", "y.g").alias("v")
+def _possible_from(x: str, y: str) -> Column:
+    """Whether they can be, if the shingles at their places i are the first they share."""
+    left = F.least(F.col(f"{x}.n") - F.col(f"{x}.i"), F.col(f"{y}.n") - F.col(f"{y}.i"))
+    return ((NUM + DEN) * left >= NUM * (F.col(f"{x}.n") + F.col(f"{y}.n"))) & _possible(x, y)
 
 
 def _similar(docs: DataFrame, alike: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (u, v) of g at the threshold or above, by their whole sets, made of the texts again."""
-    p, q = (alike.select(F.col("g").alias(k), F.col("spread").alias(f"spread_{k}")) for k in "uv")
-
-    @F.pandas_udf("boolean")
-    def within(a: pd.Series, b: pd.Series) -> pd.Series:
-        """Sets can't share more than the lesser count of each first byte."""
-        if not len(a):
-            return pd.Series([], dtype=bool)
-        x, y = (np.frombuffer(b"".join(c), dtype="<u4").reshape(-1, 256).astype(np.int64) for c in (a, b))
-        return pd.Series((NUM + DEN) * np.minimum(x, y).sum(axis=1) >= NUM * (x.sum(axis=1) + y.sum(axis=1)))
-
-    pairs = materialize(pairs.join(p, "u").join(q, "v").filter(within("spread_u", "spread_v")).select("u", "v"))
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("g")).distinct().join(alike.select("g", "h"), "g")
     texts = docs.select(F.xxhash64("text").alias("h"), "text").join(wanted, "h").groupBy("g").agg(F.first("text").alias("text"))
 
-    @F.pandas_udf("array<long>")
-    def own(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t).view(np.int64) for t in texts], dtype=object)
+    @F.pandas_udf("own array<long>, wide binary")
+    def own(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingle_set(t) for t in texts]
+        return pd.DataFrame({"own": [x.view(np.int64) for x in sets], "wide": [parities(x, WIDE).tobytes() for x in sets]})
 
-    sets = materialize(texts.select("g", own("text").alias("own")))
-    a, b = (sets.select(F.col("g").alias(k), F.col("own").alias(f"own_{k}")) for k in "uv")
+    @F.pandas_udf("boolean")
+    def within(a: pd.Series, b: pd.Series, n: pd.Series) -> pd.Series:
+        if not len(a):
+            return pd.Series([], dtype=bool)
+        x, y = (np.frombuffer(b"".join(c), dtype="<u8").reshape(-1, WIDE // 64) for c in (a, b))
+        apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+        return pd.Series((NUM + DEN) * apart <= (DEN - NUM) * n.to_numpy())
+
+    sets = materialize(texts.select("g", own("text").alias("x")).select("g", F.size("x.own").alias("n"), "x.own", "x.wide"))
+    to = lambda k, *cols: sets.select(F.col("g").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in cols))
+    near = pairs.join(to("u", "n", "wide"), "u").join(to("v", "n", "wide"), "v")
+    near = materialize(near.filter(within("wide_u", "wide_v", F.col("n_u") + F.col("n_v"))).select("u", "v"))
     both = F.size("own_u") + F.size("own_v")
     shared = F.size(F.array_intersect("own_u", "own_v"))
-    return materialize(pairs.join(a, "u").join(b, "v").filter((NUM + DEN) * shared >= NUM * both).select("u", "v"))
-
-
-def near_copies(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    found = materialize(near.join(to("u", "own"), "u").join(to("v", "own"), "v").filter((NUM + DEN) * shared >= NUM * both).select("u", "v"))
+    discard(sets)
+    return found
+
+
+def _first_pairs(alike: DataFrame, budget: int) -> DataFrame:
+    """Pairs (u, v) of g: by the tries' walk over fingerprints, and with the set of fewest rare shingles of each min-hash.
+
+    That set is the one that the others of a group are edited copies of, if it is there.
+    """
+    member = F.struct("rare", "g", "n", "odd")
+    named = materialize(alike.groupBy("fp").agg(F.min("g").alias("g")))
+    near = links(named.select("fp"), budget)
+    to = lambda k: named.select(F.col("fp").alias(k), F.col("g").alias(f"g_{k}"))
+    walked = near.join(to("u"), "u").join(to("v"), "v").select(F.col("g_u").alias("a"), F.col("g_v").alias("b"))
+    same = alike.select("fp", "g").join(named.withColumnRenamed("g", "b"), "fp").select(F.col("g").alias("a"), "b")
+    rows = alike.select(member.alias("x"), F.posexplode("lows").alias("i", "low"))
+    least = rows.groupBy("i", "low").agg(F.count("*").alias("c"), F.min("x").alias("y")).filter("c > 1")
+    met = rows.join(materialize(least.select("i", "low", "y")), ["i", "low"]).filter("x.g <> y.g").filter(_possible("x", "y"))
+    pairs = walked.unionAll(same).filter("a <> b").unionAll(met.select(F.col("x.g").alias("a"), F.col("y.g").alias("b")))
+    return materialize(pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+
+
+def near_copies(docs: DataFrame, sample: int = SAMPLE, budget: int = BUDGET) -> DataFrame:
     """doc_id, h (hash of the text) and root (names the group) of every row of ``docs`` (doc_id, text)."""
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    prints = _prints(docs, sample)
-    alike = materialize(prints.groupBy("g").agg(F.min("h").alias("h"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("spread").alias("spread")))
-    rows = alike.select("g", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("i", "s"))
-    shared = rows.groupBy("s").agg(F.min("g").alias("least"), F.max("g").alias("last")).filter("least < last").select("s")
-    met = materialize(rows.join(shared, "s"))
-    member = F.struct("g", "n", "i")
-    pivots = met.groupBy("s").agg(F.min(member).alias("a"), F.min_by(member, F.xxhash64("g", "s")).alias("b"))
-    some = F.when(F.pmod("s", F.lit(8)) == 0, F.array("a", "b")).otherwise(F.array("a"))
-    beside = met.join(pivots.select("s", F.explode(some).alias("r")), "s").select(F.struct("g", "n", "i").alias("x"), F.col("r").alias("y"))
-    stars = materialize(beside.filter("x.g <> y.g").filter(_possible()).select(*_ordered()).distinct())
-    links = _similar(docs, alike, stars)
-    roots = components(links)
-    named = met.join(roots, met["g"] == roots["u"], "left").select("s", F.struct("g", "n", "i").alias("m"), F.coalesce("v", "g").alias("c"))
-    mixed = named.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("s")
-    apart = materialize(named.join(mixed, "s"))
-    x, y = (apart.select("s", F.col("m").alias(k), F.col("c").alias(f"c_{k}")) for k in "xy")
-    near = (F.col("x.g") < F.col("y.g")) & (F.col("c_x") != F.col("c_y")) & _possible()
-    pairs = materialize(x.join(y, "s").filter(near).select(*_ordered()).distinct().join(stars, ["u", "v"], "left_anti"))
-    more = _similar(docs, alike, pairs)
+    made = _prints(docs, sample)
+    kept = [F.first(c).alias(c) for c in ("n", "rare", "fp", "lows", "prefix", "odd")]
+    alike = materialize(made.groupBy("g").agg(F.min("h").alias("h"), *kept).withColumn("n", F.col("n").cast("int")))
+    prints = materialize(made.select("doc_id", "h", "g"))
+    discard(made)
+    first = _first_pairs(alike, budget)
+    found = _similar(docs, alike, first)
+    roots = components(found)
+    named = materialize(alike.join(roots, alike["g"] == roots["u"], "left").select("g", "h", "n", "odd", "prefix", F.coalesce("v", "g").alias("c")))
+    discard(alike)
+    mixed = named.select("c", F.explode("prefix").alias("s")).groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    mixed = materialize(mixed.filter("lo < hi").select("s"))
+    # few shingles are in sets of several groups: all else of a set is joined to those alone
+    apart = materialize(named.select("g", F.explode("prefix").alias("s")).join(mixed, "s"))
+    # of each set, its shingles among these in their order, so that a pair knows the first it shares
+    place = (F.array_position("prefix", F.col("s")) - 1).cast("int").alias("i")
+    listed = apart.join(named, "g").groupBy("g").agg(F.array_sort(F.collect_list(F.struct(place, "s"))).alias("own"), *(F.first(c).alias(c) for c in ("c", "n", "odd")))
+    rows = listed.select("c", "g", "n", "odd", F.col("own.s").alias("ss"), F.posexplode("own").alias("k", "o"))
+    member = F.struct("g", "n", "odd", F.col("o.i").alias("i"), F.slice("ss", F.lit(1), F.col("k")).alias("before"))
+    apart = materialize(rows.select(F.col("o.s").alias("s"), "c", member.alias("m")))
+    near = (F.col("x.s") == F.col("y.s")) & (F.col("x.m.g") < F.col("y.m.g")) & (F.col("x.c") != F.col("y.c")) & _possible_from("x.m", "y.m")
+    near = near & ~F.arrays_overlap("x.m.before", "y.m.before")
+    met = materialize(apart.alias("x").join(apart.alias("y"), near).select(F.col("x.m.g").alias("u"), F.col("y.m.g").alias("v")))
+    pairs = materialize(met.join(first, ["u", "v"], "left_anti"))
+    more = _similar(docs, named, pairs)
     if not more.isEmpty():
-        roots = components(links.unionAll(more))
+        roots = components(found.unionAll(more))
     return prints.join(roots, prints["g"] == roots["u"], "left").select("doc_id", "h", F.coalesce("v", "g").alias("root"))
 
 

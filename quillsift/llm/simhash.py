@@ -20,7 +20,9 @@ Defined results: a null or empty text, or one of white space only, has
 fingerprint zero and is linked like any other; a text of fewer words than a
 shingle is one shingle. Rows that repeat a doc_id are kept and share its
 component. A row without an id gets the least id of its component, null if it
-has none. The columns fingerprint and component_id replace any so named.
+has none. The columns fingerprint and component_id replace any so named; others are
+not looked at. An empty table has an empty result. Whole texts are read, whatever
+their length.
 """
 
 from __future__ import annotations
@@ -32,7 +34,6 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillsift.llm.common import materialize, small_batches
 from quillsift.llm.components import components
@@ -169,10 +170,15 @@ def links(fps: DataFrame, budget: int = 2, leaf_rows: int = 8192) -> DataFrame:
         for i, (s, n) in enumerate(blocks)
     ]
     hung = fps.select(F.inline(F.array(*turned))).withColumn("a", F.expr("shiftrightunsigned(rfp, 64 - depth)"))
-    node = Window.partitionBy("rot", "depth", "a", "b")
-    cols = ["rot", "depth", "a", "b", "side", "diff", "rfp", "n"]
+    node, cols = ["rot", "depth", "a", "b"], ["rot", "depth", "a", "b", "side", "diff", "rfp", "n"]
+
+    def counted(rows: DataFrame) -> DataFrame:
+        """Rows of nodes with two or more, with their number: pre-aggregated, and joined so that a large node can be split."""
+        held = materialize(rows.groupBy(*node).agg(F.count("*").alias("n")).filter("n > 1"))
+        return materialize(rows.join(held, node).select(cols))
+
     met = hung.withColumns({"b": F.col("a"), "side": F.lit(0), "diff": F.lit(0)})
-    now = materialize(met.withColumn("n", F.count("*").over(node)).filter("n > 1").select(cols))
+    now = counted(met)
     light = [now.filter(F.col("n") <= leaf_rows)]
     heavy = now.filter(F.col("n") > leaf_rows)
     while not heavy.isEmpty():
@@ -187,7 +193,7 @@ def links(fps: DataFrame, budget: int = 2, leaf_rows: int = 8192) -> DataFrame:
             "rot", (F.col("depth") + F.col("step")).alias("depth"), F.expr("shiftleft(a, step)").bitwiseOR(first).alias("a"),
             F.expr("shiftleft(b, step)").bitwiseOR(second).alias("b"), side.alias("side"), "diff", "rfp",
         )
-        down = materialize(down.withColumn("n", F.count("*").over(node)).filter("n > 1").select(cols))
+        down = counted(down)
         light.append(down.filter(F.col("n") <= leaf_rows))
         heavy = down.filter(F.col("n") > leaf_rows)
     leaves = light[0]
