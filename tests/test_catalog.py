@@ -40,3 +40,11 @@ def test_twin(spark, duck, name):
     mine, theirs = rows(catalog.QUERIES[name](spark, DIR).toPandas()), rows(duck.sql(catalog.ORACLES[name]).df())
     assert mine == theirs
     assert mine[1] or name in MAY_BE_EMPTY
+
+
+def test_entry_module():
+    """The driver's three functions, with every query and twin of the catalog."""
+    import __spark_entry__ as entry
+
+    assert callable(entry.entry) and set(catalog.QUERIES) <= set(entry.queries())
+    assert set(catalog.ORACLES) <= set(entry.oracle_sql()) <= set(entry.queries())
