@@ -11,7 +11,9 @@ import secrets
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsift.llm import chat_format, decontaminate, language_id, line_clean, mixing, rule_ensemble, simhash, suffix_dedup, surrogates, token_spans
+from quillsift.llm import (
+    chat_format, decontaminate, language_id, lexical_search, line_clean, mixing, piece_table, rule_ensemble, simhash, suffix_dedup, surrogates, token_spans, word_runs,
+)
 from quillsift.llm.common import held_out, load
 
 
@@ -75,6 +77,27 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(own.unionByName(probed))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+def op12_piece_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = piece_table.encode(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = word_runs.find_runs(load(spark, sf_dir, "documents").select("doc_id", "text"), word_runs.periodic_tail)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("n"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    listed = F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise("")
+    return found.withColumn("best", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.s")).alias("start"), F.col("best.n").alias("length"), (-F.col("best.p")).alias("period"),
+        F.expr("(1000 * best.n) div (-best.p)").alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_simhash_dedup": op2_simhash_dedup,
@@ -86,9 +109,13 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_chat_format": op10_chat_format,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_piece_table": op12_piece_table,
+    "op13_word_runs": op13_word_runs,
 }
 
 ORACLES = {
     "op6_line_cleaning": line_clean.ORACLE,
     "op10_chat_format": chat_format.ORACLE,
+    "op11_lexical_search": lexical_search.ORACLE,
 }
