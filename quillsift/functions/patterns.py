@@ -23,7 +23,7 @@ SECRET_CONTEXT = r"token|api|key|secret|password|bearer|auth"
 ACCOUNT_CONTEXT = r"account|acct|a\/c|saving|savings|current|khaata|khata"
 CUSTOMER_LABEL = r"customer\s*id|cust\s*id|customer|cif(?:\s*no|\s*number)?|micr(?:\s*code)?|member(?:\s*id)?"
 NAME_LABEL = r"name|customer\s*name|holder(?:\s*name)?|account\s*holder|applicant"
-NAME_SKIP = r"^(?:S\/O|D\/O|W\/O|C\/O|SO|DO|WO|CO)$"
+NAME_SKIP = r"^(?:S\/O|D\/O|W\/O|C\/O|SO|DO|WO|CO|श्री|श्रीमती)$"
 ROLL_LABEL = r"roll(?:\s*no|\s*number)?"
 REGISTRATION_LABEL = r"registration|enrolment|enrollment|regn|reg\.?\s*no"
 CENTRE_LABEL = r"centre(?:\s*no)?|school(?:\s*no)?|school\/centre"

@@ -30,15 +30,16 @@ def _first_label(pattern: str) -> Column:
 
 
 def _triples() -> Column:
-    """Where blocks of three four-digit words start, taken from the left without overlap."""
-    block = lambda i: F.coalesce(F.get("ws", i), F.lit("")).rlike(r"^\d{4}$")
-    starts = lambda i: F.get("ws", i).rlike(r"^[2-9]\d{3}$") & block(i + 1) & block(i + 2)
+    """Where three words of four digits each start, whatever stands between the digits, taken from the left without overlap."""
+    digits = F.transform("ws", P.digits)
+    block = lambda i: F.length(F.get(digits, i)) == 4
+    starts = lambda i: block(i) & block(i + 1) & block(i + 2) & F.get(digits, i).rlike("^[2-9]")
     empty = F.struct(F.lit(0).alias("free"), F.array().cast("array<int>").alias("at"))
     taken = F.aggregate(
         F.filter(F.sequence(F.lit(0), F.size("ws") - 1), starts), empty,
         lambda a, i: F.when(i >= a["free"], F.struct((i + 3).alias("free"), F.array_append(a["at"], i).alias("at"))).otherwise(a),
     )
-    some = (F.size("ws") >= 3) & F.exists("ws", lambda w: w.rlike(r"^\d{4}$"))
+    some = (F.size("ws") >= 3) & (F.size(F.filter("ws", lambda w: F.length(P.digits(w)) == 4)) >= 3)
     return F.when(some, taken["at"]).otherwise(F.array().cast("array<int>"))
 
 
@@ -98,7 +99,7 @@ def gates(unicode_labels: bool = False) -> dict[str, str]:
     labels = {"roll": P.ROLL_LABEL, "registration": P.REGISTRATION_LABEL, "centre": P.CENTRE_LABEL, "name": P.NAME_LABEL}
     label = {k: P.edged(v, more.get(k)) for k, v in labels.items()}
     return {
-        "email": "@", "phone": r"[6-9](?:[()\-]*\d){9}", "pan": r"\d{4}", "aadhaar": r"\d{4}", "ifsc": "0", "gstin": r"\d{4}",
+        "email": "@", "phone": r"[6-9](?:[()\-]*\d){9}", "pan": r"\d{4}", "aadhaar": r"[2-9](?:\D*\d){11}", "ifsc": "0", "gstin": r"\d{4}",
         "account": P.edged(P.ACCOUNT_CONTEXT), "roll": label["roll"], "registration": label["registration"], "centre": label["centre"],
         "secret": rf"{P.UUID}|eyJ|(?i:{P.SECRET_CONTEXT})", "card": r"\d(?:-*\d){12}", "customer_id": P.edged(P.CUSTOMER_LABEL), "names": label["name"],
     }
@@ -114,15 +115,31 @@ def may_hit(names: tuple[str, ...], unicode_labels: bool = False) -> Column:
 ORDER = ("email", "email_joined", "phone", "pan", "aadhaar", "ifsc", "gstin", "account", "roll", "registration", "centre", "secret", "card", "customer_id", "names", "address")
 
 
-def detect_many(lined: DataFrame, names: tuple[str, ...], unicode_labels: bool = False) -> DataFrame:
-    """(detector, doc_id, ln, wi, wi_to, type, confidence, text) of several detectors' hits, in one pass over the words."""
+BOX = ("x0", "y0", "x1", "y1")
+
+
+def _edges(first: Column, last: Column) -> dict[str, Column]:
+    """The box of the words from ``first`` to ``last`` of a line with cells."""
+    at, to = F.get("cells", first.cast("int")), F.get("cells", last.cast("int"))
+    top = tables.PITCH * F.col("ln")
+    return {"x0": tables.CHAR * at["at"], "y0": top, "x1": tables.CHAR * (to["at"] + F.length(to["word"])), "y1": top + tables.HEIGHT}
+
+
+def detect_many(lined: DataFrame, names: tuple[str, ...], unicode_labels: bool = False, boxed: bool = False) -> DataFrame:
+    """(detector, doc_id, ln, wi, wi_to, type, confidence, text) of several detectors' hits, in one pass over the words.
+
+    ``boxed`` adds the boxes of the hits, made of the lines alone.
+    """
     known = rules(unicode_labels)
     chosen = {n: known[n] for n in names}
     facts = {r.line[0]: r.line[1] for r in chosen.values() if r.line}
     near = F.transform("ws", lambda w, i: F.struct(
         i.cast("long").alias("wi"), w.alias("word"), *(F.coalesce(F.get("ws", i + k), F.lit("")).alias(c) for k, c in ((-1, "prev"), (1, "n1"), (2, "n2"))),
     ))
-    cells = lined.filter(may_hit(names, unicode_labels)).filter(F.size("ws") > 0).withColumns(facts).select("doc_id", "ln", *facts, F.inline(near))
+    gated = lined.filter(may_hit(names, unicode_labels)).filter(F.size("ws") > 0)
+    gated = tables.with_cells(gated) if boxed else gated
+    held = ("cells",) if boxed else ()
+    cells = gated.withColumns(facts).select("doc_id", "ln", *held, *facts, F.inline(near))
     hits = []
     for n, r in chosen.items():
         length = F.lit(1) if r.length is None else r.length
@@ -131,10 +148,15 @@ def detect_many(lined: DataFrame, names: tuple[str, ...], unicode_labels: bool =
             F.lit(n).alias("detector"), (F.col("wi") + length - 1).alias("wi_to"), F.lit(r.kind).alias("type"), r.confidence.alias("confidence"), text.alias("text"),
         )))
     if len(hits) == 1:
-        found = cells.filter(chosen[names[0]].hit).select("doc_id", "ln", "wi", hits[0].alias("h")).select("doc_id", "ln", "wi", "h.*")
+        found = cells.filter(chosen[names[0]].hit).select("doc_id", "ln", "wi", *held, hits[0].alias("h")).select("doc_id", "ln", "wi", *held, "h.*")
     else:
-        found = cells.select("doc_id", "ln", "wi", F.inline(F.filter(F.array(*hits), lambda h: h.isNotNull())))
-    return found.select("detector", "doc_id", "ln", "wi", "wi_to", "type", "confidence", "text")
+        found = cells.select("doc_id", "ln", "wi", *held, F.inline(F.filter(F.array(*hits), lambda h: h.isNotNull())))
+    return (_boxed(found) if boxed else found).select("detector", "doc_id", "ln", "wi", "wi_to", "type", "confidence", "text", *(BOX if boxed else ()))
+
+
+def _boxed(hits: DataFrame) -> DataFrame:
+    """The boxes of hits (ln, wi, wi_to) of lines with cells."""
+    return hits.withColumns(_edges(F.col("wi"), F.col("wi_to"))).drop("cells")
 
 
 def detect(lined: DataFrame, name: str, unicode_labels: bool = False) -> DataFrame:
@@ -142,19 +164,21 @@ def detect(lined: DataFrame, name: str, unicode_labels: bool = False) -> DataFra
     return detect_many(lined, (name,), unicode_labels).drop("detector")
 
 
-def detect_email_joined(lined: DataFrame) -> DataFrame:
+def detect_email_joined(lined: DataFrame, boxed: bool = False) -> DataFrame:
     """Mail addresses split over words of a line: the words that take part, first to last."""
     glued = lined.filter(F.contains("line", F.lit("@"))).withColumn("m", F.explode(F.regexp_extract_all(F.array_join("ws", ""), F.lit(P.EMAIL), F.lit(0))))
     part = F.filter(F.transform("ws", lambda w, i: F.struct(i.cast("long").alias("i"), F.contains(F.col("m"), F.regexp_replace(w, "[@.]", "")).alias("ok"))), lambda x: x["ok"])
     hits = glued.withColumn("part", part).filter(F.size("part") >= 2)
+    hits = tables.with_cells(hits) if boxed else hits
     wi, wi_to = F.try_element_at("part", F.lit(1))["i"], F.try_element_at("part", F.lit(-1))["i"]
-    return hits.select(
-        "doc_id", "ln", wi.alias("wi"), wi_to.alias("wi_to"), F.lit("private_email").alias("type"), F.lit(0.98).alias("confidence"),
+    found = hits.select(
+        "doc_id", "ln", *(("cells",) if boxed else ()), wi.alias("wi"), wi_to.alias("wi_to"), F.lit("private_email").alias("type"), F.lit(0.98).alias("confidence"),
         F.array_join(F.transform("part", lambda x: F.get("ws", x["i"].cast("int"))), " ").alias("text"),
     )
+    return _boxed(found) if boxed else found
 
 
-def detect_address(lined: DataFrame) -> DataFrame:
+def detect_address(lined: DataFrame, boxed: bool = False) -> DataFrame:
     """Words after an address label, and up to three aligned lines below it until a stop word."""
     label = P.edged(P.ADDRESS_LABEL)
     at = F.coalesce(_first_label(label), F.lit(-1))
@@ -178,10 +202,12 @@ def detect_address(lined: DataFrame) -> DataFrame:
         .otherwise((F.col("min_x") == 0) | (8 * offset(x["i"].cast("int")) >= F.col("min_x") - 35)),
     )
     hits = line.filter(own | going).withColumn("taken", taken).filter(F.size("taken") > 0)
-    return hits.select(
-        "doc_id", "ln", F.try_element_at("taken", F.lit(1))["i"].alias("wi"), F.try_element_at("taken", F.lit(-1))["i"].alias("wi_to"), F.lit("private_address").alias("type"),
+    hits = tables.with_cells(hits) if boxed else hits
+    found = hits.select(
+        "doc_id", "ln", *(("cells",) if boxed else ()), F.try_element_at("taken", F.lit(1))["i"].alias("wi"), F.try_element_at("taken", F.lit(-1))["i"].alias("wi_to"), F.lit("private_address").alias("type"),
         F.when(own, 0.96).otherwise(0.95).alias("confidence"), F.array_join(F.transform("taken", lambda x: x["w"]), " ").alias("text"),
     )
+    return _boxed(found) if boxed else found
 
 
 #: Label, value test, furthest distance of the middles, type and confidence of each vertical search; fixed values.
@@ -192,42 +218,66 @@ VERTICAL: dict[str, tuple[str, Callable[[Column], Column], int, str, float]] = {
 }
 
 
+#: How far above a value its label's lower edge may lie: over LOW and under HIGH pixels; fixed values.
+LOW, HIGH = 4, 75
+
+
+def below(boxed: DataFrame, names: tuple[str, ...] = tuple(VERTICAL)) -> DataFrame:
+    """(name, doc_id, ln, wi, word, x0..y1): of each label of each kind, the first word in reading order below it that looks like its value; each word once a kind.
+
+    A band join: the page is cut into cells as high as a label reaches down and as
+    wide as it reaches to a side. A value lies in one cell and a label is dealt to
+    those that it reaches, six at most, so that the join has equal keys and a label
+    meets only what is near.
+    """
+    each = lambda test: F.explode(F.filter(F.array(*(F.when(test(n), F.lit(n)) for n in names)), lambda n: n.isNotNull())).alias("name")
+    far = F.create_map(*(F.lit(x) for n in names for x in (n, float(VERTICAL[n][2]))))
+    mid, word = (F.col("x0") + F.col("x1")) / 2, F.col("word")
+    span = lambda a, b: F.explode(F.sequence(F.floor(a), F.floor(b)))
+    heads = boxed.select("doc_id", F.struct("ln", "wi").alias("head"), mid.alias("mid"), F.col("y1").alias("hy"), each(lambda n: word.rlike(P.edged(VERTICAL[n][0]))))
+    heads = heads.withColumn("far", far[F.col("name")]).withColumn("row", span((F.col("hy") + LOW) / HIGH, (F.col("hy") + HIGH) / HIGH))
+    heads = heads.withColumn("col", span((F.col("mid") - F.col("far")) / F.col("far"), (F.col("mid") + F.col("far")) / F.col("far")))
+    cells = boxed.select("doc_id", "ln", "wi", "word", *BOX, mid.alias("own"), each(lambda n: VERTICAL[n][1](word)))
+    cells = cells.withColumns({"row": F.floor(F.col("y0") / HIGH), "col": F.floor(F.col("own") / far[F.col("name")])})
+    gap = F.col("y0") - F.col("hy")
+    near = (F.abs(F.col("own") - F.col("mid")) < F.col("far")) & (gap > LOW) & (gap < HIGH)
+    met = cells.join(heads, ["doc_id", "name", "row", "col"]).filter(near)
+    first = met.groupBy("doc_id", "name", "head").agg(F.min(F.struct("ln", "wi", "word", *BOX)).alias("v"))
+    once = first.groupBy("doc_id", "name", "v.x0", "v.y0").agg(F.min("v").alias("v"))
+    return once.select("name", "doc_id", "v.*")
+
+
 def detect_below(boxed: DataFrame, name: str, earlier: DataFrame | None = None) -> DataFrame:
-    """The first word in reading order below a label that looks like its value, unless ``earlier`` (doc_id, x0, y0) has it."""
-    label, value, far, kind, confidence = VERTICAL[name]
-    heads = boxed.filter(F.col("word").rlike(P.edged(label))).select("doc_id", F.struct("ln", "wi").alias("head"), "x0", "x1", F.col("y1").alias("hy"))
-    heads = heads.select("doc_id", "head", ((F.col("x0") + F.col("x1")) / 2).alias("mid"), "hy")
-    cells = boxed.filter(value(F.col("word")))
-    near = (F.abs((F.col("x0") + F.col("x1")) / 2 - F.col("mid")) < far) & (F.col("y0") - F.col("hy") > 4) & (F.col("y0") - F.col("hy") < 75)
-    found = cells.join(heads, "doc_id").filter(near)
-    first = F.row_number().over(Window.partitionBy("doc_id", "head").orderBy("ln", "wi"))
-    hits = found.withColumn("_n", first).filter("_n = 1").dropDuplicates(["doc_id", "x0", "y0"])
+    """The hits of one kind of ``below``, unless ``earlier`` (doc_id, x0, y0) has them."""
+    _, _, _, kind, confidence = VERTICAL[name]
+    hits = below(boxed, (name,))
     if earlier is not None:
         hits = hits.join(earlier.select("doc_id", "x0", "y0"), ["doc_id", "x0", "y0"], "left_anti")
-    return hits.select("doc_id", "ln", "wi", F.col("wi").alias("wi_to"), F.lit(kind).alias("type"), F.lit(confidence).alias("confidence"), F.col("word").alias("text"), "x0", "y0", "x1", "y1")
-
-
-def with_boxes(hits: DataFrame, boxed: DataFrame) -> DataFrame:
-    """Add the boxes of the first to the last word of each hit."""
-    span = boxed.select("doc_id", "ln", F.col("wi").alias("_w"), "x0", "y0", "x1", "y1")
-    keys = hits.columns
-    met = hits.join(span, ["doc_id", "ln"]).filter("_w BETWEEN wi AND wi_to")
-    return met.groupBy(*keys).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    return hits.select("doc_id", "ln", "wi", F.col("wi").alias("wi_to"), F.lit(kind).alias("type"), F.lit(confidence).alias("confidence"), F.col("word").alias("text"), *BOX)
 
 
 def detect_all(docs: DataFrame, vertical: bool = True, unicode_labels: bool = False) -> DataFrame:
-    """All rule detections with boxes, arrival order, risk and action."""
+    """All rule detections with boxes, arrival order, risk and action.
+
+    Everything but the search below labels is made of single lines, or runs of lines
+    of documents that have an address label. A word below a label is a hit unless an
+    earlier detector has one that starts in its place, which one window tells.
+    """
     lined = tables.lines(docs)
-    boxed = tables.word_boxes(lined)
     simple = tuple(n for n in ORDER if n not in ("email_joined", "address"))
-    hits = detect_many(lined, simple, unicode_labels)
-    hits = hits.unionByName(detect_email_joined(lined).withColumn("detector", F.lit("email_joined")))
-    hits = hits.unionByName(detect_address(lined).withColumn("detector", F.lit("address")))
+    labelled = lambda *labels: docs.filter(F.col("text").rlike("|".join(map(P.edged, labels))))
+    out = detect_many(lined, simple, unicode_labels, boxed=True)
+    out = out.unionByName(detect_email_joined(lined, boxed=True).withColumn("detector", F.lit("email_joined")))
+    out = out.unionByName(detect_address(tables.lines(labelled(P.ADDRESS_LABEL)), boxed=True).withColumn("detector", F.lit("address")))
+    if vertical:
+        kinds = {k: F.create_map(*(F.lit(x) for n, v in VERTICAL.items() for x in (n, v[i])))[F.col("name")] for i, k in ((3, "type"), (4, "confidence"))}
+        found = below(tables.word_boxes(tables.lines(labelled(*(v[0] for v in VERTICAL.values())))))
+        found = found.select(F.col("name").alias("detector"), "doc_id", "ln", "wi", F.col("wi").alias("wi_to"), *(c.alias(k) for k, c in kinds.items()), F.col("word").alias("text"), *BOX)
+        out = out.withColumn("_below", F.lit(False)).unionByName(found.withColumn("_below", F.lit(True)))
     place = F.array_position(F.array(*map(F.lit, ORDER)), F.col("detector")).cast("int") - 1
-    inline = with_boxes(hits.withColumn("detector", place), boxed)
-    out = inline
-    for name in VERTICAL if vertical else ():
-        n = ORDER.index(name)
-        out = out.unionByName(detect_below(boxed, name, out.filter(F.col("detector") <= n)).withColumn("detector", F.lit(n)))
+    out = out.withColumn("detector", place)
+    if vertical:
+        first = F.row_number().over(Window.partitionBy("doc_id", "x0", "y0").orderBy("detector", "_below"))
+        out = out.repartition("doc_id").withColumn("_n", first).filter(~F.col("_below") | (F.col("_n") == 1)).drop("_n", "_below")
     level = entity.risk(F.col("type"))
     return out.withColumn("source", F.lit("rule")).withColumn("risk", level).withColumn("action", entity.action(F.col("risk")))

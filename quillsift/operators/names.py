@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import itertools
 import re
 from collections.abc import Iterator
@@ -11,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillsift.sources import tables
+
 # The phrases before a name, each with its confidence, and the words that end one.
 NAME = r"([A-Za-zऀ-ॿ]{2,}(?:\s+[A-Za-zऀ-ॿ]{2,}){1,3})"
 ANCHORS = (
@@ -24,16 +27,21 @@ ANCHORS = (
 ENDS = "FOR|IN|DURING|ON|WHO|WITH|DATED|AT|FROM|OF|HAS|APPEARED|SUCCESSFULLY|WHOSE|FATHER|MOTHER|DATE|ROLL|REGISTRATION|NO|IS"
 
 
-def anchored_names(docs: DataFrame) -> DataFrame:
-    """(doc_id, name, confidence): the first of each name, whatever its case, in the order of the phrases."""
+def _anchored() -> Column:
+    """All names after the phrases in ``text``, with the phrase's number, the place among its finds and its confidence."""
     def found(n: int, anchor: str, confidence: float) -> Column:
         hits = F.regexp_extract_all("text", F.lit(f"(?i){anchor}{NAME}"), F.lit(1))
-        return F.transform(hits, lambda s, i: F.struct(F.lit(n).alias("p"), i.alias("i"), s.alias("s"), F.lit(confidence).alias("c")))
+        return F.transform(hits, lambda s, i: F.struct(F.lit(n).alias("p"), i.alias("i"), named(s).alias("name"), F.lit(confidence).alias("c")))
+
+    def named(s: Column) -> Column:
+        return F.trim(F.regexp_replace(F.regexp_replace(s, rf"(?i)\b(?:{ENDS})\b.*$", ""), r"[0-9:;.,()/*\-]", " "))
+
+    return F.filter(F.flatten(F.array(*(found(n, *a) for n, a in enumerate(ANCHORS)))), lambda x: F.length(x["name"]) > 2)
 
-    all_found = F.flatten(F.array(*(found(n, *a) for n, a in enumerate(ANCHORS))))
-    cut = F.regexp_replace(F.col("s"), rf"(?i)\b(?:{ENDS})\b.*$", "")
-    name = F.trim(F.regexp_replace(cut, r"[0-9:;.,()/*\-]", " "))
-    out = docs.select("doc_id", F.inline(all_found)).withColumn("name", name).filter(F.length("name") > 2)
+
+def anchored_names(docs: DataFrame) -> DataFrame:
+    """(doc_id, name, confidence): the first of each name, whatever its case, in the order of the phrases."""
+    out = docs.select("doc_id", F.inline(_anchored()))
     once = F.row_number().over(Window.partitionBy("doc_id", F.lower("name")).orderBy("p", "i"))
     return out.withColumn("_n", once).filter("_n = 1").select("doc_id", "name", F.col("c").alias("confidence"), F.col("p").cast("long").alias("phrase"))
 
@@ -50,13 +58,60 @@ def _same(a: str, b: str) -> bool:
 LINE, SAME = 22, 5
 
 
-def align_rows(words: pd.DataFrame, spans: pd.DataFrame) -> list[tuple]:
+class Tokens:
+    """A trie of the tokens of all spans, walked over words from each place on.
+
+    Branches are found by the first three letters, which are all that two words that
+    are alike must share; each is then tried by ``_same``.
+    """
+
+    def __init__(self, spans: list[list[str]]) -> None:
+        self.root: dict = {}
+        for n, tokens in enumerate(spans):
+            node = self.root
+            for t in tokens:
+                node = node.setdefault(t[:3], {}).setdefault(t, {})
+            if tokens:
+                node.setdefault(None, []).append(n)
+
+    def found(self, plain: list[str]) -> dict[int, list[int]]:
+        """The places, ascending, from which on the words match each span."""
+        out: dict[int, list[int]] = {}
+        for i in range(len(plain)):
+            k, nodes = i, [self.root]
+            while nodes and k < len(plain):
+                p = plain[k]
+                nodes = [below for node in nodes for t, below in node.get(p[:3], {}).items() if _same(p, t)]
+                k += 1
+                for node in nodes:
+                    for n in node.get(None, ()):
+                        out.setdefault(n, []).append(i)
+        return out
+
+
+class _Inside:
+    """Words that hold a string, found by one search of all words."""
+
+    def __init__(self, plain: list[str]) -> None:
+        self.plain, self.joined = plain, "\n".join(plain)
+        self.starts = list(itertools.accumulate((len(p) + 1 for p in plain), initial=0))
+
+    def of(self, part: str) -> Iterator[int]:
+        at = self.joined.find(part)
+        while at >= 0:
+            i = bisect.bisect_right(self.starts, at) - 1
+            yield i
+            at = self.joined.find(part, self.starts[i + 1])
+
+
+def place(words: list[str], box: list[tuple[float, float, float, float]], spans: list[tuple[str, str, float]]) -> list[tuple]:
     """(type, text, confidence, box, first and last word) of every occurrence of each span, split where it goes on to another line.
 
     ``words`` of one document in reading order; first and last are places in it.
     """
-    plain = [_clean(w) for w in words["word"]]
-    box = words[["x0", "y0", "x1", "y1"]].to_numpy()
+    plain = [_clean(w) for w in words]
+    tokens = [[t for t in map(_clean, text.split()) if t] for _, text, _ in spans]
+    hits, inside = Tokens(tokens).found(plain), None
     out: list[tuple] = []
     seen: dict[str, dict] = {}
 
@@ -65,7 +120,7 @@ def align_rows(words: pd.DataFrame, spans: pd.DataFrame) -> list[tuple]:
         for k in range(first + 1, last + 2):
             if k > last or abs(box[k][1] - box[start][1]) >= LINE:
                 part = box[start:k]
-                b = tuple(map(float, (*part[:, :2].min(axis=0), *part[:, 2:].max(axis=0))))
+                b = (*(float(min(p[c] for p in part)) for c in (0, 1)), *(float(max(p[c] for p in part)) for c in (2, 3)))
                 cell = tuple(int(x // SAME) for x in b)
                 near = seen.setdefault(kind, {})
                 around = (o for c in itertools.product(*((x - 1, x, x + 1) for x in cell)) for o in near.get(c, ()))
@@ -74,51 +129,104 @@ def align_rows(words: pd.DataFrame, spans: pd.DataFrame) -> list[tuple]:
                     out.append((kind, text, confidence, *b, start, k - 1))
                 start = k
 
-    starts: dict[str, list[int]] = {}  # words by their first three letters, which are all that a match may rest on
-    for i, p in enumerate(plain):
-        starts.setdefault(p[:3], []).append(i)
-    for kind, text, confidence in zip(spans["type"], spans["text"], spans["confidence"], strict=True):
-        tokens = [t for t in map(_clean, text.split()) if t]
-        n, hit = len(tokens), False
-        for i in starts.get(tokens[0][:3], ()) if n else ():
-            if i + n <= len(plain) and all(_same(plain[i + k], tokens[k]) for k in range(n)):
-                add(kind, text, confidence, i, i + n - 1)
-                hit = True
-        glued = "".join(tokens)
-        if not hit and len(glued) >= 4:
-            for i, p in enumerate(plain):
-                if p == glued or (len(p) >= 6 and glued in p):
-                    add(kind, text, confidence, i, i)
-                    hit = True
-        if not hit and n == 1 and len(glued) >= 3:
-            for i, p in enumerate(plain):
-                if p == glued or (len(glued) >= 4 and glued in p):
-                    add(kind, text, confidence, i, i)
+    for n, (kind, text, confidence) in enumerate(spans):
+        own, glued = hits.get(n, []), "".join(tokens[n])
+        if not own and len(glued) >= 3:
+            # a span whose words don't follow each other may stand in one word
+            inside = inside or _Inside(plain)
+            held = [i for i in inside.of(glued)]
+            if len(glued) >= 4:
+                own = [i for i in held if plain[i] == glued or len(plain[i]) >= 6]
+            if not own and len(tokens[n]) == 1:
+                own = [i for i in held if plain[i] == glued or len(glued) >= 4]
+            for i in own:
+                add(kind, text, confidence, i, i)
+            continue
+        for i in own:
+            add(kind, text, confidence, i, i + len(tokens[n]) - 1)
     return out
 
 
-PLACED = "type: string, text: string, confidence: double, x0: double, y0: double, x1: double, y1: double, words: array<struct<ln: bigint, wi: bigint>>"
+def align_rows(words: pd.DataFrame, spans: pd.DataFrame) -> list[tuple]:
+    """``place`` of frames: words (word, x0..y1) and spans (type, text, confidence)."""
+    return place(words["word"].tolist(), list(words[["x0", "y0", "x1", "y1"]].itertuples(index=False, name=None)), list(spans[["type", "text", "confidence"]].itertuples(index=False, name=None)))
+
+
+PLACED = "type string, text string, confidence double, x0 double, y0 double, x1 double, y1 double, words array<struct<ln: bigint, wi: bigint>>"
+_NAMES = ("type", "text", "confidence", "x0", "y0", "x1", "y1", "words")
+
+
+def _placed(doc_id: object, words: list[str], boxes: list[tuple], where: list[tuple[int, int]], spans: list[tuple[str, str, float]]) -> Iterator[tuple]:
+    for r in place(words, boxes, spans):
+        yield doc_id, *r[:-2], [{"ln": ln, "wi": wi} for ln, wi in where[r[-2] : r[-1] + 1]]
 
 
 def align(spans: DataFrame, boxed: DataFrame) -> DataFrame:
-    """Place spans (doc_id, type, text, confidence) on the words of their documents; ``words`` are those of each box."""
-    names = [f.split(":")[0] for f in PLACED.split(", ")[:-1]]
-
-    @F.pandas_udf(f"array<struct<{PLACED}>>")
-    def placed(spans_: pd.Series, words_: pd.Series) -> pd.Series:
-        out = []
-        for left, right in zip(spans_, words_, strict=True):
-            words = pd.DataFrame({k: [w[k] for w in right] for k in ("ln", "wi", "word", "x0", "y0", "x1", "y1")})
-            own = pd.DataFrame({k: [x[k] for x in left] for k in ("type", "text", "confidence")})
-            where = [{"ln": w["ln"], "wi": w["wi"]} for w in right]
-            out.append([dict(zip(names, r[:-2], strict=False)) | {"words": where[r[-2] : r[-1] + 1]} for r in align_rows(words, own)])
-        return pd.Series(out, dtype=object)
-
-    listed = lambda df, *cols: df.groupBy(F.col("doc_id").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("cells"))
-    held = listed(spans, "type", "text", "confidence").select(F.col("doc_id").alias("_d"), F.col("cells").alias("spans"))
-    mine = boxed.join(spans.select("doc_id").distinct(), "doc_id", "left_semi")  # documents without spans are left out before their words are gathered
-    met = listed(mine, "ln", "wi", "word", "x0", "y0", "x1", "y1").join(held, F.col("doc_id") == F.col("_d"))
-    return met.select("doc_id", F.inline(placed("spans", "cells")))
+    """Place spans (doc_id, type, text, confidence) on the words of their documents; ``words`` are those of each box.
+
+    Spans and words of a document are sorted next to each other and read as a stream,
+    a document at a time.
+    """
+    held = spans.filter(F.col("doc_id").isNotNull())
+    mine = boxed.join(held.select("doc_id").distinct(), "doc_id", "left_semi")  # words of documents without spans go nowhere
+    none = lambda kind, *cols: {c: F.lit(None).cast(kind) for c in cols}
+    box = ("x0", "y0", "x1", "y1")
+    rows = held.select("doc_id", "type", "text", "confidence").withColumns(none("long", "ln", "wi") | none("double", *box)).withColumn("side", F.lit(0))
+    rows = rows.unionByName(mine.select("doc_id", "ln", "wi", F.col("word").alias("text"), *box).withColumns(none("string", "type") | none("double", "confidence")).withColumn("side", F.lit(1)))
+    dealt = rows.repartition("doc_id").sortWithinPartitions("doc_id", "side", "ln", "wi", "type", "text", "confidence")
+
+    def streamed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held, words, boxes, where = None, [], [], [], []
+        out: list[tuple] = []
+        for pdf in batches:
+            cols = (pdf[c] for c in ("doc_id", "side", "type", "text", "confidence", "ln", "wi", *box))
+            for doc_id, side, kind, text, confidence, ln, wi, *b in zip(*cols, strict=True):
+                if doc_id != now:
+                    out += _placed(now, words, boxes, where, held)
+                    now, held, words, boxes, where = doc_id, [], [], [], []
+                if side == 0:
+                    held.append((kind, text, confidence))
+                else:
+                    words.append(text)
+                    boxes.append(tuple(b))
+                    where.append((int(ln), int(wi)))
+            if out:
+                yield pd.DataFrame(out, columns=["doc_id", *_NAMES])
+                out = []
+        out += _placed(now, words, boxes, where, held)
+        if out:
+            yield pd.DataFrame(out, columns=["doc_id", *_NAMES])
+
+    return dealt.mapInPandas(streamed, f"doc_id {spans.schema['doc_id'].dataType.simpleString()}, {PLACED}")
+
+
+_WORD = re.compile(r"[^ \t\n\x0b\f\r]+")
+
+
+def words_of(text: str) -> Iterator[tuple[int, int, str, tuple[float, float, float, float]]]:
+    """(line, place in it, word, synthetic box) of a text's words, as ``tables.word_boxes`` has them."""
+    for ln, line in enumerate(text.split("\n")):
+        top = tables.PITCH * ln
+        for wi, m in enumerate(_WORD.finditer(line)):
+            yield ln, wi, m[0], (tables.CHAR * m.start(), top, tables.CHAR * m.end(), top + tables.HEIGHT)
+
+
+def align_texts(docs: DataFrame, kind: str = "private_person") -> DataFrame:
+    """Names after the phrases, placed on the words of their own texts (doc_id, text): where a text is, there are its names and words, so nothing is shuffled."""
+    found = docs.select("doc_id", "text", _anchored().alias("names")).filter(F.size("names") > 0)
+
+    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out: list[tuple] = []
+            for doc_id, text, names in zip(pdf["doc_id"], pdf["text"], pdf["names"], strict=True):
+                first: dict[str, tuple[str, str, float]] = {}
+                for x in names:
+                    first.setdefault(x["name"].lower(), (kind, x["name"], x["c"]))
+                cells = list(words_of(text))
+                out += _placed(doc_id, [c[2] for c in cells], [c[3] for c in cells], [c[:2] for c in cells], sorted(first.values()))
+            yield pd.DataFrame(out, columns=["doc_id", *_NAMES])
+
+    return found.mapInPandas(placed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {PLACED}")
 
 
 def align_exact(spans: DataFrame, boxed: DataFrame) -> DataFrame:

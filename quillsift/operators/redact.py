@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +31,44 @@ def redact(lined: DataFrame, hits: DataFrame, tagged: bool = False) -> DataFrame
     return gathered.select("doc_id", F.array_join(F.col("ls.line"), "\n").alias("text"))
 
 
+_WORD = re.compile(r"[^ \t\n\x0b\f\r]+")
+
+
+def masked_text(text: str, masks: Iterable[tuple[int, int, str]]) -> str:
+    """The text with words (line, place in it, token) replaced; in lines that have any, words are rejoined by single blanks."""
+    by_line: dict[int, dict[int, str]] = {}
+    for ln, wi, token in masks:
+        words = by_line.setdefault(ln, {})
+        words[wi] = min(token, words.get(wi, token))
+    lines = text.split("\n")
+    for ln, words in by_line.items():
+        lines[ln] = " ".join(words.get(i, w) for i, w in enumerate(_WORD.findall(lines[ln])))
+    return "\n".join(lines)
+
+
+def mask_column(text: Column, masks: Column) -> Column:
+    """``masked_text`` of whole texts; ``masks``: array of (ln, wi, t). Texts that aren't to be changed should be null, as they then stay where they are."""
+
+    @F.pandas_udf("string")
+    def masked(texts: pd.Series, every: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else masked_text(t, ((m["ln"], m["wi"], m["t"]) for m in ms)) for t, ms in zip(texts, every, strict=True)], dtype=object)
+
+    return masked(text, masks)
+
+
+def mask(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """(doc_id, text) of ``docs`` with the words of ``hits`` (doc_id, ln, wi, wi_to, and token if there is one) replaced, like ``redact``, but whole.
+
+    The masks go to the texts: a text moves once at most, and its lines never do. Null texts are left out.
+    """
+    token = F.col("token") if "token" in hits.columns else F.lit(BLOCK)
+    cell = F.transform(F.sequence("wi", "wi_to"), lambda w: F.struct(F.col("ln").alias("ln"), w.alias("wi"), token.alias("t")))
+    masks = hits.groupBy("doc_id").agg(F.flatten(F.collect_list(cell)).alias("_m"))
+    met = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(masks, "doc_id", "left")
+    changed = mask_column(F.when(F.col("_m").isNotNull(), F.col("text")), "_m")
+    return met.select("doc_id", F.coalesce(changed, "text").alias("text"))
+
+
 def severity(detections: DataFrame, *by: str) -> DataFrame:
     """Number of detections in all and at each level."""
     return detections.groupBy(*by).agg(F.count("*").alias("total"), *(F.count_if(F.col("risk") == r).alias(r) for r in entity.RANKS))

@@ -24,11 +24,10 @@ PUBLIC = ("id", "type", "tag", "risk", "confidence", "sources", "detail", "token
 ORDER = ("detector", "ln", "wi", "wi_to", "type", "text")
 
 
-def model_hits(docs: DataFrame, boxed: DataFrame) -> DataFrame:
+def model_hits(docs: DataFrame) -> DataFrame:
     """Names after fixed phrases, aligned with the words: one row for each place."""
-    spans = names.anchored_names(docs).select("doc_id", F.lit("private_person").alias("type"), F.col("name").alias("text"), "confidence")
     first, last = F.try_element_at("words", F.lit(1)), F.try_element_at("words", F.lit(-1))
-    return names.align(spans, boxed).select(
+    return names.align_texts(docs).select(
         "*", F.lit("privacy_filter").alias("source"), F.lit(0).alias("detector"),
         first["ln"].alias("ln"), first["wi"].alias("wi"), last["ln"].alias("ln_to"), last["wi"].alias("wi_to"),
     )
@@ -38,7 +37,7 @@ def detections(docs: DataFrame, policy: dict[str, str] | None = None, unicode_la
     """All detections of the rules and the model in ``docs`` (doc_id, text), with source, places, boxes, risk and action."""
     ruled = detect.detect_all(docs, unicode_labels=unicode_labels).drop("risk", "action").withColumn("ln_to", F.col("ln"))
     ruled = ruled.withColumn("words", F.transform(F.sequence("wi", "wi_to"), lambda w: F.struct(F.col("ln").alias("ln"), w.alias("wi"))))
-    both = ruled.unionByName(model_hits(docs, tables.word_boxes(tables.lines(docs))))
+    both = ruled.unionByName(model_hits(docs))
     return both.withColumn("risk", entity.risk(F.col("type"))).withColumn("action", entity.action(F.col("risk"), policy))
 
 
@@ -47,21 +46,31 @@ def masked_words(found: DataFrame) -> DataFrame:
     return found.filter(F.col("action") != "allow").select("doc_id", F.inline("words")).select("doc_id", "ln", "wi", F.col("wi").alias("wi_to"))
 
 
-def fused(found: DataFrame, visual: DataFrame | None = None, policy: dict[str, str] | None = None) -> DataFrame:
-    """Fused regions of detections and of visual ones (doc_id, type, confidence, x0..y1)."""
-    cols = ["doc_id", "type", "source", "confidence", "x0", "y0", "x1", "y1", *ORDER]
-    cols = list(dict.fromkeys(cols))
+def union_visual(found: DataFrame, visual: DataFrame | None) -> DataFrame:
+    """Detections and, if there are any, visual ones (doc_id, type, confidence, x0..y1), which cover no words."""
+    cols = ["doc_id", "type", "source", "confidence", "x0", "y0", "x1", "y1", *(c for c in ORDER if c != "type"), "words", "action"]
     every = found.select(cols)
     if visual is not None:
-        more = visual.withColumns({"source": F.lit("visual"), "detector": F.lit(0), "text": F.lit("")} | {c: F.lit(0).cast("long") for c in ("ln", "wi", "wi_to")})
+        none = {"words": F.array().cast(dict(found.dtypes)["words"]), "action": F.lit("allow")}
+        more = visual.withColumns({"source": F.lit("visual"), "detector": F.lit(0), "text": F.lit("")} | none | {c: F.lit(0).cast("long") for c in ("ln", "wi", "wi_to")})
         every = every.unionByName(more.select(cols))
-    return fuse.fuse(fuse.arrived(every, *ORDER), policy)
+    return every
+
 
+def fused(found: DataFrame, visual: DataFrame | None = None, policy: dict[str, str] | None = None) -> DataFrame:
+    """Fused regions of detections and of visual ones (doc_id, type, confidence, x0..y1)."""
+    return fuse.fuse(fuse.arrived(union_visual(found, visual), *ORDER), policy)
 
-def public(regions: DataFrame) -> DataFrame:
-    """(doc_id, detections): what a caller may see of each document's regions, in the order of risk and place."""
-    cells = F.array_sort(F.collect_list(F.struct("place", *PUBLIC)))
-    return regions.groupBy("doc_id").agg(F.transform(cells, lambda c: c.dropFields("place")).alias("detections"))
+
+def summaries(found: DataFrame, visual: DataFrame | None = None, policy: dict[str, str] | None = None) -> DataFrame:
+    """(doc_id, masks, regions) of each document with a detection: the words that the policy doesn't allow, and its fused regions.
+
+    A document's detections are gathered once, and both are made of that.
+    """
+    gathered = fuse.frames(fuse.arrived(union_visual(found, visual), *ORDER), "words", "action")
+    covered = F.flatten(F.transform(F.filter("cells", lambda c: c["action"] != "allow"), lambda c: c["words"]))
+    masks = F.transform(F.array_distinct(covered), lambda w: F.struct(w["ln"].alias("ln"), w["wi"].alias("wi"), F.lit(redact.BLOCK).alias("t")))
+    return gathered.select("doc_id", masks.alias("masks"), fuse.regions(F.col("cells"), policy).alias("regions"))
 
 
 def sanitize(
@@ -75,28 +84,23 @@ def sanitize(
     if on_error not in ("drop", "raw"):
         raise ValueError("on_error is drop or raw")
     own = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    named = own.groupBy("doc_id").agg(F.count("*").alias("n_rows"))
-    once = named.filter((F.col("n_rows") == 1) & F.col("doc_id").isNotNull()).select("doc_id")
-    docs = own.filter(F.col("text").isNotNull()).join(once, "doc_id")
-    found = detections(docs, policy, unicode_labels)
-    words = masked_words(found)
-    masked = redact.redact(tables.lines(docs), words).withColumnRenamed("text", "masked")
-    counted = words.distinct().groupBy("doc_id").agg(F.count("*").alias("n_masked"))
-    regions = fused(found, visual, policy)
-    seen = redact.severity(regions, "doc_id").join(public(regions), "doc_id")
-    out = own.join(named, own["doc_id"].eqNullSafe(named["doc_id"])).drop(named["doc_id"])
-    for more in (masked, counted, seen):
-        out = out.join(more, "doc_id", "left")
-    error = (
-        F.when(F.col("doc_id").isNull(), "no id").when(F.col("n_rows") > 1, "repeated id")
-        .when(F.col("text").isNull(), "no text").when(F.col("masked").isNull(), "no output")
-    )
-    none = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
-    kept = F.when(F.col("error").isNull(), F.col("masked"))
-    return out.withColumn("error", error).select(
+    once = own.groupBy("doc_id").agg(F.count("*").alias("n_rows"))
+    found = summaries(detections(own.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()), policy, unicode_labels), visual, policy)
+    out = own.join(once.join(found, "doc_id", "left"), "doc_id", "left")
+    error = F.when(F.col("doc_id").isNull(), "no id").when(F.col("n_rows") > 1, "repeated id").when(F.col("text").isNull(), "no text")
+    out = out.withColumn("error", error)
+    # only texts that change go to Python workers and back
+    good = lambda c: F.when(F.col("error").isNull(), F.col(c))
+    out = out.withColumns({"masks": good("masks"), "regions": good("regions")})
+    out = out.withColumn("changed", redact.mask_column(F.when(F.size("masks") > 0, F.col("text")), F.col("masks")))
+    kept = F.when(F.col("error").isNull(), F.coalesce("changed", "text"))
+    seen = F.transform("regions", lambda r: F.struct(*(r[c].alias(c) for c in PUBLIC)))
+    out = out.withColumn("seen", seen)
+    n = lambda c: F.greatest(F.size(c), F.lit(0)).cast("long")
+    at = lambda level: n(F.filter("seen", lambda r: r["risk"] == level)).alias(level)
+    return out.select(
         F.col("doc_id").alias(id_col), (F.coalesce(kept, F.col("text")) if on_error == "raw" else kept).alias(text_col), F.col("error").isNull().alias("sanitized"), "error",
-        none("n_masked"), none("total"), *(none(r) for r in entity.RANKS),
-        F.coalesce("detections", F.array().cast(dict(seen.dtypes)["detections"])).alias("detections"),
+        n("masks").alias("n_masked"), n("seen").alias("total"), *map(at, entity.RANKS), F.coalesce("seen", F.array().cast(dict(out.dtypes)["seen"])).alias("detections"),
     )
 
 

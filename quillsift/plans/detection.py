@@ -100,7 +100,14 @@ _SECRET = (f"CASE WHEN {_UUID} THEN 0.99 WHEN {_JWT} THEN 0.96 ELSE 0.95 END", f
 _CARDS = f"CASE WHEN regexp_matches({_CARD}, '^\\d{{13,19}}$') THEN {_LUHN.replace('{w}', _CARD)} ELSE false END"
 _TAIL = f"regexp_matches({_PLAIN}, '{P.PHONE_TAIL}')"
 _PAIR = r"(word IN ('+91', '91') AND regexp_matches(regexp_replace(n1, '[\s()-]', '', 'g'), '" + P.PHONE_TAIL + "'))"
-_TRIPLE = r"(regexp_matches(word, '^[2-9]\d{3}$') AND regexp_matches(n1, '^\d{4}$') AND regexp_matches(n2, '^\d{4}$'))"
+_FOUR = "regexp_replace({x}, '[^0-9]', '', 'g')"
+#: Where blocks of three words of four digits start in a line, from the left, without overlap.
+_STARTS = f"""list_filter(range(len(ws) - 2), lambda i: len({_FOUR.format(x="ws[i + 1]")}) = 4 AND len({_FOUR.format(x="ws[i + 2]")}) = 4 AND len({_FOUR.format(x="ws[i + 3]")}) = 4
+  AND regexp_matches({_FOUR.format(x="ws[i + 1]")}, '^[2-9]'))"""
+_BLOCKS = f""", s AS (SELECT doc_id, ln, {_STARTS} AS starts FROM lines),
+g AS (SELECT doc_id, ln, CASE WHEN len(starts) > 0 THEN list_reduce(list_transform(starts, lambda x: [x]), lambda a, b: CASE WHEN b[1] >= a[len(a)] + 3 THEN list_concat(a, b) ELSE a END) ELSE [] END AS firsts FROM s),
+w AS (SELECT words.*, list_contains(firsts, wi) AS triple FROM words JOIN g USING (doc_id, ln))"""
+_TRIPLE = "triple"
 _KEPT = r"regexp_replace(word, '[:.\s\-]', '', 'g')"
 _LABELLED = {
     "roll": ("roll_number", "0.98", P.ROLL_LABEL, f"len({_NUM}) BETWEEN 6 AND 12"),
@@ -112,7 +119,7 @@ _DETECT = {
     "email": _hits("email", "private_email", "0.99", f"regexp_matches(word, '^{P.EMAIL}$')"),
     "phone": _hits("phone", "private_phone", "0.98", f"{_PAIR} OR (regexp_matches({_PLAIN}, '{P.PHONE}') AND NOT (wi > 0 AND prev IN ('+91', '91') AND {_TAIL}))", f"(CASE WHEN {_PAIR} THEN 2 ELSE 1 END)", more=_LEAD),
     "pan": _hits("pan", "pan", "0.96", f"regexp_matches(upper(word), '{P.PAN}')"),
-    "aadhaar": _hits("aadhaar", "aadhaar", "0.97", f"regexp_matches(word, '{P.AADHAAR}') OR {_TRIPLE}", f"(CASE WHEN {_TRIPLE} THEN 3 ELSE 1 END)", more=_LEAD),
+    "aadhaar": _hits("aadhaar", "aadhaar", "0.97", f"regexp_matches(word, '{P.AADHAAR}') OR {_TRIPLE}", f"(CASE WHEN {_TRIPLE} THEN 3 ELSE 1 END)", more=_BLOCKS),
     "ifsc": _hits("ifsc", "ifsc", "0.96", f"regexp_matches(upper(word), '{P.IFSC}')"),
     "gstin": _hits("gstin", "gstin", "0.96", f"regexp_matches(upper(word), '{P.GSTIN}')"),
     "account": _hits("account", "account_number", "0.97", f"len(list_filter(ws, lambda x: regexp_matches(x, '(?i)\\b(?:{P.ACCOUNT_CONTEXT})\\b'))) > 0 AND len({_NUM}) BETWEEN 9 AND 18"),
@@ -125,6 +132,21 @@ for _name, _sql in _DETECT.items():
     QUERIES[f"detect_{_name}"] = lambda spark, sf_dir, n=_name: detect.detect(profiles(spark, sf_dir), n)
     ORACLES[f"detect_{_name}"] = _sql
 
+#: Identity numbers between marks, two that overlap, and names after titles, for each customer.
+MARKED = """SELECT c_custkey AS doc_id, concat('Aadhaar: 2', lpad(CAST(c_custkey % 1000 AS VARCHAR), 3, '0'), ', 67-89, (0123).', chr(10),
+  '2345 6789 0123 4567 ', CASE WHEN c_custkey % 2 = 0 THEN '8901 2345' ELSE '89012 2345' END, chr(10), 'x1345 6789 0123', chr(10),
+  'Name : ', CASE c_custkey % 3 WHEN 0 THEN 'श्री' WHEN 1 THEN 'श्रीमती' ELSE 'S/O' END, ' Rahul Sharma') AS text FROM customer"""
+
+
+def _marked(spark, sf_dir):
+    made = MARKED.replace("VARCHAR", "STRING").replace("chr(10)", "char(10)").replace("FROM customer", "FROM {t}")
+    return tables.lines(spark.sql(made, t=load(spark, sf_dir, "customer")))
+
+
+for _name in ("aadhaar", "names"):
+    QUERIES[f"detect_{_name}_marked"] = lambda spark, sf_dir, n=_name: detect.detect(_marked(spark, sf_dir), n)
+    ORACLES[f"detect_{_name}_marked"] = _DETECT[_name].replace(PROFILES, MARKED)
+
 _JOINED = f"""WITH {ctes(PROFILES)}, m AS (SELECT doc_id, ln, ws, unnest(regexp_extract_all(array_to_string(ws, ''), '{P.EMAIL}')) AS m FROM lines),
 p AS (SELECT doc_id, ln, ws, m, list_filter(range(len(ws)), lambda i: contains(m, regexp_replace(ws[i + 1], '[@.]', '', 'g'))) AS part FROM m)
 SELECT doc_id, ln, part[1] AS wi, part[len(part)] AS wi_to, 'private_email' AS type, CAST(0.98 AS DOUBLE) AS confidence, array_to_string(list_transform(part, lambda i: ws[i + 1]), ' ') AS text FROM p WHERE len(part) >= 2"""
@@ -474,7 +496,7 @@ _CLEAN = f"CASE WHEN t IS NOT NULL THEN '{redact.BLOCK}' END"
 
 @query("redact_clean", f"SELECT doc_id, text FROM ({_masked(PROFILES, _CLEAN)})")
 def redact_clean(spark, sf_dir):
-    return redact.redact(profiles(spark, sf_dir), sanitize.masked_words(_profile_hits(spark, sf_dir)))
+    return redact.mask(tables.profiles(spark, sf_dir), sanitize.masked_words(_profile_hits(spark, sf_dir)))
 
 
 @query("redact_tagged", f"SELECT doc_id, text FROM ({_masked(PROFILES, 't')})")
@@ -483,7 +505,7 @@ def redact_tagged(spark, sf_dir):
     hits = hits.withColumn("seq", F.row_number().over(fuse.Window.partitionBy("doc_id").orderBy("ln", "wi", "wi_to", "type")))
     token = F.concat(F.lit("<"), entity.tag(F.col("type")), F.lit("_0"), "seq", F.lit(">"))
     each = hits.select("doc_id", token.alias("token"), F.inline("words")).select("doc_id", "ln", "wi", F.col("wi").alias("wi_to"), "token")
-    return redact.redact(profiles(spark, sf_dir), each, tagged=True)
+    return redact.mask(tables.profiles(spark, sf_dir), each)
 
 
 @query("sanitize", f"""SELECT d.doc_id, m.text, d.text IS NOT NULL AS sanitized, CASE WHEN d.text IS NULL THEN 'no text' END AS error, coalesce(m.n_masked, 0) AS n_masked

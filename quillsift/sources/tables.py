@@ -73,25 +73,32 @@ def words(lined: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 RUN = 256
 
 
-def word_boxes(lined: DataFrame) -> DataFrame:
-    """Words with synthetic boxes: 8 by 12 pixels a character, 20 pixels a line.
+def with_cells(lined: DataFrame) -> DataFrame:
+    """Add ``cells``, the words of each line with their offsets (at, word).
 
-    The offsets of words are running sums inside their line, made of the line alone,
-    so that nothing is shuffled.
+    Offsets are running sums inside the line, made of the line alone, so that nothing
+    is shuffled.
     """
     total = lambda cells: F.aggregate(cells, F.lit(0).cast("long"), lambda n, c: n + F.length(c))
-    cells = F.split("line", r"(?<=\s)(?=\S)")
-    runs = F.transform(F.sequence(F.lit(0), F.expr(f"(size(cells) - 1) div {RUN}")), lambda r: F.slice("cells", r * RUN + 1, RUN))
-    placed = lambda at, run: F.transform(run, lambda c, k: F.struct((at + total(F.slice(run, 1, k))).alias("at"), c.alias("cell")))
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<array<struct<at: bigint, cell: string>>>").alias("out"))
+    runs = F.transform(F.sequence(F.lit(0), F.expr(f"(size(_parts) - 1) div {RUN}")), lambda r: F.slice("_parts", r * RUN + 1, RUN))
+    word = lambda c: F.regexp_replace(c, r"\s+$", "")
+    placed = lambda at, run: F.transform(run, lambda c, k: F.struct((at + total(F.slice(run, 1, k))).alias("at"), word(c).alias("word")))
+    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<array<struct<at: bigint, word: string>>>").alias("out"))
     added = lambda a, run: F.struct((a["at"] + total(run)).alias("at"), F.array_append(a["out"], placed(a["at"], run)).alias("out"))
-    found = lined.select("doc_id", "ln", cells.alias("cells")).filter(F.size("cells") > 0)
-    found = found.select("doc_id", "ln", F.posexplode(F.flatten(F.aggregate(runs, empty, added)["out"])).alias("k", "c"), F.get("cells", F.lit(0)).rlike(r"^\s*$").alias("blank"))
-    word = F.regexp_replace("c.cell", r"\s+$", "")
-    found = found.select("doc_id", "ln", (F.col("k") - F.col("blank").cast("int")).cast("long").alias("wi"), word.alias("word"), F.col("c.at").alias("at")).filter(F.col("word") != "")
+    cut = lined.withColumn("_parts", F.split("line", r"(?<=\s)(?=\S)"))
+    return cut.withColumn("cells", F.filter(F.flatten(F.aggregate(runs, empty, added)["out"]), lambda c: c["word"] != "")).drop("_parts")
+
+
+#: Pixels of the synthetic boxes: a character's width, a line's pitch, a word's height; fixed values.
+CHAR, PITCH, HEIGHT = 8.0, 20.0, 12
+
+
+def word_boxes(lined: DataFrame) -> DataFrame:
+    """Words with synthetic boxes: 8 by 12 pixels a character, 20 pixels a line."""
+    found = with_cells(lined).select("doc_id", "ln", F.posexplode("cells").alias("wi", "c"))
     return found.select(
-        "doc_id", "ln", "wi", "word", (8.0 * F.col("at")).alias("x0"), (20.0 * F.col("ln")).alias("y0"),
-        (8.0 * (F.col("at") + F.length("word"))).alias("x1"), (20.0 * F.col("ln") + 12).alias("y1"),
+        "doc_id", "ln", F.col("wi").cast("long").alias("wi"), "c.word", (CHAR * F.col("c.at")).alias("x0"), (PITCH * F.col("ln")).alias("y0"),
+        (CHAR * (F.col("c.at") + F.length("c.word"))).alias("x1"), (PITCH * F.col("ln") + HEIGHT).alias("y1"),
     )
 
 

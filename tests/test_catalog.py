@@ -1,6 +1,7 @@
 """Queries against their SQL twins, on the small tables."""
 
 import math
+import numbers
 import os
 
 import duckdb
@@ -24,9 +25,9 @@ def duck():
 
 
 def plain(v):
-    if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
         return None
-    return round(float(v), 6) if isinstance(v, int | float) and not isinstance(v, bool) else str(v)
+    return round(float(v), 6) if isinstance(v, numbers.Real) and not isinstance(v, bool) else str(v)
 
 
 def rows(df):

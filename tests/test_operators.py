@@ -19,6 +19,9 @@ def test_detectors(spark):
     assert hits(spark, "+91 9876543210 and +919876543210 5876543210", "phone") == ["+91 9876543210", "+919876543210"]
     assert hits(spark, "abcde1234f ABCD1234F", "pan") == ["abcde1234f"]
     assert hits(spark, "2345 6789 0123 1345 6789 0123", "aadhaar") == ["2345 6789 0123"]
+    assert hits(spark, "Aadhaar: 2345, 6789, 0123.", "aadhaar") == ["2345, 6789, 0123."]
+    assert hits(spark, "2345 6789 0123 4567 8901 2345 6789", "aadhaar") == ["2345 6789 0123", "4567 8901 2345"]
+    assert hits(spark, "Name : श्री Rahul श्रीमती Sharma", "names") == ["Rahul", "Sharma"]
     assert hits(spark, "savings 123456789\n123456789", "account") == ["123456789"]
     assert hits(spark, "capital abcdefghijklmnop", "secret") == ["abcdefghijklmnop"]
     assert hits(spark, "4111111111111111 4111111111111112", "card") == ["4111111111111111"]
