@@ -80,32 +80,48 @@ def chunks(text: str) -> Iterator[list[str]]:
         yield CHUNK.findall(run)
 
 
-def segment(found: list[str], model: str = MODEL) -> list[bytes]:
+def segment(found: list[str], model: str = MODEL) -> Iterator[bytes]:
     """Ids of each chunk, four bytes an id.
 
-    The library sets a marker before whatever it encodes. That is the chunk's own
-    first one, or else a line feed after it keeps it apart, and both are dropped.
+    Chunks are given to the library many at a time, with line feeds between them,
+    which keep them apart: nothing merges with a line feed.
     """
     sp = processor(model)
-    own = [c[0] == MARK for c in found]
-    given = sp.encode([c[1:].replace(MARK, " ") if o else "\n" + c for c, o in zip(found, own, strict=True)], num_threads=1) if found else []
-    drop = len(sp.encode("\n"))
-    out = []
-    for chunk, o, ids in zip(found, own, given, strict=True):
-        # a lone marker is lost to the library, which sets none before nothing
-        ids = sp.encode("\n")[: drop - 1] if chunk == MARK else ids if o else ids[drop:]
-        out.append(np.asarray(ids, dtype="<i4").tobytes())
-    return out
-
-
-def encode_text(text: str, table: dict[str, bytes], model: str = MODEL) -> bytes:
-    """Ids of a whole text, four bytes an id; what ``table`` lacks is segmented and, if it is short, added to it."""
+    feed = sp.encode("\n")[-1]
+    begin = 0
+    while begin < len(found):
+        end, size = begin, 0
+        while end < len(found) and size < 50_000:
+            size += len(found[end])
+            end += 1
+        part = [c for c in found[begin:end] if c != "\n"]
+        ids = np.asarray(sp.encode("\n" + "\n".join(part)), dtype="<i4")
+        # the first marker is the library's own, and a feed stands before each chunk
+        cuts = np.r_[np.flatnonzero(ids == feed), len(ids)].tolist()
+        raw, given = ids.tobytes(), 0
+        for c in found[begin:end]:
+            if c == "\n":
+                yield np.int32(feed).tobytes()
+            else:
+                yield raw[4 * cuts[given] + 4 : 4 * cuts[given + 1]]
+                given += 1
+        begin = end
+
+
+def encode_text(text: str, known: dict[str, bytes], own: dict[str, bytes], model: str = MODEL) -> bytes:
+    """Ids of a whole text, four bytes an id; what neither ``known`` nor ``own`` has is segmented and, if it is short, added to ``own``."""
     out = []
     for found in chunks(text):
-        missing = list({c for c in found if c not in table})
-        new = dict(zip(missing, segment(missing, model), strict=True))
-        table.update((c, ids) for c, ids in new.items() if len(c) <= LONGEST)
-        out += [table[c] if c in table else new[c] for c in found]
+        ids = list(map(known.get, found))
+        holes = [k for k, v in enumerate(ids) if v is None]
+        if holes:
+            missing = [c for c in {found[k] for k in holes} if c not in own]
+            new = dict(zip(missing, segment(missing, model), strict=True))
+            for k in holes:
+                c = found[k]
+                ids[k] = new[c] if c in new else own[c]
+            own.update((c, i) for c, i in new.items() if len(c) <= LONGEST)
+        out += ids
     return b"".join(out)
 
 
@@ -158,7 +174,7 @@ def chunk_table(docs: DataFrame, model: str = MODEL, table_rows: int = TABLE_ROW
 
     def segmented(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(segment(b.column(0).to_pylist(), model), pa.binary())], ["chunk", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(segment(b.column(0).to_pylist(), model)), pa.binary())], ["chunk", "ids"])
 
     return materialize(counts.filter(level >= least).select("chunk").mapInArrow(segmented, "chunk string, ids binary"))
 
@@ -173,10 +189,10 @@ def encode(docs: DataFrame, model: str = MODEL, table_rows: int = TABLE_ROWS, ta
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for b in batches:
-            own = _Own(known)
+            own: dict[str, bytes] = {}
             ids, ends, texts = [], [0], []
             for text in b.column("text"):
-                raw = encode_text(text.as_py() or "", own, model)
+                raw = encode_text(text.as_py() or "", known, own, model)
                 ids.append(raw)
                 ends.append(ends[-1] + len(raw) // 4)
                 texts.append(decode_ids(np.frombuffer(raw, dtype="<i4"), model))
@@ -189,17 +205,3 @@ def encode(docs: DataFrame, model: str = MODEL, table_rows: int = TABLE_ROWS, ta
     given = docs.select(rest, "text")
     out = given.mapInArrow(encoded, StructType([given.schema["rest"], *StructType.fromDDL("ids array<int>, decoded string")]))
     return out.select("rest.*", "ids", "decoded")
-
-
-class _Own(dict):
-    """The dealt table, and what one batch adds to it."""
-
-    def __init__(self, known: dict[str, bytes]) -> None:
-        super().__init__()
-        self.known = known
-
-    def __contains__(self, chunk: object) -> bool:
-        return chunk in self.known or super().__contains__(chunk)
-
-    def __missing__(self, chunk: str) -> bytes:
-        return self.known[chunk]
