@@ -48,6 +48,13 @@ def edged(words: str, extra: str | None = None) -> str:
     return rf"(?i)(?:{core}|{extra})" if extra else rf"(?i){core}"
 
 
+def quoted(pattern: str) -> str:
+    """A pattern as a literal of Spark SQL."""
+    if "'" in pattern:
+        return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"r'{pattern}'"
+
+
 def digits(word: Column) -> Column:
     return F.regexp_replace(word, r"[^0-9]", "")
 

@@ -23,73 +23,73 @@ from quillsift.functions import patterns as P
 from quillsift.sources import tables
 
 
-def _first_label(pattern: str) -> Column:
+q = P.quoted
+
+
+def _first_label(pattern: str) -> str:
     """Index of the first label on the line, or null."""
-    at = F.array_position(F.transform("ws", lambda w: w.rlike(pattern)), True)
-    return F.when(at > 0, at - 1)
-
-
-def _triples() -> Column:
-    """Where three words of four digits each start, whatever stands between the digits, taken from the left without overlap."""
-    digits = F.transform("ws", P.digits)
-    block = lambda i: F.length(F.get(digits, i)) == 4
-    starts = lambda i: block(i) & block(i + 1) & block(i + 2) & F.get(digits, i).rlike("^[2-9]")
-    empty = F.struct(F.lit(0).alias("free"), F.array().cast("array<int>").alias("at"))
-    taken = F.aggregate(
-        F.filter(F.sequence(F.lit(0), F.size("ws") - 1), starts), empty,
-        lambda a, i: F.when(i >= a["free"], F.struct((i + 3).alias("free"), F.array_append(a["at"], i).alias("at"))).otherwise(a),
-    )
-    some = (F.size("ws") >= 3) & (F.size(F.filter("ws", lambda w: F.length(P.digits(w)) == 4)) >= 3)
-    return F.when(some, taken["at"]).otherwise(F.array().cast("array<int>"))
+    return f"nullif(array_position(transform(ws, w -> rlike(w, {q(pattern)})), true), 0) - 1"
+
+
+_DIGITS = r"regexp_replace({}, r'[^0-9]', '')"
+#: Where three words of four digits each start, whatever stands between the digits, taken from the left without overlap.
+_TRIPLES = f"""CASE WHEN size(ws) >= 3 AND size(filter(ws, w -> length({_DIGITS.format("w")}) = 4)) >= 3 THEN aggregate(
+  filter(sequence(0, size(ws) - 3), i -> length({_DIGITS.format("ws[i]")}) = 4 AND length({_DIGITS.format("ws[i + 1]")}) = 4
+    AND length({_DIGITS.format("ws[i + 2]")}) = 4 AND rlike({_DIGITS.format("ws[i]")}, '^[2-9]')),
+  named_struct('free', 0, 'at', cast(array() AS array<int>)),
+  (a, i) -> CASE WHEN i >= a.free THEN named_struct('free', i + 3, 'at', array_append(a.at, i)) ELSE a END).at
+  ELSE cast(array() AS array<int>) END"""
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A detector of words: ``line`` is computed once a line, under the name given, and ``hit`` on its words.
+    """A detector of words, in SQL: ``line`` is computed once a line, under the name given, and ``hit`` on its words.
 
     Words come as wi, word, prev, n1 and n2 (their neighbours, empty at the ends).
     """
 
     kind: str
-    confidence: Column
-    line: tuple[str, Column] | None
-    hit: Column
-    length: Column | None = None  # how many words it takes; one, if not said
+    confidence: str
+    line: tuple[str, str] | None
+    hit: str
+    length: str = "1"  # how many words it takes
 
 
 def rules(unicode_labels: bool = False) -> dict[str, Rule]:
     more = P.HINDI_LABELS if unicode_labels else {}
-    wi, word = F.col("wi"), F.col("word")
-    plain, up = F.regexp_replace(word, r"[\s()-]", ""), F.upper(F.trim(word))
-    customer, context, account = P.edged(P.CUSTOMER_LABEL), rf"(?i)(?:{P.SECRET_CONTEXT})", P.edged(P.ACCOUNT_CONTEXT)
-    number, kept, card = P.digits(word), F.regexp_replace(word, r"[:.\s\-]", ""), F.regexp_replace(word, r"[\s-]", "")
-    is_uuid, is_jwt = word.rlike(P.edged(P.UUID)), word.rlike(P.JWT) | (word.startswith("eyJ") & (F.length(word) > 20))
-    pair = word.isin("+91", "91") & F.regexp_replace("n1", r"[\s()-]", "").rlike(P.PHONE_TAIL)
-    partner = (wi > 0) & F.col("prev").isin("+91", "91") & plain.rlike(P.PHONE_TAIL)
-    triple = F.array_contains("_triples", wi.cast("int"))
-
-    def labelled(name: str, kind: str, confidence: float, label: str, value: Column) -> Rule:
+    without = lambda chars, x="word": f"regexp_replace({x}, {q(chars)}, '')"
+    like = lambda pattern, x="word": f"rlike({x}, {q(pattern)})"
+    size = lambda low, high: f"length({_DIGITS.format('word')}) BETWEEN {low} AND {high}"
+    some = lambda pattern: f"exists(ws, w -> {like(pattern, 'w')})"
+    marks = r"[\s()-]"
+    kept, card, customer = without(r"[:.\s\-]"), without(r"[\s-]"), P.edged(P.CUSTOMER_LABEL)
+    is_uuid, is_jwt = like(P.edged(P.UUID)), f"({like(P.JWT)} OR (startswith(word, 'eyJ') AND length(word) > 20))"
+    pair = f"(word IN ('+91', '91') AND {like(P.PHONE_TAIL, without(marks, 'n1'))})"
+    partner = f"(wi > 0 AND prev IN ('+91', '91') AND {like(P.PHONE_TAIL, without(marks))})"
+    triple = "array_contains(_triples, cast(wi AS int))"
+
+    def labelled(name: str, kind: str, confidence: float, label: str, value: str) -> Rule:
         head = f"_head_{name}"
-        return Rule(kind, F.lit(confidence), (head, _first_label(P.edged(label, more.get(name)))), (wi > F.col(head)) & value)
+        return Rule(kind, f"{confidence}D", (head, _first_label(P.edged(label, more.get(name)))), f"wi > {head} AND {value}")
 
     return {
-        "email": Rule("private_email", F.lit(0.99), None, word.rlike(f"^{P.EMAIL}$")),
-        "phone": Rule("private_phone", F.lit(0.98), None, pair | (plain.rlike(P.PHONE) & ~partner), F.when(pair, 2).otherwise(1)),
-        "pan": Rule("pan", F.lit(0.96), None, up.rlike(P.PAN)),
-        "aadhaar": Rule("aadhaar", F.lit(0.97), ("_triples", _triples()), word.rlike(P.AADHAAR) | triple, F.when(triple, 3).otherwise(1)),
-        "ifsc": Rule("ifsc", F.lit(0.96), None, up.rlike(P.IFSC)),
-        "gstin": Rule("gstin", F.lit(0.96), None, up.rlike(P.GSTIN)),
-        "account": Rule("account_number", F.lit(0.97), ("_account", F.exists("ws", lambda w: w.rlike(account))), F.col("_account") & P.between(number, 9, 18)),
-        "roll": labelled("roll", "roll_number", 0.98, P.ROLL_LABEL, P.between(number, 6, 12)),
-        "registration": labelled("registration", "id_number", 0.97, P.REGISTRATION_LABEL, word.rlike(r"[A-Za-z0-9]{2,}\/[0-9]{4,}") | word.rlike(r"^[A-Za-z0-9]{6,14}$")),
-        "centre": labelled("centre", "id_number", 0.95, P.CENTRE_LABEL, P.between(number, 5, 8)),
+        "email": Rule("private_email", "0.99D", None, like(f"^{P.EMAIL}$")),
+        "phone": Rule("private_phone", "0.98D", None, f"{pair} OR ({like(P.PHONE, without(marks))} AND NOT {partner})", f"CASE WHEN {pair} THEN 2 ELSE 1 END"),
+        "pan": Rule("pan", "0.96D", None, like(P.PAN, "upper(trim(word))")),
+        "aadhaar": Rule("aadhaar", "0.97D", ("_triples", _TRIPLES), f"{like(P.AADHAAR)} OR {triple}", f"CASE WHEN {triple} THEN 3 ELSE 1 END"),
+        "ifsc": Rule("ifsc", "0.96D", None, like(P.IFSC, "upper(trim(word))")),
+        "gstin": Rule("gstin", "0.96D", None, like(P.GSTIN, "upper(trim(word))")),
+        "account": Rule("account_number", "0.97D", ("_account", some(P.edged(P.ACCOUNT_CONTEXT))), f"_account AND {size(9, 18)}"),
+        "roll": labelled("roll", "roll_number", 0.98, P.ROLL_LABEL, size(6, 12)),
+        "registration": labelled("registration", "id_number", 0.97, P.REGISTRATION_LABEL, f"({like(r'[A-Za-z0-9]{2,}\/[0-9]{4,}')} OR {like(r'^[A-Za-z0-9]{6,14}$')})"),
+        "centre": labelled("centre", "id_number", 0.95, P.CENTRE_LABEL, size(5, 8)),
         "secret": Rule(
-            "secret", F.when(is_uuid, 0.99).when(is_jwt, 0.96).otherwise(0.95), ("_context", F.exists("ws", lambda w: w.rlike(context))),
-            (F.length(word) >= 16) & (is_uuid | is_jwt | (F.col("_context") & word.rlike("[A-Za-z0-9]"))) | (word.startswith("eyJ") & is_jwt),
+            "secret", f"CASE WHEN {is_uuid} THEN 0.99D WHEN {is_jwt} THEN 0.96D ELSE 0.95D END", ("_context", some(rf"(?i)(?:{P.SECRET_CONTEXT})")),
+            f"(length(word) >= 16 AND ({is_uuid} OR {is_jwt} OR (_context AND {like('[A-Za-z0-9]')}))) OR (startswith(word, 'eyJ') AND {is_jwt})",
         ),
-        "card": Rule("credit_card", F.lit(0.98), None, F.when(card.rlike(r"^\d{13,19}$"), F.call_function("luhn_check", card)).otherwise(F.lit(False))),
-        "customer_id": Rule("id_number", F.lit(0.98), ("_customer", F.array_join("ws", " ").rlike(customer)), F.col("_customer") & P.between(number, 6, 16) & ~word.rlike(customer)),
-        "names": labelled("name", "private_person", 0.98, P.NAME_LABEL, (F.length(kept) > 0) & ~kept.isin("1", "2", "3") & ~word.rlike(f"(?i){P.NAME_SKIP}")),
+        "card": Rule("credit_card", "0.98D", None, f"CASE WHEN {like(r'^\d{13,19}$', card)} THEN luhn_check({card}) ELSE false END"),
+        "customer_id": Rule("id_number", "0.98D", ("_customer", like(customer, "array_join(ws, ' ')")), f"_customer AND {size(6, 16)} AND NOT {like(customer)}"),
+        "names": labelled("name", "private_person", 0.98, P.NAME_LABEL, f"length({kept}) > 0 AND {kept} NOT IN ('1', '2', '3') AND NOT {like(f'(?i){P.NAME_SKIP}')}"),
     }
 
 
@@ -118,11 +118,18 @@ ORDER = ("email", "email_joined", "phone", "pan", "aadhaar", "ifsc", "gstin", "a
 BOX = ("x0", "y0", "x1", "y1")
 
 
-def _edges(first: Column, last: Column) -> dict[str, Column]:
-    """The box of the words from ``first`` to ``last`` of a line with cells."""
-    at, to = F.get("cells", first.cast("int")), F.get("cells", last.cast("int"))
-    top = tables.PITCH * F.col("ln")
-    return {"x0": tables.CHAR * at["at"], "y0": top, "x1": tables.CHAR * (to["at"] + F.length(to["word"])), "y1": top + tables.HEIGHT}
+#: The box of the words wi to wi_to of a line with cells.
+_EDGES = (
+    f"{tables.CHAR}D * cells[cast(wi AS int)].at AS x0", f"{tables.PITCH}D * ln AS y0",
+    f"{tables.CHAR}D * (cells[cast(wi_to AS int)].at + length(cells[cast(wi_to AS int)].word)) AS x1", f"{tables.PITCH}D * ln + {tables.HEIGHT} AS y1",
+)
+_WORDS = """inline(transform(ws, (w, i) -> named_struct('wi', cast(i AS bigint), 'word', w,
+  'prev', coalesce(get(ws, i - 1), ''), 'n1', coalesce(get(ws, i + 1), ''), 'n2', coalesce(get(ws, i + 2), ''))))"""
+
+
+def _boxed(hits: DataFrame) -> DataFrame:
+    """The boxes of hits (ln, wi, wi_to) of lines with cells."""
+    return hits.selectExpr(*(c for c in hits.columns if c != "cells"), *_EDGES)
 
 
 def detect_many(lined: DataFrame, names: tuple[str, ...], unicode_labels: bool = False, boxed: bool = False) -> DataFrame:
@@ -133,30 +140,22 @@ def detect_many(lined: DataFrame, names: tuple[str, ...], unicode_labels: bool =
     known = rules(unicode_labels)
     chosen = {n: known[n] for n in names}
     facts = {r.line[0]: r.line[1] for r in chosen.values() if r.line}
-    near = F.transform("ws", lambda w, i: F.struct(
-        i.cast("long").alias("wi"), w.alias("word"), *(F.coalesce(F.get("ws", i + k), F.lit("")).alias(c) for k, c in ((-1, "prev"), (1, "n1"), (2, "n2"))),
-    ))
-    gated = lined.filter(may_hit(names, unicode_labels)).filter(F.size("ws") > 0)
+    gated = lined.filter(may_hit(names, unicode_labels)).filter("size(ws) > 0")
     gated = tables.with_cells(gated) if boxed else gated
     held = ("cells",) if boxed else ()
-    cells = gated.withColumns(facts).select("doc_id", "ln", *held, *facts, F.inline(near))
-    hits = []
-    for n, r in chosen.items():
-        length = F.lit(1) if r.length is None else r.length
-        text = F.when(length == 3, F.concat_ws(" ", "word", "n1", "n2")).when(length == 2, F.concat_ws(" ", "word", "n1")).otherwise(F.col("word"))
-        hits.append(F.when(r.hit, F.struct(
-            F.lit(n).alias("detector"), (F.col("wi") + length - 1).alias("wi_to"), F.lit(r.kind).alias("type"), r.confidence.alias("confidence"), text.alias("text"),
-        )))
-    if len(hits) == 1:
-        found = cells.filter(chosen[names[0]].hit).select("doc_id", "ln", "wi", *held, hits[0].alias("h")).select("doc_id", "ln", "wi", *held, "h.*")
-    else:
-        found = cells.select("doc_id", "ln", "wi", *held, F.inline(F.filter(F.array(*hits), lambda h: h.isNotNull())))
-    return (_boxed(found) if boxed else found).select("detector", "doc_id", "ln", "wi", "wi_to", "type", "confidence", "text", *(BOX if boxed else ()))
+    cells = gated.selectExpr("*", *(f"{e} AS {k}" for k, e in facts.items())).selectExpr("doc_id", "ln", *held, *facts, _WORDS)
 
+    def told(n: str, r: Rule) -> str:
+        text = f"CASE {r.length} WHEN 3 THEN concat_ws(' ', word, n1, n2) WHEN 2 THEN concat_ws(' ', word, n1) ELSE word END"
+        return f"named_struct('detector', '{n}', 'wi_to', wi + {r.length} - 1, 'type', '{r.kind}', 'confidence', {r.confidence}, 'text', {text})"
 
-def _boxed(hits: DataFrame) -> DataFrame:
-    """The boxes of hits (ln, wi, wi_to) of lines with cells."""
-    return hits.withColumns(_edges(F.col("wi"), F.col("wi_to"))).drop("cells")
+    if len(chosen) == 1:
+        ((n, r),) = chosen.items()
+        found = cells.filter(r.hit).selectExpr("doc_id", "ln", "wi", *held, f"{told(n, r)} AS h").select("doc_id", "ln", "wi", *held, "h.*")
+    else:
+        hits = ", ".join(f"CASE WHEN {r.hit} THEN {told(n, r)} END" for n, r in chosen.items())
+        found = cells.selectExpr("doc_id", "ln", "wi", *held, f"inline(filter(array({hits}), h -> h IS NOT NULL))")
+    return (_boxed(found) if boxed else found).select("detector", "doc_id", "ln", "wi", "wi_to", "type", "confidence", "text", *(BOX if boxed else ()))
 
 
 def detect(lined: DataFrame, name: str, unicode_labels: bool = False) -> DataFrame:
@@ -166,46 +165,42 @@ def detect(lined: DataFrame, name: str, unicode_labels: bool = False) -> DataFra
 
 def detect_email_joined(lined: DataFrame, boxed: bool = False) -> DataFrame:
     """Mail addresses split over words of a line: the words that take part, first to last."""
-    glued = lined.filter(F.contains("line", F.lit("@"))).withColumn("m", F.explode(F.regexp_extract_all(F.array_join("ws", ""), F.lit(P.EMAIL), F.lit(0))))
-    part = F.filter(F.transform("ws", lambda w, i: F.struct(i.cast("long").alias("i"), F.contains(F.col("m"), F.regexp_replace(w, "[@.]", "")).alias("ok"))), lambda x: x["ok"])
-    hits = glued.withColumn("part", part).filter(F.size("part") >= 2)
+    glued = lined.filter("contains(line, '@')").selectExpr("*", f"explode(regexp_extract_all(array_join(ws, ''), {q(P.EMAIL)}, 0)) AS m")
+    part = "filter(transform(ws, (w, i) -> named_struct('i', cast(i AS bigint), 'ok', contains(m, regexp_replace(w, '[@.]', '')))), x -> x.ok) AS part"
+    hits = glued.selectExpr("*", part).filter("size(part) >= 2")
     hits = tables.with_cells(hits) if boxed else hits
-    wi, wi_to = F.try_element_at("part", F.lit(1))["i"], F.try_element_at("part", F.lit(-1))["i"]
-    found = hits.select(
-        "doc_id", "ln", *(("cells",) if boxed else ()), wi.alias("wi"), wi_to.alias("wi_to"), F.lit("private_email").alias("type"), F.lit(0.98).alias("confidence"),
-        F.array_join(F.transform("part", lambda x: F.get("ws", x["i"].cast("int"))), " ").alias("text"),
+    found = hits.selectExpr(
+        "doc_id", "ln", *(("cells",) if boxed else ()), "part[0].i AS wi", "part[size(part) - 1].i AS wi_to", "'private_email' AS type", "0.98D AS confidence",
+        "array_join(transform(part, x -> ws[cast(x.i AS int)]), ' ') AS text",
     )
     return _boxed(found) if boxed else found
 
 
+#: Where word i of a line starts, in pixels, and the words after the label.
+_LEFT = r"""8 * length(array_join(slice(split(line, r'(?<=\s)(?=\S)'), 1, CASE WHEN rlike(line, r'^\s') THEN {i} + 1 ELSE {i} END), ''))"""
+_SAYS = r"length(regexp_replace({w}, r'[:.\s\-]', '')) > 0"
+
+
 def detect_address(lined: DataFrame, boxed: bool = False) -> DataFrame:
     """Words after an address label, and up to three aligned lines below it until a stop word."""
     label = P.edged(P.ADDRESS_LABEL)
-    at = F.coalesce(_first_label(label), F.lit(-1))
-    line = lined.filter(F.size("ws") > 0).select("doc_id", "ln", "line", "ws", F.array_join("ws", " ").alias("j"))
-    line = line.withColumn("is_label", F.col("j").rlike(label)).withColumn("at", F.when(F.col("is_label"), at))
-    run = Window.partitionBy("doc_id").orderBy("ln")
-    line = line.withColumn("block", F.sum(F.col("is_label").cast("long")).over(run))
-    inside = Window.partitionBy("doc_id", "block").orderBy("ln")
-    line = line.withColumn("k", F.row_number().over(inside) - 1)
-    stop = (F.col("k") > 0) & F.col("j").rlike(f"(?i){P.ADDRESS_STOP}")
-    line = line.withColumn("stopped", F.max(stop.cast("int")).over(inside)).filter((F.col("block") > 0) & (F.col("k") <= 3))
-    offset = lambda i: F.length(F.array_join(F.slice(F.split("line", r"(?<=\s)(?=\S)"), 1, F.when(F.col("line").rlike(r"^\s"), i + 1).otherwise(i)), ""))
-    left = F.array_min(F.transform(F.filter(F.sequence(F.col("at").cast("int") + 1, F.size("ws")), lambda i: (i > F.col("at")) & (F.length(F.regexp_replace(F.get(F.col("ws"), i), r"[:.\s\-]", "")) > 0)), lambda i: 8 * offset(i)))
-    line = line.withColumn("left", F.when(F.col("is_label"), left))
-    line = line.withColumn("min_x", F.coalesce(F.last("left", True).over(run), F.lit(0)))
-    own = F.col("is_label")
-    going = (~own) & (F.col("stopped") == 0) & (F.col("j").rlike(P.edged(P.ADDRESS_LANDMARK)) | F.col("j").rlike(P.ADDRESS_PLAIN))
-    taken = F.filter(
-        F.transform("ws", lambda w, i: F.struct(i.cast("long").alias("i"), w.alias("w"))),
-        lambda x: F.when(own, (x["i"] > F.col("at")) & (F.length(F.regexp_replace(x["w"], r"[:.\s\-]", "")) > 0))
-        .otherwise((F.col("min_x") == 0) | (8 * offset(x["i"].cast("int")) >= F.col("min_x") - 35)),
-    )
-    hits = line.filter(own | going).withColumn("taken", taken).filter(F.size("taken") > 0)
+    line = lined.filter("size(ws) > 0").selectExpr("doc_id", "ln", "line", "ws", "array_join(ws, ' ') AS j")
+    line = line.selectExpr("*", f"rlike(j, {q(label)}) AS own").selectExpr("*", f"CASE WHEN own THEN coalesce({_first_label(label)}, -1) END AS at")
+    line = line.selectExpr("*", "sum(cast(own AS bigint)) OVER (PARTITION BY doc_id ORDER BY ln) AS block")
+    line = line.selectExpr("*", "row_number() OVER (PARTITION BY doc_id, block ORDER BY ln) - 1 AS k")
+    stop = f"k > 0 AND rlike(j, {q(f'(?i){P.ADDRESS_STOP}')})"
+    line = line.selectExpr("*", f"max({stop}) OVER (PARTITION BY doc_id, block ORDER BY ln) AS stopped").filter("block > 0 AND k <= 3")
+    after = f"filter(sequence(0, size(ws) - 1), i -> i > at AND {_SAYS.format(w='ws[i]')})"
+    line = line.selectExpr("*", f"CASE WHEN own THEN array_min(transform({after}, i -> {_LEFT.format(i='i')})) END AS left_")
+    line = line.selectExpr("*", "coalesce(last(left_, true) OVER (PARTITION BY doc_id ORDER BY ln), 0) AS min_x")
+    going = f"NOT own AND NOT stopped AND (rlike(j, {q(P.edged(P.ADDRESS_LANDMARK))}) OR rlike(j, {q(P.ADDRESS_PLAIN)}))"
+    taken = f"""filter(transform(ws, (w, i) -> named_struct('i', cast(i AS bigint), 'w', w)), x -> CASE WHEN own THEN x.i > at AND {_SAYS.format(w='x.w')}
+      ELSE min_x = 0 OR {_LEFT.format(i='cast(x.i AS int)')} >= min_x - 35 END) AS taken"""
+    hits = line.filter(f"own OR ({going})").selectExpr("*", taken).filter("size(taken) > 0")
     hits = tables.with_cells(hits) if boxed else hits
-    found = hits.select(
-        "doc_id", "ln", *(("cells",) if boxed else ()), F.try_element_at("taken", F.lit(1))["i"].alias("wi"), F.try_element_at("taken", F.lit(-1))["i"].alias("wi_to"), F.lit("private_address").alias("type"),
-        F.when(own, 0.96).otherwise(0.95).alias("confidence"), F.array_join(F.transform("taken", lambda x: x["w"]), " ").alias("text"),
+    found = hits.selectExpr(
+        "doc_id", "ln", *(("cells",) if boxed else ()), "taken[0].i AS wi", "taken[size(taken) - 1].i AS wi_to", "'private_address' AS type",
+        "CASE WHEN own THEN 0.96D ELSE 0.95D END AS confidence", "array_join(transform(taken, x -> x.w), ' ') AS text",
     )
     return _boxed(found) if boxed else found
 

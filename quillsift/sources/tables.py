@@ -73,20 +73,23 @@ def words(lined: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 RUN = 256
 
 
+_LENGTHS = "aggregate({}, 0L, (n, c) -> n + length(c))"
+_CELLS = f"""filter(flatten(aggregate(
+  transform(sequence(0, (size(_parts) - 1) div {RUN}), r -> slice(_parts, r * {RUN} + 1, {RUN})),
+  named_struct('at', 0L, 'out', cast(array() AS array<array<struct<at: bigint, word: string>>>)),
+  (a, run) -> named_struct('at', a.at + {_LENGTHS.format("run")}, 'out', array_append(a.out, transform(run, (c, k) ->
+    named_struct('at', a.at + {_LENGTHS.format("slice(run, 1, k)")}, 'word', regexp_replace(c, r'\\s+$', '')))))
+).out), c -> c.word <> '')"""
+
+
 def with_cells(lined: DataFrame) -> DataFrame:
     """Add ``cells``, the words of each line with their offsets (at, word).
 
     Offsets are running sums inside the line, made of the line alone, so that nothing
     is shuffled.
     """
-    total = lambda cells: F.aggregate(cells, F.lit(0).cast("long"), lambda n, c: n + F.length(c))
-    runs = F.transform(F.sequence(F.lit(0), F.expr(f"(size(_parts) - 1) div {RUN}")), lambda r: F.slice("_parts", r * RUN + 1, RUN))
-    word = lambda c: F.regexp_replace(c, r"\s+$", "")
-    placed = lambda at, run: F.transform(run, lambda c, k: F.struct((at + total(F.slice(run, 1, k))).alias("at"), word(c).alias("word")))
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<array<struct<at: bigint, word: string>>>").alias("out"))
-    added = lambda a, run: F.struct((a["at"] + total(run)).alias("at"), F.array_append(a["out"], placed(a["at"], run)).alias("out"))
-    cut = lined.withColumn("_parts", F.split("line", r"(?<=\s)(?=\S)"))
-    return cut.withColumn("cells", F.filter(F.flatten(F.aggregate(runs, empty, added)["out"]), lambda c: c["word"] != "")).drop("_parts")
+    cut = lined.selectExpr("*", r"split(line, r'(?<=\s)(?=\S)') AS _parts")
+    return cut.withColumn("cells", F.expr(_CELLS)).drop("_parts")
 
 
 #: Pixels of the synthetic boxes: a character's width, a line's pitch, a word's height; fixed values.
