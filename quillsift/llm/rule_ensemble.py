@@ -10,9 +10,10 @@ hash of their ids); statistics of texts cover whole texts of all rows.
 
 Defined results: a null or empty text has zero statistics and is scored like any
 other; without labelled rows of both kinds every score is the share of ones (0.5
-without any). A document labelled more than once counts once for each label row.
-Rows that repeat a doc_id are scored each on its own. Columns named like the
-results are replaced.
+without any). A document counts once for each label that it has, however often
+either is repeated; of texts that share an id, the one of the least statistics is
+learned from. Rows that repeat a doc_id are scored each on its own. Columns named
+like the results are replaced. An empty table has an empty result.
 """
 
 from __future__ import annotations
@@ -158,17 +159,19 @@ def learn(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 25, depth
 def fit(stats: DataFrame, labels: DataFrame, names: list[str], max_rows: int = 20000) -> Rules:
     """Learn from ``labels`` (doc_id, quality) of rows that aren't held out; at most ``max_rows`` rows of numbers are gathered.
 
-    The sample is the rows of the least hashes of ids. Hashes far above it are
-    dropped where the labels are read, as every task would otherwise send its own
-    ``max_rows`` least rows to the driver.
+    The sample is the rows of the least hashes of ids, one row for each id and label,
+    so that an id that repeats takes one place. Hashes far above it are dropped where
+    the labels are read, as every task would otherwise send its own ``max_rows``
+    least rows to the driver.
     """
     spread = 1 << 30
-    known = labels.filter(learnable("doc_id") & F.col("quality").isNotNull()).select("doc_id", F.col("quality").alias("_y"))
+    known = labels.filter(learnable("doc_id") & F.col("quality").isNotNull()).select("doc_id", (F.col("quality") > 0).cast("int").alias("_y")).distinct()
     known = known.withColumn("_h", F.pmod(F.xxhash64("doc_id"), F.lit(spread)))
     reach = min(spread, 1 + 5 * spread * max_rows // (4 * max(1, known.count())))  # a quarter more than are wanted
     rows = (
         stats.select("doc_id", *names).join(known.filter(F.col("_h") < reach), "doc_id")
-        .orderBy("_h", "doc_id", "_y", *names).limit(max_rows).select("_y", *names).collect()
+        .groupBy("_h", "doc_id", "_y").agg(F.min(F.struct(*names)).alias("s"))
+        .orderBy("_h", "doc_id", "_y").limit(max_rows).select("_y", "s.*").collect()
     )
     data = np.array([tuple(r) for r in rows], dtype=float).reshape(-1, len(names) + 1)
     return learn(data[:, 1:], (data[:, 0] > 0).astype(float), names)

@@ -215,3 +215,21 @@ def test_texts_share_trees_in_any_number(spark, monkeypatch):
     want = sorted(map(str, word_runs.find_runs(docs).collect()))
     monkeypatch.setattr(word_runs, "TREE_WORDS", 1)
     assert sorted(map(str, word_runs.find_runs(docs).collect())) == want
+
+
+def test_repeated_ids_take_one_place_in_the_sample(spark):
+    """Repeated rows of documents and of labels, far more than the sample holds, change no rule."""
+    from quillsift.llm import rule_ensemble
+
+    text = lambda i: ("Good words, in order. " * (5 + i % 7)) if i % 2 else ("BUY!!! $$$ ### " * (5 + i % 5))
+    docs = spark.createDataFrame([(i, text(i)) for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int")
+    one = spark.createDataFrame([(7, text(7))] * 900, "doc_id long, text string")
+    again = spark.createDataFrame([(7, 1)] * 900, "doc_id long, quality int")
+
+    def rules(d, lab):
+        stats = rule_ensemble.statistics(rule_ensemble.parts(d, "doc_id"), "doc_id")
+        return rule_ensemble.fit(stats, lab, list(rule_ensemble.NAMES), max_rows=200)
+
+    plain = rules(docs, labels)
+    assert plain.rules and plain == rules(docs.union(one), labels) == rules(docs, labels.union(again)) == rules(docs.union(one), labels.union(again))
