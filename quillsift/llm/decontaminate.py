@@ -24,8 +24,9 @@ Defined results: null, empty and short documents are passages of their own, and
 match nothing if they hold no word of an item; items that are null or have no
 word match nothing; an item of fewer than five words is one shingle. Repeated
 documents and items give repeated matches, one row each pair of row and item. An
-empty table on either side gives no match. Texts of any length are read whole, a
-passage at a time. Columns beyond those named are kept by ``with_matches``, which
+empty table on either side gives no match. Texts of any length are read whole, in
+runs of passages, so that memory grows with the words of a text and not with their
+number times the items'. Columns beyond those named are kept by ``with_matches``, which
 replaces the one that it is told to fill.
 """
 
@@ -47,6 +48,8 @@ from quillsift.llm.common import small_batches
 _PLAIN = bytes(32 if b < 128 and not chr(b).isalnum() else b for b in range(256))
 _SENTENCES = re.compile(r"(?<=[.!?])\s+")
 SHINGLE = 5
+#: Sums, and postings, that are held at once for one text.
+CELLS = 1 << 20
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -129,21 +132,36 @@ class Index:
             self.answer.append(set(names(last)))
 
     def live(self, terms: np.ndarray) -> np.ndarray:
-        """Passages (by their first half) of a document in which some block may reach the threshold."""
-        half = self.longest
-        halves = max(1, -(-len(terms) // half))
+        """Passages (by their first half) of a document in which some block may reach the threshold.
+
+        Passages are taken in runs, so that neither their sums by block nor the
+        postings that are added up at once exceed ``CELLS``, however long the text is.
+        """
+        halves = max(1, -(-len(terms) // self.longest))
+        step = max(1, CELLS // self.blocks)
+        found = [first + self._live(terms[first * self.longest : (first + step + 1) * self.longest], min(step, halves - first)) for first in range(0, halves, step)]
+        return np.concatenate(found)
+
+    def _live(self, terms: np.ndarray, passages: int) -> np.ndarray:
+        half, size = self.longest, len(self.vocabulary)
         where = np.flatnonzero(terms >= 0)
         if not len(where):
             return where
-        size = len(self.vocabulary)
         cell = (where // half) * size + terms[where]
         cell = np.unique(np.concatenate([cell, cell[where >= half] - size]))  # a term counts once in each passage
         passage, t = cell // size, cell % size
+        passage, t = passage[passage < passages], t[passage < passages]
         n = self.at[t + 1] - self.at[t]
-        pick = np.repeat(self.at[t] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        sums = np.bincount(np.repeat(passage, n) * self.blocks + self.flat_block[pick], self.flat_max[pick], halves * self.blocks)
-        most = sums.reshape(halves, self.blocks).max(axis=1)
-        return np.flatnonzero((most + self.spare >= self.threshold - 1e-9) & (np.bincount(passage, minlength=halves) > 0))
+        total, sums = np.r_[0, np.cumsum(n)], np.zeros(passages * self.blocks)
+        begin = 0
+        while begin < len(t):  # postings of a bounded number at a time
+            end = max(begin + 1, int(np.searchsorted(total, total[begin] + CELLS, "right")) - 1)
+            own = n[begin:end]
+            pick = np.repeat(self.at[t[begin:end]] - np.r_[0, np.cumsum(own)[:-1]], own) + np.arange(own.sum())
+            np.add.at(sums, np.repeat(passage[begin:end], own) * self.blocks + self.flat_block[pick], self.flat_max[pick])
+            begin = end
+        most = sums.reshape(passages, self.blocks).max(axis=1)
+        return np.flatnonzero((most + self.spare >= self.threshold - 1e-9) & (np.bincount(passage, minlength=passages) > 0))
 
     def search(self, terms: list[int]) -> list[tuple[int, float]]:
         """All items whose score for the distinct terms reaches the threshold, by WAND with block maxima."""

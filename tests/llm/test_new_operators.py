@@ -233,3 +233,38 @@ def test_repeated_ids_take_one_place_in_the_sample(spark):
 
     plain = rules(docs, labels)
     assert plain.rules and plain == rules(docs.union(one), labels) == rules(docs, labels.union(again)) == rules(docs.union(one), labels.union(again))
+
+
+def test_passages_in_runs_are_the_same(monkeypatch):
+    """Bounds on what is held at once change neither passages nor matches."""
+    from quillsift.llm import decontaminate
+
+    rng = random.Random(4)
+    words = [f"t{i}" for i in range(300)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(3, 25)))) for i in range(90)]
+    index = decontaminate.Index(items, 0.6)
+    for _ in range(25):
+        parts = [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 300))) for _ in range(3)]
+        text = " ".join([parts[0], items[rng.randrange(90)][1], parts[1], items[rng.randrange(90)][1], parts[2]])
+        found = []
+        for cells in (1, 40, 1000, 1 << 20):
+            monkeypatch.setattr(decontaminate, "CELLS", cells)
+            terms = np.array([index.vocabulary.get(w, -1) for w in decontaminate.words_of(text)], dtype=np.int64)
+            found.append((index.live(terms).tolist(), index.matches(text, 0.8)))
+        assert all(f == found[0] for f in found) and len(found[0][1]) >= 2
+
+
+def test_memory_of_a_long_text_and_a_large_benchmark():
+    import tracemalloc
+
+    from quillsift.llm import decontaminate
+
+    rng = np.random.default_rng(2)
+    items = [(i, " ".join(f"w{x}" for x in rng.integers(0, 30_000, 30))) for i in range(8000)]
+    index = decontaminate.Index(items, 0.6)
+    text = " ".join(f"w{x}" for x in rng.integers(0, 30_000, 300_000)) + " " + items[5][1]
+    tracemalloc.start()
+    found = index.matches(text, 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {index.ids[k] for k in found} == {5} and peak < 200e6
