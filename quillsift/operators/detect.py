@@ -251,6 +251,20 @@ def detect_below(boxed: DataFrame, name: str, earlier: DataFrame | None = None)
     return hits.select("doc_id", "ln", "wi", F.col("wi").alias("wi_to"), F.lit(kind).alias("type"), F.lit(confidence).alias("confidence"), F.col("word").alias("text"), *BOX)
 
 
+def _placed(hits: DataFrame) -> DataFrame:
+    return hits.withColumn("detector", F.array_position(F.array(*map(F.lit, ORDER)), F.col("detector")).cast("int") - 1)
+
+
+def with_below(hits: DataFrame, boxed: DataFrame) -> DataFrame:
+    """Boxed hits and those below labels among ``boxed``, unless an earlier detector has one that starts in that place; detectors by number."""
+    kinds = {k: F.create_map(*(F.lit(x) for n, v in VERTICAL.items() for x in (n, v[i])))[F.col("name")] for i, k in ((3, "type"), (4, "confidence"))}
+    found = below(boxed)
+    found = found.select(F.col("name").alias("detector"), "doc_id", "ln", "wi", F.col("wi").alias("wi_to"), *(c.alias(k) for k, c in kinds.items()), F.col("word").alias("text"), *BOX)
+    out = _placed(hits.withColumn("_below", F.lit(False)).unionByName(found.withColumn("_below", F.lit(True))))
+    first = F.row_number().over(Window.partitionBy("doc_id", "x0", "y0").orderBy("detector", "_below"))
+    return out.repartition("doc_id").withColumn("_n", first).filter(~F.col("_below") | (F.col("_n") == 1)).drop("_n", "_below")
+
+
 def detect_all(docs: DataFrame, vertical: bool = True, unicode_labels: bool = False) -> DataFrame:
     """All rule detections with boxes, arrival order, risk and action.
 
@@ -264,15 +278,6 @@ def detect_all(docs: DataFrame, vertical: bool = True, unicode_labels: bool = Fa
     out = detect_many(lined, simple, unicode_labels, boxed=True)
     out = out.unionByName(detect_email_joined(lined, boxed=True).withColumn("detector", F.lit("email_joined")))
     out = out.unionByName(detect_address(tables.lines(labelled(P.ADDRESS_LABEL)), boxed=True).withColumn("detector", F.lit("address")))
-    if vertical:
-        kinds = {k: F.create_map(*(F.lit(x) for n, v in VERTICAL.items() for x in (n, v[i])))[F.col("name")] for i, k in ((3, "type"), (4, "confidence"))}
-        found = below(tables.word_boxes(tables.lines(labelled(*(v[0] for v in VERTICAL.values())))))
-        found = found.select(F.col("name").alias("detector"), "doc_id", "ln", "wi", F.col("wi").alias("wi_to"), *(c.alias(k) for k, c in kinds.items()), F.col("word").alias("text"), *BOX)
-        out = out.withColumn("_below", F.lit(False)).unionByName(found.withColumn("_below", F.lit(True)))
-    place = F.array_position(F.array(*map(F.lit, ORDER)), F.col("detector")).cast("int") - 1
-    out = out.withColumn("detector", place)
-    if vertical:
-        first = F.row_number().over(Window.partitionBy("doc_id", "x0", "y0").orderBy("detector", "_below"))
-        out = out.repartition("doc_id").withColumn("_n", first).filter(~F.col("_below") | (F.col("_n") == 1)).drop("_n", "_below")
+    out = with_below(out, tables.word_boxes(tables.lines(labelled(*(v[0] for v in VERTICAL.values()))))) if vertical else _placed(out)
     level = entity.risk(F.col("type"))
     return out.withColumn("source", F.lit("rule")).withColumn("risk", level).withColumn("action", entity.action(F.col("risk")))

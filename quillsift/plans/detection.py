@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from quillsift.functions import boxes, entity
 from quillsift.functions import patterns as P
-from quillsift.operators import detect, fuse, names, redact, sanitize
-from quillsift.sources import tables
+from quillsift.operators import detect, fuse, names, ocr, redact, sanitize
+from quillsift.sources import html, tables
 from quillsift.sources.tables import load
 
 QUERIES: dict = {}
@@ -521,12 +521,44 @@ def base64_roundtrip(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", code.alias("code"), F.decode(F.unbase64(code), "utf-8").alias("back"))
 
 
+_SLANT = "y0 + x0 / 300"
+
+
+@query("ocr_lines", f"""WITH {ctes(PROFILES)}, b AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY ln) - 1 AS row FROM boxed)
+SELECT doc_id, row AS ln, wi, word FROM b""")
+def ocr_lines(spark, sf_dir):
+    """Words in no order, on slanted lines, grouped into lines again."""
+    boxed = tables.word_boxes(profiles(spark, sf_dir))
+    slanted = boxed.withColumns({"seq": F.xxhash64("word", "ln", "wi"), "y1": F.expr("y1 + x0 / 300"), "y0": F.expr(_SLANT)})
+    return ocr.group_lines(slanted).select("doc_id", "ln", "wi", "word")
+
+
+def _rows(ln: str) -> str:
+    """Line numbers without those of lines that hold no word."""
+    return f"(SELECT doc_id, ln, dense_rank() OVER (PARTITION BY doc_id ORDER BY ln) - 1 AS row FROM lines WHERE len(ws) > 0) r ON r.doc_id = h.doc_id AND r.ln = h.{ln}"
+
+
+_READ = " UNION ALL ".join(
+    f"SELECT {detect.ORDER.index(n)} AS place, doc_id, ln, wi, wi_to, type, confidence FROM ({q})" for n, q in (*_DETECT.items(), ("email_joined", _JOINED)) if n not in _BELOW_SQL
+)
+
+
+@query("ocr_detections", f"WITH {ctes(PROFILES)}, hits AS ({_READ}) SELECT h.doc_id, r.row AS ln, h.wi, h.wi_to, h.type, h.confidence FROM hits h JOIN {_rows('ln')}")
+def ocr_detections(spark, sf_dir):
+    """The hits of the word detectors that don't look below labels, on words that were grouped from their boxes."""
+    boxed = tables.word_boxes(profiles(spark, sf_dir)).withColumn("seq", F.xxhash64("word", "ln", "wi"))
+    found = ocr.detect_words(ocr.group_lines(boxed))
+    skip = [detect.ORDER.index(n) for n in detect.VERTICAL]
+    return found.filter(~F.col("detector").isin(*skip)).select("doc_id", "ln", "wi", "wi_to", "type", "confidence")
+
+
 _PHRASES = " OR ".join(f"contains(t, '{p}')" for p in P.CONFIRMATIONS)
 
 
-@query("confirmation_pages", f"SELECT page_id, {_PHRASES} OR page_id % 50 = 0 AS confirmed FROM (SELECT page_id, substr(trim(regexp_replace(lower(CASE WHEN page_id % 50 = 0 THEN 'Thanks for filling  out this form' ELSE html END), '\\s+', ' ', 'g')), 1, 6000) AS t FROM pages)")
+@query("confirmation_pages", f"""SELECT page_id, {_PHRASES} AS confirmed FROM (SELECT page_id, lower(trim(regexp_replace(replace(regexp_replace(html[strpos(html, '<body>') :],
+  '<!--.*?-->|<[^>]*>', ' ', 'g'), '&amp;', '&'), '\\s+', ' ', 'g'))[1:6000]) AS t FROM (SELECT page_id, replace(html, '</ul>', CASE WHEN contains(url, '.org') THEN '</ul>Thanks for <i>filling</i>  out this form' ELSE '</ul>' END) AS html FROM pages))""")
 def confirmation_pages(spark, sf_dir):
-    html = F.when(F.col("page_id") % 50 == 0, "Thanks for filling  out this form").otherwise(F.col("html"))
-    text = F.substring(F.trim(F.regexp_replace(F.lower(html), r"\s+", " ")), 1, 6000)
-    said = F.exists(F.array(*map(F.lit, P.CONFIRMATIONS)), lambda p: F.contains(F.col("t"), p))
-    return load(spark, sf_dir, "pages").withColumn("t", text).select("page_id", said.alias("confirmed"))
+    """Pages that say that a form has been sent, in what they show first; those of one domain are made to."""
+    said = F.when(F.contains("url", F.lit(".org")), "</ul>Thanks for <i>filling</i>  out this form").otherwise("</ul>")
+    made = load(spark, sf_dir, "pages").select("page_id", F.replace("html", F.lit("</ul>"), said).alias("html"))
+    return html.forms(made).select("page_id", html.confirmed(F.col("shown"), P.CONFIRMATIONS).alias("confirmed"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillsift.functions.patterns import CONFIRMATIONS
 from quillsift.operators import pixels, sanitize, trace
-from quillsift.sources import tables
+from quillsift.sources import html, tables
 from quillsift.sources.tables import load
 from quillsift.streaming import twins
 
@@ -249,12 +250,70 @@ def point_hit(spark, sf_dir):
     return trace.point_hit(_elements(spark, sf_dir), points).select("c_custkey", "hit")
 
 
-@query("done_gate", f"""SELECT page_id, CASE WHEN page_id % 3 = 0 AND page_id % 11 <> 0 THEN CASE WHEN page_id % 2 = 0 AND page_id % 5 <> 0 THEN '{trace.REFUSED["confirmation"]}'
-  WHEN page_id % 7 = 0 THEN '{trace.REFUSED["required"]}' END END AS refused FROM pages""")
+#: Pages whose links have become fields: required ones, of which those with a capital are empty. Pages that end as they should say
+#: that they have been sent, and those of one domain are forms that must.
+_FORM = r"""SELECT page_id, regexp_replace(url, '^https?://[^/?#]*[.]example[.]org', 'https://docs.google.com/forms') AS url,
+  replace(replace(regexp_replace(regexp_replace(CASE WHEN contains(html, '</html>') THEN replace(html, '<footer>', '<footer>Your response <b>has been</b> recorded. ') ELSE html END,
+  '<a href="/([A-Z][^"]*)">[^<]*</a>', '<input name="x" value="" required>'{g}), '<a href="/([^"]*)">[^<]*</a>', '<input name="y" value="{1}" required>'{g}), '<nav>', '<form>'), '</nav>', '</form>') AS html FROM """
+_FORM_SQL = _FORM.replace("{g}", ", 'g'").replace("{1}", "\\1") + "pages"
+
+
+def _form_pages(spark, sf_dir):
+    return spark.sql(_FORM.replace("'^https", "r'^https").replace("{g}", "").replace("{1}", "$1") + "{t}", t=load(spark, sf_dir, "pages"))
+
+
+_SHOWN = "trim(regexp_replace(replace(regexp_replace(html[strpos(html, '<body>') :], '<!--.*?-->|<[^>]*>', ' ', 'g'), '&amp;', '&'), '\\s+', ' ', 'g'))"
+_SENT = " OR ".join(f"contains(t, '{p}')" for p in CONFIRMATIONS)
+_GATE = f"""SELECT page_id, contains(url, 'docs.google.com/forms/') AS is_form, {_SENT} AS confirmed, unfilled
+  FROM (SELECT page_id, url, lower({_SHOWN}[1:6000]) AS t, contains(html, 'value="" required') AS unfilled FROM ({_FORM_SQL}))"""
+
+
+def _gated(spark, sf_dir):
+    made = _form_pages(spark, sf_dir)
+    found = html.forms(made).join(made.select("page_id", html.is_form_page(F.col("url")).alias("is_form")), "page_id")
+    return found.select("page_id", "is_form", html.confirmed(F.col("shown"), CONFIRMATIONS).alias("confirmed"), html.unfilled(F.col("fields")).alias("unfilled"))
+
+
+@query("form_pages", _GATE)
+def form_pages(spark, sf_dir):
+    """What a page says about its form: whether it must be sent, has been, and lacks a required field."""
+    return _gated(spark, sf_dir)
+
+
+@query("done_gate", f"""SELECT page_id, CASE WHEN is_form AND NOT confirmed THEN '{trace.REFUSED["confirmation"]}' WHEN unfilled THEN '{trace.REFUSED["required"]}' END AS refused FROM ({_GATE})""")
 def done_gate(spark, sf_dir):
-    n = F.col("page_id")
-    action = F.when(n % 3 == 0, "DONE").otherwise("CLICK")
-    return load(spark, sf_dir, "pages").select("page_id", trace.done_gate(action, n % 2 == 0, n % 5 == 0, n % 7 == 0, n % 11 != 0).alias("refused"))
+    """Whether a run may end on each page."""
+    refused = trace.done_gate(F.lit("DONE"), F.col("is_form"), F.col("confirmed"), F.col("unfilled"))
+    return _gated(spark, sf_dir).select("page_id", refused.alias("refused"))
+
+
+@query("form_fields", f"""SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) AS n, f[1] = 'x' AS empty, f[2] AS value FROM (
+  SELECT page_id, unnest(range(len(fs))) AS i, unnest(fs) AS f FROM (SELECT page_id, list_transform(regexp_extract_all(html, '<input name="[xy]" value="[^"]*" required>'),
+  lambda x: [x[14:14], regexp_extract(x, 'value="([^"]*)"', 1)]) AS fs FROM ({_FORM_SQL})))""")
+def form_fields(spark, sf_dir):
+    """The fields of each page's form, in order."""
+    cells = html.forms(_form_pages(spark, sf_dir)).select("page_id", F.posexplode("fields").alias("i", "f"))
+    made = html.elements(_form_pages(spark, sf_dir)).filter("tag = 'input'").select("page_id", F.col("pre").alias("field"), F.col("attributes")["value"].alias("value"))
+    out = cells.select("page_id", (F.col("i") + 1).cast("long").alias("n"), F.col("f.field").alias("field"), (F.col("f.required") & ~F.col("f.filled")).alias("empty"))
+    return out.join(made, ["page_id", "field"]).select("page_id", "n", "empty", "value")
+
+
+@query("page_manifest", """SELECT page_id, i + 1 AS id, 'a' AS tag, CASE WHEN trim(l) = '' THEN '(unlabeled)' ELSE trim(l) END AS label FROM (
+  SELECT page_id, unnest(range(len(ls))) AS i, unnest(ls) AS l FROM (SELECT page_id, list_transform(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1), lambda x: replace(x, '&amp;', '&')) AS ls FROM pages)) WHERE i < 50""")
+def page_manifest(spark, sf_dir):
+    """The first elements of each page that can be acted on, none inside another."""
+    return html.manifest(load(spark, sf_dir, "pages"))
+
+
+@query("element_depths", """SELECT page_id, count(*) AS n, CAST(sum(CASE WHEN t LIKE '<a %' THEN 1 ELSE 0 END) AS BIGINT) AS links FROM (
+  SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '<!--.*?-->', '', 'g'), '<[a-z][^>]*>')) AS t FROM (SELECT page_id, regexp_replace(html, '<script>.*?</script>', '<script>', 'g') AS html FROM pages)) GROUP BY page_id""")
+def element_depths(spark, sf_dir):
+    """How many elements each page has, and how many of them are links inside an item of a list, by their intervals."""
+    found = html.elements(load(spark, sf_dir, "pages"))
+    by = trace.Window.partitionBy("page_id").orderBy("pre").rowsBetween(trace.Window.unboundedPreceding, -1)
+    item = F.max(F.when(F.col("tag") == "li", F.col("last"))).over(by)
+    marked = found.withColumn("inside", (F.col("tag") == "a") & (item >= F.col("pre")))
+    return marked.groupBy("page_id").agg(F.count("*").alias("n"), F.count_if("inside").alias("links"))
 
 
 @query("stopped_runs", "SELECT conv_id, array_to_string(list_append(list(role ORDER BY turn), 'Stopped by user.'), ' → ') AS message FROM conversations GROUP BY conv_id")
