@@ -9,9 +9,14 @@ same type and format, made with a secret key:
   numbers keep their first digit and a right check digit, mail addresses are
   replaced part by part. A permutation maps distinct values to distinct ones.
 * Names are replaced word by word by names built of syllables of the word's
-  script (Latin, Cyrillic or Greek), with an ending for the gender that the title
-  tells, and in the case of the original. A surname found after a title is
-  replaced wherever the document has it.
+  script (Latin, Cyrillic or Greek), in the case of the original. They are found
+  after titles and after labels ("Contact: John Doe"); a given name or surname found
+  so is replaced wherever the document has it. The syllables follow from the word
+  alone and the ending from its gender, which is that of its own title, or of a
+  title that the document gives the same name elsewhere, or else of the word's own
+  ending: so a person who is "Mrs" here and "Dr" there has one name.
+* Spellings of one value share a surrogate: mail addresses whatever their case,
+  telephone and card numbers however they are written. Each keeps its own spelling.
 
 One value always gets one surrogate, in all documents and runs with the same
 key, so coreference is preserved. Collisions are checked over the whole corpus:
@@ -50,9 +55,12 @@ TITLES = {
     "f": ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Señora", "Señorita", "Doña", "Г-жа", "Госпожа", "Κυρία"),
     "n": ("Dr", "Prof", "Professor", "Доктор"),
 }
+#: Labels before the name of a person.
+NAME_LABELS = ("Name", "Full name", "Contact", "Contact person", "Patient", "Customer", "Client", "Employee", "Applicant", "Attn", "Signed", "Kontakt", "Kunde", "Contacto", "Cliente", "Nom", "Имя")
 _GENDER = {t: g for g, titles in TITLES.items() for t in titles}
 _NAME = r"[A-ZÀ-ÖØ-ÞΆ-ΫЀ-Я][\w'’]*(?:-[A-ZÀ-ÖØ-ÞΆ-ΫЀ-Я][\w'’]*)?"
 _PERSON = re.compile(rf"(?<!\w)(?P<title>{'|'.join(sorted(_GENDER, key=len, reverse=True))})(?P<gap>\.? )(?P<name>{_NAME}(?: {_NAME}){{0,2}})(?!\w)")
+_LABELLED = re.compile(rf"(?<!\w)(?P<title>)(?:{'|'.join(sorted(NAME_LABELS, key=len, reverse=True))})[ \t]*:[ \t]*(?P<name>{_NAME}(?: {_NAME}){{1,2}})(?!\w)")
 _ENTITY = re.compile(
     r"(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
     r"|(?P<access>(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9]))"
@@ -179,7 +187,7 @@ def _drawn(key: bytes, kind: str, value: str, attempt: int) -> str:
     if kind.startswith("name"):
         _, role, script = kind.split("|")
         letters, vowels, endings = _SYLLABLES[script]
-        n = _number(key, kind, attempt, value)
+        n = _number(key, f"name|{'s' if role == 's' else 'g'}|{script}", attempt, value)
         out = ""
         for _ in range(2 + (role == "s") + attempt // 2):
             n, c = divmod(n, len(letters))
@@ -193,6 +201,71 @@ def _styled(new: str, old: str) -> str:
     return new.upper() if old.isupper() and len(old) > 1 else new[:1].upper() + new[1:] if old[:1].isupper() else new
 
 
+def canonical(kind: str, value: str) -> str:
+    """What all spellings of a value share: a phone's ten last digits, a card's digits, a mail address in small letters."""
+    if kind in ("phone", "card"):
+        digits = re.sub(r"\D", "", value)
+        return digits[-10:] if kind == "phone" else digits
+    return value.lower() if kind == "email" else value
+
+
+def spelled(kind: str, new: str, old: str) -> str:
+    """A surrogate written as the original is."""
+    if kind.startswith("name"):
+        return _styled(new, old)
+    if kind == "email":
+        return "".join(c.upper() if o.isupper() else c for c, o in zip(new, old, strict=False)) + new[len(old) :]
+    if kind in ("phone", "card"):
+        own = [i for i, c in enumerate(old) if c.isdigit()]
+        own = own[-10:] if kind == "phone" else own
+        out = list(old)
+        for i, c in zip(own, new, strict=False):
+            out[i] = c
+        return "".join(out) + new[len(own) :]
+    return new
+
+
+def _apparent(word: str) -> str:
+    """The gender that a given name's ending suggests."""
+    return "f" if word.lower().endswith(("a", "e", "я", "а", "α", "η")) else "m"
+
+
+def _persons(text: str) -> list[tuple[int, int, str, str, str]]:
+    """The words of all names after titles and labels, and the same words elsewhere."""
+    found: list[tuple[int, int, str, str, str]] = []
+    named = [m for rx in (_PERSON, _LABELLED) for m in rx.finditer(text)]
+    gender: dict[tuple[str, ...], str] = {}
+    for m in sorted(named, key=lambda m: m.start()):
+        words = tuple(w.lower() for w in m["name"].split(" "))
+        if len(words) > 1 and (g := _GENDER.get(m["title"], "n")) != "n":
+            for w in words[:-1]:
+                gender.setdefault((w, words[-1]), g)
+                gender.setdefault((w,), g)
+    known: dict[str, str] = {}
+    given: dict[str, str] = {}
+    for m in named:
+        words, at = m["name"].split(" "), m.start("name")
+        for i, w in enumerate(words):
+            own = _GENDER.get(m["title"], "n")
+            if i == len(words) - 1:
+                role = "s"
+            else:
+                low = w.lower()
+                role = own if own != "n" else gender.get((low, words[-1].lower())) or gender.get((low,)) or _apparent(w)
+            kind = f"name|{role}|{script_of(w)}"
+            found.append((at, at + len(w), kind, w.lower(), w))
+            if role == "s" or len(w) > 2:
+                (known if role == "s" else given).setdefault(w.lower(), kind if role == "s" else f"name|{gender.get((w.lower(),)) or role}|{script_of(w)}")
+            at += len(w) + 1
+    known = {**given, **known}
+    if known:
+        # as found, in capitals, or with the first letter capital; words all in small letters are other words
+        forms = {f: w for w in known for f in (w.upper(), w[:1].upper() + w[1:], w.title())} | {x[4]: x[3] for x in found}
+        again = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(forms, key=len, reverse=True))) + r")(?!\w)")
+        found += [(m.start(), m.end(), known[forms[m[0]]], forms[m[0]], m[0]) for m in again.finditer(text) if forms[m[0]] in known]
+    return found
+
+
 def entities(text: str) -> list[tuple[int, int, str, str, str]]:
     """(start, end, kind, canonical value, original) in order, without overlaps."""
     found: list[tuple[int, int, str, str, str]] = []
@@ -202,21 +275,9 @@ def entities(text: str) -> list[tuple[int, int, str, str, str]]:
             value = m[kind]
             if kind == "card" and not luhn(re.sub(r"\D", "", value)):
                 continue
-            found.append((m.start(kind), m.end(kind), kind, value, value))
-    if any(t in text for t in _GENDER):
-        known: dict[str, str] = {}
-        for m in _PERSON.finditer(text):
-            words, at = m["name"].split(" "), m.start("name")
-            for i, w in enumerate(words):
-                role = "s" if i == len(words) - 1 else _GENDER[m["title"]]
-                kind = f"name|{role}|{script_of(w)}"
-                found.append((at, at + len(w), kind, w.lower(), w))
-                if role == "s":
-                    known[w] = kind
-                at += len(w) + 1
-        if known:
-            again = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(known, key=len, reverse=True))) + r")(?!\w)")
-            found += [(m.start(), m.end(), known[m[0]], m[0].lower(), m[0]) for m in again.finditer(text)]
+            found.append((m.start(kind), m.end(kind), kind, canonical(kind, value), value))
+    if any(t in text for t in (*_GENDER, *NAME_LABELS)):
+        found += _persons(text)
     found.sort(key=lambda x: (x[0], -x[1]))
     out: list[tuple[int, int, str, str, str]] = []
     for x in found:
@@ -229,7 +290,7 @@ def rewrite(text: str, key: bytes, redrawn: dict[tuple[str, str], int]) -> tuple
     parts, at, found = [], 0, entities(text)
     for start, end, kind, value, old in found:
         new = surrogate(key, kind, value, redrawn.get((kind, value), 0))
-        parts += [text[at:start], _styled(new, old) if kind.startswith("name") else new]
+        parts += [text[at:start], spelled(kind, new, old)]
         at = end
     return ("".join([*parts, text[at:]]) if found else text), len(found)
 
@@ -251,10 +312,11 @@ def redraws(docs: DataFrame, key: str, max_rounds: int = 100) -> tuple[DataFrame
 
     where = materialize(docs.select(F.xxhash64("text").alias("h"), "text").mapInPandas(found, "h long, kind string, value string"))
     drawn = materialize(where.groupBy("kind", "value").agg(F.lit(0).alias("attempt")).withColumn("new", draw("kind", "value", "attempt")))
-    first = Window.partitionBy("kind", "new").orderBy("attempt", "value")
-    real = drawn.select("kind", F.col("value").alias("new"), F.lit(True).alias("_real"))
+    family = F.when(F.startswith("kind", F.lit("name")), "name").otherwise(F.col("kind")).alias("family")  # names of all kinds differ
+    first = Window.partitionBy(family, "new").orderBy("attempt", "value", "kind")
+    real = drawn.select(family, F.col("value").alias("new"), F.lit(True).alias("_real")).distinct()
     for _ in range(max_rounds):
-        clash = drawn.withColumn("_nth", F.row_number().over(first)).join(real, ["kind", "new"], "left")
+        clash = drawn.withColumns({"family": family, "_nth": F.row_number().over(first)}).join(real, ["family", "new"], "left")
         clash = clash.select("kind", "value", "attempt", "new", ((F.col("_nth") > 1) | F.col("_real").isNotNull()).alias("bad"))
         clash = materialize(clash)
         losers = clash.filter("bad")
