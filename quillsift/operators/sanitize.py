@@ -35,10 +35,18 @@ def model_hits(docs: DataFrame) -> DataFrame:
 
 def detections(docs: DataFrame, policy: dict[str, str] | None = None, unicode_labels: bool = False) -> DataFrame:
     """All detections of the rules and the model in ``docs`` (doc_id, text), with source, places, boxes, risk and action."""
-    ruled = detect.detect_all(docs, unicode_labels=unicode_labels).drop("risk", "action").withColumn("ln_to", F.col("ln"))
-    ruled = ruled.withColumn("words", F.transform(F.sequence("wi", "wi_to"), lambda w: F.struct(F.col("ln").alias("ln"), w.alias("wi"))))
-    both = ruled.unionByName(model_hits(docs))
-    return both.withColumn("risk", entity.risk(F.col("type"))).withColumn("action", entity.action(F.col("risk"), policy))
+    return judged(rule_hits(detect.detect_all(docs, unicode_labels=unicode_labels)).unionByName(model_hits(docs)), policy)
+
+
+def rule_hits(ruled: DataFrame) -> DataFrame:
+    """Hits of the rules as the union has them, with the words they cover."""
+    words = F.transform(F.sequence("wi", "wi_to"), lambda w: F.struct(F.col("ln").alias("ln"), w.alias("wi")))
+    return ruled.drop("risk", "action").withColumns({"ln_to": F.col("ln"), "words": words})
+
+
+def judged(found: DataFrame, policy: dict[str, str] | None = None) -> DataFrame:
+    """Add risk and action."""
+    return found.withColumn("risk", entity.risk(F.col("type"))).withColumn("action", entity.action(F.col("risk"), policy))
 
 
 def masked_words(found: DataFrame) -> DataFrame:
@@ -81,11 +89,16 @@ def sanitize(
 
     ``on_error``: ``drop`` (no text) or ``raw`` (the original) where a row can't be sanitized.
     """
+    own = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    found = summaries(detections(own.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()), policy, unicode_labels), visual, policy)
+    return masked_rows(own, found, text_col, id_col, on_error)
+
+
+def masked_rows(own: DataFrame, found: DataFrame, text_col: str = "text", id_col: str = "doc_id", on_error: str = "drop") -> DataFrame:
+    """The rows of ``sanitize``, of texts (doc_id, text) and their ``summaries``."""
     if on_error not in ("drop", "raw"):
         raise ValueError("on_error is drop or raw")
-    own = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     once = own.groupBy("doc_id").agg(F.count("*").alias("n_rows"))
-    found = summaries(detections(own.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()), policy, unicode_labels), visual, policy)
     out = own.join(once.join(found, "doc_id", "left"), "doc_id", "left")
     error = F.when(F.col("doc_id").isNull(), "no id").when(F.col("n_rows") > 1, "repeated id").when(F.col("text").isNull(), "no text")
     out = out.withColumn("error", error)

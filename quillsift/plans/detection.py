@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillsift.functions import boxes, entity
 from quillsift.functions import patterns as P
-from quillsift.operators import detect, fuse, names, ocr, redact, sanitize
+from quillsift.operators import detect, fuse, names, ocr, redact, sanitize, stages
 from quillsift.sources import html, tables
 from quillsift.sources.tables import load
 
@@ -310,42 +310,40 @@ def ranked_detections(spark, sf_dir):
     return _profile_hits(spark, sf_dir).select("doc_id", "type", "ln", "wi", F.row_number().over(by).cast("long").alias("place"))
 
 
-LABELS = ("email", "E-Mail", "EMAIL_ADDRESS", "hotel", "japan", "username", "update", "registration_date", "account_token", "api key", "photo-id", "qr", "barcode", "sign", "enrol", "url", "misc")
-
-
-def _labels(spark):
-    return spark.createDataFrame([(x,) for x in LABELS], "label string")
-
-
 _CASC = "CASE " + " ".join(f"WHEN {' OR '.join(f"contains(l, '{s}')" for s in subs)} THEN '{t}'" for subs, t in entity.CASCADE) + " ELSE 'unknown' END"
+#: The distinct words of all documents, read as labels, and the types that these are taken for.
+_LABELS = f"""SELECT label, {_CASC} AS type FROM (SELECT label, regexp_replace(lower(label), '[-_\\s]', '_', 'g') AS l FROM (
+  SELECT DISTINCT unnest(ws) AS label FROM (SELECT list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS ws FROM documents)))"""
 
 
-@query("normalize_labels", f"SELECT label, {_CASC} AS type FROM (SELECT label, regexp_replace(lower(label), '[-_\\s]', '_', 'g') AS l FROM (VALUES {', '.join(f"('{x}')" for x in LABELS)}) v(label))")
-def normalize_labels(spark, sf_dir):
-    return _labels(spark).select("label", entity.normalize(F.col("label")).alias("type"))
-
-
-_TYPES = f"(VALUES {', '.join(f"('{t}')" for t in entity.TYPES)}) v(type)"
+def _labels(spark, sf_dir):
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    found = load(spark, sf_dir, "documents").select(F.explode(words).alias("label")).distinct()
+    return found.select("label", entity.normalize(F.col("label")).alias("type"))
 
 
-def _types(spark):
-    return spark.createDataFrame([(t,) for t in entity.TYPES], "type string")
+@query("normalize_labels", f"SELECT type, count(*) AS n, min(label) AS first FROM ({_LABELS}) GROUP BY type")
+def normalize_labels(spark, sf_dir):
+    return _labels(spark, sf_dir).groupBy("type").agg(F.count("*").alias("n"), F.min("label").alias("first"))
 
 
-@query("tag_labels", f"SELECT type, CASE WHEN type = 'token' THEN 'SECRET' WHEN type IN ('private_date', 'private_url', 'unknown') THEN 'SENSITIVE_DATA' ELSE upper(type) END AS tag FROM {_TYPES}")
+@query("tag_labels", f"""SELECT tag, count(*) AS n FROM (SELECT CASE WHEN type = 'token' THEN 'SECRET' WHEN type IN ('private_date', 'private_url', 'unknown') THEN 'SENSITIVE_DATA' ELSE upper(type) END AS tag
+  FROM ({_LABELS})) GROUP BY tag""")
 def tag_labels(spark, sf_dir):
-    return _types(spark).select("type", entity.tag(F.col("type")).alias("tag"))
+    return _labels(spark, sf_dir).groupBy(entity.tag(F.col("type")).alias("tag")).agg(F.count("*").alias("n"))
 
 
-@query("risk_levels", f"SELECT type, {_RISK} AS risk FROM {_TYPES}")
+@query("risk_levels", f"SELECT risk, count(*) AS n, count(DISTINCT type) AS types FROM (SELECT type, {_RISK} AS risk FROM ({_LABELS})) GROUP BY risk")
 def risk_levels(spark, sf_dir):
-    return _types(spark).select("type", entity.risk(F.col("type")).alias("risk"))
+    return _labels(spark, sf_dir).groupBy(entity.risk(F.col("type")).alias("risk")).agg(F.count("*").alias("n"), F.countDistinct("type").alias("types"))
 
 
-@query("policy_eval", f"SELECT type, CASE WHEN r = 'low' THEN 'allow' ELSE 'mask' END AS action, CASE r WHEN 'high' THEN 'tokenize' WHEN 'low' THEN 'allow' ELSE 'mask' END AS custom FROM (SELECT type, {_RISK} AS r FROM {_TYPES})")
+@query("policy_eval", f"""SELECT action, custom, count(*) AS n FROM (SELECT CASE WHEN r = 'low' THEN 'allow' ELSE 'mask' END AS action, CASE r WHEN 'high' THEN 'tokenize' WHEN 'low' THEN 'allow' ELSE 'mask' END AS custom
+  FROM (SELECT type, {_RISK} AS r FROM ({_LABELS}))) GROUP BY ALL""")
 def policy_eval(spark, sf_dir):
     level = entity.risk(F.col("type"))
-    return _types(spark).select("type", entity.action(level).alias("action"), entity.action(level, {"high": "tokenize", "low": "allow"}).alias("custom"))
+    judged = _labels(spark, sf_dir).select(entity.action(level).alias("action"), entity.action(level, {"high": "tokenize", "low": "allow"}).alias("custom"))
+    return judged.groupBy("action", "custom").agg(F.count("*").alias("n"))
 
 
 _PAIRS = {
@@ -515,6 +513,16 @@ def sanitized(spark, sf_dir):
     return sanitize.sanitize(load(spark, sf_dir, "documents")).select("doc_id", "text", "sanitized", "error", "n_masked")
 
 
+@query("stage_counts", f"""SELECT 'loading' AS stage, count(*) AS n_rows FROM documents UNION ALL SELECT 'model', count(*) FROM ({_everything(DOCS)}) WHERE source = 'privacy_filter'
+  UNION ALL SELECT 'rules', count(*) FROM ({_everything(DOCS)}) WHERE source = 'rule' UNION ALL SELECT 'fusion', count(DISTINCT doc_id) FROM ({_everything(DOCS)})
+  UNION ALL SELECT 'redaction', count(*) FROM documents UNION ALL SELECT 'total', count(*) FROM documents""")
+def stage_counts(spark, sf_dir):
+    """The documents sanitized stage by stage: how many rows each stage wrote."""
+    docs, run = load(spark, sf_dir, "documents"), stages.Run()
+    run.sanitize(docs)
+    return run.table(docs).select("stage", "n_rows")
+
+
 @query("base64_roundtrip", "SELECT doc_id, to_base64(encode(text)) AS code, text AS back FROM documents")
 def base64_roundtrip(spark, sf_dir):
     code = F.regexp_replace(F.base64(F.encode("text", "utf-8")), r"\r\n", "")
