@@ -128,16 +128,18 @@ def file_stem(name: Column) -> Column:
 def correlate(requests: DataFrame, replies: DataFrame, failures: DataFrame, key: str, timeout_us: int) -> DataFrame:
     """requests (key, id, at) with ``status``: answered, failed by the worker's next failure, timed out; and ``took`` of the answered.
 
-    replies (id, at) answer their request if they come within the time; a failure (key, at)
-    fails all requests of its worker that are still open then.
+    The first reply (id, at) that isn't earlier than its request answers it if it comes
+    within the time; a failure (key, at) fails all requests of its worker that are still
+    open then.
     """
-    first = replies.groupBy("id").agg(F.min("at").alias("_r"))
+    all_ = replies.groupBy("id").agg(F.collect_set("at").alias("_rs"))
     both = requests.select(key, "id", "at", F.lit(False).alias("_bad")).unionByName(failures.select(key, F.lit(None).cast("long").alias("id"), "at", F.lit(True).alias("_bad")))
     later = Window.partitionBy(key).orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     timed = both.withColumn("_f", F.min(F.when(F.col("_bad"), F.col("at"))).over(later)).filter(~F.col("_bad")).drop("_bad")
     limit = F.col("at") + timeout_us
-    met = timed.join(first, "id", "left")
-    answered = (F.col("_r") >= F.col("at")) & (F.col("_r") < limit) & (F.col("_f").isNull() | (F.col("_r") <= F.col("_f")))
+    met = timed.join(all_, "id", "left").withColumn("_r", F.array_min(F.filter("_rs", lambda r: r >= F.col("at"))))
+    answered = (F.col("_r") < limit) & (F.col("_f").isNull() | (F.col("_r") <= F.col("_f")))
+    answered = F.coalesce(answered, F.lit(False))
     failed = F.col("_f") < limit
     status = F.when(answered, "answered").when(failed, "failed").otherwise("timed out")
     return met.select(key, "id", status.alias("status"), F.when(answered, F.col("_r") - F.col("at")).alias("took"))

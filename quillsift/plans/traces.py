@@ -335,8 +335,8 @@ def required_fields(spark, sf_dir):
 
 
 @query("correlate_requests", """WITH e AS (SELECT *, epoch_us(ts) AS t0 FROM events), q AS (SELECT user_id, event_id AS id, t0 FROM e WHERE event_type = 'click'),
-r AS (SELECT event_id - event_id % 5 AS id, min(t0) AS r FROM e WHERE event_type = 'view' GROUP BY 1),
-m AS (SELECT q.*, r.r, (SELECT min(f.t0) FROM e f WHERE f.event_type = 'error' AND f.user_id = q.user_id AND f.t0 >= q.t0) AS f FROM q LEFT JOIN r USING (id)),
+r AS (SELECT event_id - event_id % 5 AS id, t0 AS r FROM e WHERE event_type = 'view'),
+m AS (SELECT q.*, (SELECT min(r.r) FROM r WHERE r.id = q.id AND r.r >= q.t0) AS r, (SELECT min(f.t0) FROM e f WHERE f.event_type = 'error' AND f.user_id = q.user_id AND f.t0 >= q.t0) AS f FROM q),
 a AS (SELECT *, coalesce(r >= t0 AND r < t0 + 86400000000 AND (f IS NULL OR r <= f), false) AS ok FROM m)
 SELECT user_id, id, CASE WHEN ok THEN 'answered' WHEN f < t0 + 86400000000 THEN 'failed' ELSE 'timed out' END AS status, CASE WHEN ok THEN r - t0 END AS took FROM a""")
 def correlate_requests(spark, sf_dir):
