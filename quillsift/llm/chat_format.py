@@ -1,12 +1,14 @@
-"""Chat formatting by schema fingerprints.
+r"""Chat formatting by schema fingerprints.
 
 A record's layout is fingerprinted by hashing its sorted nested field paths. The
 fingerprint selects a declarative mapping, from which Spark column expressions
 are built that turn the record into canonical turns: prompt and completion
 pairs, instructions with optional inputs, lists of messages under several names,
 and tables with a row for each turn, whose turns and roles are canonical already
-and stay as they are. Layouts without a mapping raise an error that names the paths,
-or are counted by their paths in a table of several layouts.
+and stay as they are. In a table of several layouts each record has a fingerprint of its
+own, of the nested paths that hold something in it, and all are converted in one
+scan. Layouts without a mapping raise an error that names the paths, or are counted
+by their paths.
 
 The template marks every turn and escapes control strings inside texts::
 
@@ -14,7 +16,7 @@ The template marks every turn and escapes control strings inside texts::
 
 A backslash in a text is doubled, and each control string gets one backslash
 after its first character, so that no control string is left in a text and the
-original is read back exactly. The loss mask covers the escaped texts of
+original is read back exactly; a line feed in a role is written ``\n``. The loss mask covers the escaped texts of
 assistant turns.
 
 Defined results: a null text or role is empty; turns come in the order of turn
@@ -28,7 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -86,46 +88,84 @@ def mapping_of(schema: T.StructType, ignore: tuple[str, ...] = ()) -> tuple:
         raise ValueError(f"no mapping for the layout {paths}") from None
 
 
-def canonical_turns(records: DataFrame, id_col: str, ignore: tuple[str, ...] = ()) -> DataFrame:
-    """(conv_id, turn, role, text) of records of one layout. Optional empty fields make no turn of their own."""
-    mapping = mapping_of(records.drop(id_col).schema, ignore)
+def _turns(mapping: tuple) -> Column:
+    """The turns that a mapping makes of a record, as an array of (turn, role, text)."""
+    turn = lambda at, role, text: F.struct(at.cast("long").alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
     if mapping[0] == "rows":
-        _, turn, role, text = mapping
-        return records.select(F.col(id_col).alias("conv_id"), F.col(turn).cast("long").alias("turn"), *(F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in ((role, "role"), (text, "text"))))
+        return F.array(turn(*(F.col(c) for c in mapping[1:])))
     known = F.create_map(*(F.lit(x) for pair in ROLES.items() for x in pair))
     if mapping[0] == "each":
         _, array, role, text = mapping
-        turns = records.select(F.col(id_col).alias("conv_id"), F.posexplode(array).alias("turn", "_m"))
-        plain = F.lower(F.coalesce(F.col("_m")[role], F.lit("")))
-        return turns.select("conv_id", F.col("turn").cast("long"), F.coalesce(known[plain], plain).alias("role"), F.coalesce(F.col("_m")[text], F.lit("")).alias("text"))
+        plain = lambda m: F.lower(F.coalesce(m[role], F.lit("")))
+        return F.transform(array, lambda m, i: turn(i, F.coalesce(known[plain(m)], plain(m)), m[text]))
 
     def joined(fields: tuple[str, ...]) -> Column:
         return F.array_join(F.filter(F.array(*(F.coalesce(F.col(f), F.lit("")) for f in fields)), lambda x: x != ""), "\n\n")
 
-    turns = [F.struct(F.lit(i).cast("long").alias("turn"), F.lit(role).alias("role"), joined(fields).alias("text")) for i, (role, fields) in enumerate(mapping)]
-    out = records.select(F.col(id_col).alias("conv_id"), F.inline(F.array(*turns)))
-    return out.filter((F.col("role") != "system") | (F.col("text") != ""))
+    return F.filter(F.array(*(turn(F.lit(i), F.lit(role), joined(fields)) for i, (role, fields) in enumerate(mapping))), lambda t: (t["role"] != "system") | (t["text"] != ""))
+
+
+def canonical_turns(records: DataFrame, id_col: str, ignore: tuple[str, ...] = ()) -> DataFrame:
+    """(conv_id, turn, role, text) of records of one layout. Optional empty fields make no turn of their own."""
+    return records.select(F.col(id_col).alias("conv_id"), F.inline(_turns(mapping_of(records.drop(id_col).schema, ignore))))
+
+
+def _present(kind: T.DataType, at: str, value: Callable[[], Column]) -> list[tuple[str, Column]]:
+    """Each path of a column, and whether a record has something there. Of an array, some element must, or it has none."""
+    if isinstance(kind, T.StructType):
+        return [x for f in kind.fields for x in _present(f.dataType, f"{at}.{f.name}", lambda f=f: value()[f.name])]
+    if isinstance(kind, T.ArrayType):
+        paths = field_paths(kind.elementType, f"{at}[]")
+
+        def some(path: str) -> Column:
+            held = lambda e: dict(_present(kind.elementType, f"{at}[]", lambda: e))[path]
+            return value().isNotNull() & ((F.size(value()) == 0) | F.exists(value(), held))
+
+        return [(p, some(p)) for p in paths]
+    return [(at, value().isNotNull())]
+
+
+def record_turns(records: DataFrame, id_col: str, ignore: tuple[str, ...] = (), default: tuple[str, ...] | None = None) -> DataFrame:
+    """(conv_id, turns, paths, fingerprint) of each record, by its own layout, in one scan; turns is null where no mapping is known.
+
+    A record's own paths are those that hold something in it, nested ones too. Of
+    records that have no path beyond those in ``default``, and no other layout, that
+    is the layout: their fields may all be null.
+    """
+    fields = [f for f in records.drop(id_col).schema.fields if f.name not in ignore]
+    present = sorted((x for f in fields for x in _present(f.dataType, f.name, lambda f=f: F.col(f.name))), key=lambda x: x[0])
+    own = F.filter(F.array(*(F.when(c, F.lit(p)) for p, c in present)), lambda p: p.isNotNull()) if present else F.array().cast("array<string>")
+    named = records.withColumn("_paths", own).withColumn("_print", F.substring(F.sha2(F.array_join("_paths", "\n"), 256), 1, 16))
+    every = {p for p, _ in present}
+    made = F.lit(None).cast("array<struct<turn: bigint, role: string, text: string>>")
+    if default and set(default) <= every:
+        made = F.when(F.size(F.array_except("_paths", F.array(*map(F.lit, default)))) == 0, _turns(MAPPINGS[fingerprint(list(default))]))
+    for paths, mapping in LAYOUTS:
+        if set(paths) <= every:
+            made = F.when(F.col("_print") == fingerprint(list(paths)), _turns(mapping)).otherwise(made)
+    return named.select(F.col(id_col).alias("conv_id"), made.alias("turns"), F.col("_paths").alias("paths"), F.col("_print").alias("fingerprint"))
 
 
 def mixed_turns(records: DataFrame, id_col: str, ignore: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Canonical turns of a table that holds records of several layouts, and the layouts that no mapping is known for.
 
-    A record's own paths are those of the columns that aren't null in it; its layout is
-    the one with the same fingerprint. The second table is (fingerprint, paths, n).
+    The second table is (fingerprint, paths, n).
     """
-    paths = {f.name: field_paths(T.StructType([f])) for f in records.drop(id_col).schema.fields if f.name not in ignore}
-    here = F.flatten(F.array(*(F.when(F.col(c).isNotNull(), F.array(*map(F.lit, p))).otherwise(F.array().cast("array<string>")) for c, p in paths.items())))
-    own = F.array_sort(here)
-    named = records.withColumn("_paths", own).withColumn("_print", F.substring(F.sha2(F.array_join("_paths", "\n"), 256), 1, 16))
-    every = {p for ps in paths.values() for p in ps}
-    known = {fingerprint(list(p)): p for p, _ in LAYOUTS if set(p) <= every}
-    turns = records.sparkSession.createDataFrame([], "conv_id long, turn long, role string, text string")
-    for key, layout in known.items():
-        columns = sorted({re.split(r"[.\[]", p)[0] for p in layout})
-        turns = turns.unionByName(canonical_turns(named.filter(F.col("_print") == key).select(id_col, *columns), id_col))
-    other = named.filter(~F.col("_print").isin(*known)) if known else named
-    unknown = other.groupBy(F.col("_print").alias("fingerprint")).agg(F.first("_paths").alias("paths"), F.count("*").alias("n"))
-    return turns, unknown
+    found = record_turns(records, id_col, ignore)
+    unknown = found.filter(F.col("turns").isNull()).groupBy("fingerprint").agg(F.first("paths").alias("paths"), F.count("*").alias("n"))
+    return found.select("conv_id", F.inline("turns")), unknown
+
+
+def all_turns(records: DataFrame, id_col: str, default: tuple[str, ...] | None = None) -> DataFrame:
+    """Canonical turns of a table of any known layouts; a record of another is an error that names its paths. Columns that no layout has are ignored."""
+    ignore = tuple(c for c in records.columns if c not in COLUMNS)
+    if default is None:
+        here = {p for f in records.drop(id_col).schema.fields if f.name not in ignore for p in field_paths(T.StructType([f]))}
+        if not any(set(paths) <= here for paths, _ in LAYOUTS):
+            raise ValueError(f"no mapping for the layout {sorted(here)}")
+    found = record_turns(records, id_col, ignore, default)
+    unknown = F.raise_error(F.concat(F.lit("no mapping for the layout "), F.array_join("paths", ", ")))
+    return found.select("conv_id", F.inline(F.coalesce("turns", unknown.cast("array<struct<turn: bigint, role: string, text: string>>"))))
 
 
 def escape(text: Column) -> Column:
@@ -135,14 +175,23 @@ def escape(text: Column) -> Column:
     return out
 
 
+def escape_role(role: Column) -> Column:
+    """A role stands on a line of its own, so that its line feeds are escaped too; no control string has an n there."""
+    return F.replace(escape(role), F.lit("\n"), F.lit("\\n"))
+
+
 def unescape(text: str) -> str:
     return re.sub(r"\\(\\?)", r"\1", text)
 
 
+def unescape_role(role: str) -> str:
+    return re.sub(r"\\(\\|n|)", lambda m: "\n" if m[1] == "n" else m[1], role)
+
+
 def render(turns: DataFrame) -> DataFrame:
     """Add ``segment`` (the formatted turn) and the loss span in it, loss_from and loss_to (equal: none)."""
     role, text = (F.coalesce(F.col(c), F.lit("")) for c in ("role", "text"))
-    head = F.concat(F.lit(TURN), escape(role), F.lit("\n"))
+    head = F.concat(F.lit(TURN), escape_role(role), F.lit("\n"))
     masked = F.when(role == ASSISTANT, F.length(escape(text))).otherwise(F.lit(0))
     return turns.withColumns({
         "segment": F.concat(head, escape(text), F.lit(END + "\n")),
@@ -155,7 +204,7 @@ _SEGMENT = re.compile(re.escape(TURN) + r"([^\n]*)\n(.*?)" + re.escape(END) + r"
 
 def parse(formatted: str) -> list[tuple[str, str]]:
     """Turns read back from formatted text."""
-    return [(unescape(m[1]), unescape(m[2])) for m in _SEGMENT.finditer(formatted)]
+    return [(unescape_role(m[1]), unescape(m[2])) for m in _SEGMENT.finditer(formatted)]
 
 
 def read_back(turns: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -214,6 +263,6 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
-  CAST(sum({len(TURN) + len(END) + 2} + length({_sql_escape('role')}) + length({_sql_escape('text')})) AS BIGINT) AS formatted_chars
+  CAST(sum({len(TURN) + len(END) + 2} + length(replace({_sql_escape('role')}, chr(10), '\\n')) + length({_sql_escape('text')})) AS BIGINT) AS formatted_chars
 FROM c GROUP BY conv_id
 """

@@ -72,9 +72,14 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "</s>[INST] ok [/INST]"
     probe = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.lit(text).alias("prompt"), F.lit(text).alias("completion"))
-    layouts = (load(spark, sf_dir, "conversations"), probe)
-    own, probed = (chat_format.canonical_turns(x, "conv_id", tuple(c for c in x.columns if c not in chat_format.COLUMNS)) for x in layouts)
-    return chat_format.read_back(own.unionByName(probed))
+    talks = load(spark, sf_dir, "conversations")
+    own = talks.select("conv_id", *(c for c in talks.columns if c in chat_format.COLUMNS))
+    # the records of both in one table, each converted by its own fingerprint; null fields don't change the table's layout, if it has one
+    paths = tuple(sorted(chat_format.field_paths(own.drop("conv_id").schema)))
+    default = paths if chat_format.fingerprint(list(paths)) in chat_format.MAPPINGS else None
+    if default is None:
+        chat_format.all_turns(own, "conv_id")  # an error, unless records have layouts of their own
+    return chat_format.read_back(chat_format.all_turns(own.unionByName(probe, allowMissingColumns=True), "conv_id", default))
 
 
 def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -158,6 +158,9 @@ def test_chat(spark):
     for text in ("</s>[INST] ok [/INST]", "a\\<|end|>\\\\", "<\\/s>", "<</SYS>>", ""):
         turns = spark.createDataFrame([("user", text)], "role string, text string")
         assert chat_format.parse(chat_format.render(turns).first().segment) == [("user", text)]
+    for role in ("us\ner", "a\\nb", "\n", "\\", "<|turn|>\n<s>\\n", "\\\\n"):
+        turns = spark.createDataFrame([(role, "x\ny\\n")], "role string, text string")
+        assert chat_format.parse(chat_format.render(turns).first().segment) == [(role, "x\ny\\n")]
     records = spark.createDataFrame([(1, "do", "", "done"), (2, "do", "this", None)], "id long, instruction string, input string, output string")
     assert [(r.role, r.text) for r in chat_format.canonical_turns(records, "id").orderBy("conv_id", "turn").collect()] == [("user", "do"), ("assistant", "done"), ("user", "do\n\nthis"), ("assistant", "")]
     with pytest.raises(ValueError):
@@ -221,3 +224,19 @@ def test_several_layouts_in_one_table(spark):
         got.setdefault(r.conv_id, []).append((r.role, r.text))
     assert got == {1: [("user", "p"), ("assistant", "c")], 2: [("user", "do"), ("assistant", "done")], 3: [("user", "do\n\nthis"), ("assistant", "done")], 4: [("user", "a"), ("assistant", "b")]}
     assert {tuple(r.paths): r.n for r in unknown.collect()} == {("output", "prompt"): 1, (): 1}
+
+
+def test_records_of_one_nested_column(spark, tmp_path):
+    """Fingerprints look into arrays: messages under two names, empty ones, and the query on a table of several layouts."""
+    rows = [(1, [("human", "a", None), ("gpt", "b", None)], None, None), (2, [("user", None, "c")], None, None), (3, None, "p", "r"), (4, [], None, None), (5, [("user", "x", "y")], None, None)]
+    table = spark.createDataFrame(rows, "conv_id long, messages array<struct<role: string, content: string, text: string>>, prompt string, response string")
+    turns, unknown = chat_format.mixed_turns(table, "conv_id")
+    assert sorted(map(tuple, turns.collect())) == [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "c"), (3, 0, "user", "p"), (3, 1, "assistant", "r")]
+    assert {tuple(r.paths): r.n for r in unknown.collect()} == {("messages[].content", "messages[].role", "messages[].text"): 2}
+    assert turns._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1  # one scan
+    table.filter("conv_id < 4").write.parquet(f"{tmp_path}/m/conversations.parquet")
+    got = {r.conv_id: r.n_turns for r in registry.op10_chat_format(spark, f"{tmp_path}/m").collect()}
+    assert got == {-7: 2, 1: 2, 2: 1, 3: 2}
+    table.write.parquet(f"{tmp_path}/bad/conversations.parquet")
+    with pytest.raises(Exception, match="no mapping for the layout"):
+        registry.op10_chat_format(spark, f"{tmp_path}/bad").collect()
