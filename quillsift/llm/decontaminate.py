@@ -158,7 +158,7 @@ class Index:
             end = max(begin + 1, int(np.searchsorted(total, total[begin] + CELLS, "right")) - 1)
             own = n[begin:end]
             pick = np.repeat(self.at[t[begin:end]] - np.r_[0, np.cumsum(own)[:-1]], own) + np.arange(own.sum())
-            np.add.at(sums, np.repeat(passage[begin:end], own) * self.blocks + self.flat_block[pick], self.flat_max[pick])
+            sums += np.bincount(np.repeat(passage[begin:end], own) * self.blocks + self.flat_block[pick], self.flat_max[pick], len(sums))
             begin = end
         most = sums.reshape(passages, self.blocks).max(axis=1)
         return np.flatnonzero((most + self.spare >= self.threshold - 1e-9) & (np.bincount(passage, minlength=passages) > 0))
