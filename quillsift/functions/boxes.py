@@ -40,6 +40,7 @@ def clamp(a, width: float, height: float) -> tuple[Column, ...]:
     return inside(a[0], width), inside(a[1], height), inside(a[2], width), inside(a[3], height)
 
 
-def expand(a, by: float, width: float, height: float) -> tuple[Column, ...]:
-    low, high = lambda c: F.greatest(c - by, F.lit(0.0)), lambda c, top: F.least(c + by, F.lit(float(top)))
+def expand(a, by: float, width: float | Column, height: float | Column) -> tuple[Column, ...]:
+    edge = lambda top: (top if isinstance(top, Column) else F.lit(top)).cast("double")
+    low, high = lambda c: F.greatest(c - by, F.lit(0.0)), lambda c, top: F.least(c + by, edge(top))
     return low(a[0]), low(a[1]), high(a[2], width), high(a[3], height)

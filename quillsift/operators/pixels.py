@@ -30,19 +30,26 @@ def stretch(gray: Column) -> Column:
     return F.when(gray > 210, 255.0).when(gray < 50, 0.0).otherwise((gray - 50) * 255 / 160)
 
 
-# Fixed values of the next two: ranges of skin and dark pixels.
-def is_skin() -> Column:
-    r, g, b = _rgb()
-    y, cb, cr = luma(), 128 - 0.168736 * r - 0.331264 * g + 0.5 * b, 128 + 0.5 * r - 0.418688 * g - 0.081312 * b
+# Fixed values of the next two: ranges of skin and dark pixels. They take Columns as well as arrays of numbers.
+def skin_of(r, g, b):
+    y, cb, cr = 0.299 * r + 0.587 * g + 0.114 * b, 128 - 0.168736 * r - 0.331264 * g + 0.5 * b, 128 + 0.5 * r - 0.418688 * g - 0.081312 * b
     white = (r > 225) & (g > 218) & (b > 210)
-    return ~white & y.between(35, 225) & cr.between(133, 178) & cb.between(80, 130) & (cr > cb + 10) & (r > g) & (r > b) & (r - g >= 10)
+    ranges = (y >= 35) & (y <= 225) & (cr >= 133) & (cr <= 178) & (cb >= 80) & (cb <= 130)
+    return ~white & ranges & (cr > cb + 10) & (r > g) & (r > b) & (r - g >= 10)
 
 
-def is_dark() -> Column:
-    r, g, b = _rgb()
+def dark_of(r, g, b):
     return (r < 70) & (g < 70) & (b < 70)
 
 
+def is_skin() -> Column:
+    return skin_of(*_rgb())
+
+
+def is_dark() -> Column:
+    return dark_of(*_rgb())
+
+
 def blobs(grid: np.ndarray, seed: int, grow: int) -> list[tuple[int, int, int, int, int, int]]:
     """(row0, col0, row1, col1, cells, sum) of 8-connected groups of cells >= grow that hold one >= seed."""
     label = np.where(grid >= grow, np.arange(1, grid.size + 1).reshape(grid.shape), 0)
@@ -168,28 +175,35 @@ def code_boxes(dark: np.ndarray, width: int, height: int, words: np.ndarray) ->
 VISUAL = "doc_id long, type string, confidence double, x0 double, y0 double, x1 double, y1 double"
 
 
+def hits_of_frame(doc_id: int, skin: np.ndarray, dark: np.ndarray, width: int, height: int, words: np.ndarray) -> list[tuple]:
+    """Rows of ``VISUAL``: the first face and all codes, from marked pixels (x, y) and words (x, y of the middle, letters and digits)."""
+    faces = (face_box(skin, _zone(z, width, height), width, height, words) for z in FACE_ZONES)
+    face = next((f for f in faces if f), None)
+    rows = [(doc_id, "face", FACE["confidence"], *map(float, face))] if face else []
+    return rows + [(doc_id, "qr_code", CODE["confidence"], *map(float, b)) for b in code_boxes(dark, width, height, words)]
+
+
+def middles(boxed: DataFrame) -> DataFrame:
+    """(doc_id, x, y, n): the middle of each word and its number of letters and digits."""
+    n = F.length(F.regexp_replace("word", r"[^\p{L}\p{N}]", ""))
+    return boxed.select("doc_id", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"), n.alias("n"))
+
+
 def visual(pixels: DataFrame, frames: DataFrame, boxed: DataFrame) -> DataFrame:
     """Faces and codes of frames (doc_id, width, height), from pixels (doc_id, x, y, r, g, b) and words (doc_id, word, x0..y1).
 
-    Only skin and dark pixels are moved, frame by frame.
+    Only skin and dark pixels are moved, frame by frame; ``tiles.visual`` moves them as bits.
     """
     marked = pixels.select("doc_id", "x", "y", is_skin().alias("skin"), is_dark().alias("dark")).filter("skin OR dark")
     named = frames.select(F.col("doc_id").alias("_f"), "width", "height")
     marked = marked.join(named, F.col("doc_id") == F.col("_f")).drop("_f")
-    n = F.length(F.regexp_replace("word", r"[^\p{L}\p{N}]", ""))
-    middles = boxed.select("doc_id", ((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"), n.alias("n"))
 
     def of_frame(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows: list[tuple] = []
         if len(left):
-            width, height = int(left["width"].iat[0]), int(left["height"].iat[0])
             words = right[["x", "y", "n"]].to_numpy(dtype=float)
             at = left[["x", "y"]].to_numpy(dtype=np.int64)
-            skin, dark = at[left["skin"].to_numpy()], at[left["dark"].to_numpy()]
-            faces = (face_box(skin, _zone(z, width, height), width, height, words) for z in FACE_ZONES)
-            face = next((f for f in faces if f), None)
-            rows += [(key[0], "face", FACE["confidence"], *map(float, face))] if face else []
-            rows += [(key[0], "qr_code", CODE["confidence"], *map(float, b)) for b in code_boxes(dark, width, height, words)]
+            rows = hits_of_frame(key[0], at[left["skin"].to_numpy()], at[left["dark"].to_numpy()], int(left["width"].iat[0]), int(left["height"].iat[0]), words)
         return pd.DataFrame(rows, columns=[c.split()[0] for c in VISUAL.split(", ")])
 
-    return marked.groupBy("doc_id").cogroup(middles.groupBy("doc_id")).applyInPandas(of_frame, VISUAL)
+    return marked.groupBy("doc_id").cogroup(middles(boxed).groupBy("doc_id")).applyInPandas(of_frame, VISUAL)
