@@ -37,7 +37,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Drop documents without a language: no letters, or so ambiguous that no language has half the belief."""
     model = language_id.fit(docs)
     sure = (F.col("lang_pred") != language_id.UNDETERMINED) & ~(F.col("ambiguous") & (F.col("score") < 0.5))
-    return set_aside(docs, lambda own: language_id.identify(own, model).filter(sure))
+    return set_aside(docs, lambda own: language_id.identify(own, model, ambiguous_below=0.1).filter(sure))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,8 +3,9 @@
 Every language gets a codeword of +1/-1 bits. One binary classifier over hashed
 byte trigrams learns each bit, and a text is given the language whose codeword
 costs the least under the classifiers' logistic losses, each bit weighted by how
-reliable it was in training. Where the two best codewords cost nearly the same,
-the text is flagged as ambiguous.
+reliable it was in training. Where the best codeword leads by little, the text is
+flagged as ambiguous: by no more than half-and-half mixtures of two languages'
+training texts usually have, and by less than nearly all texts of one language.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; a
 text with letters is given a learned language, however short; without any
@@ -17,7 +18,8 @@ are read, a bounded number of bytes at a time.
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -36,13 +38,14 @@ _CLEAN = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
 @dataclass(frozen=True)
 class Model:
-    """Learned bits: ``weights`` is DIMS x bits, ``codes`` is languages x bits."""
+    """Learned bits: ``weights`` is DIMS x bits, ``codes`` is languages x bits. Below a lead of ``bound`` a text is ambiguous."""
 
     langs: tuple[str, ...]
     codes: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
     trust: np.ndarray
+    bound: float = 0.0
 
 
 def features(texts: list[str]) -> np.ndarray:
@@ -101,7 +104,22 @@ def fit_bits(x: np.ndarray, langs: list[str], rounds: int = 200, decay: float =
     right = ((x @ w + b) * y > 0).mean(axis=0) if len(x) else np.ones(codes.shape[1])
     trust = np.maximum(right - 0.5, 0.01)
     trust = trust / trust.sum() if trust.size else trust
-    return Model(tuple(names), codes, w.astype(np.float32), b.astype(np.float32), trust.astype(np.float32))
+    model = Model(tuple(names), codes, w.astype(np.float32), b.astype(np.float32), trust.astype(np.float32))
+    return replace(model, bound=lead_bound(model, x, langs))
+
+
+#: Of texts of two languages, the share that the bound is to flag, and the share of those of one language that it may; pairs of texts mixed for two languages.
+MIXED, PURE, PAIRS = 0.95, 0.01, 50
+
+
+def lead_bound(model: Model, x: np.ndarray, langs: list[str]) -> float:
+    """The lead below which a text is ambiguous, learned from training texts and from their half-and-half mixtures; 0 with fewer than two languages."""
+    by_lang = [x[np.asarray(langs) == g][:PAIRS] for g in model.langs]
+    mixed = [np.sqrt((a[:n] ** 2 + b[:n] ** 2) / 2) for a, b in combinations(by_lang, 2) if (n := min(len(a), len(b)))]
+    if not mixed:
+        return 0.0
+    of_two, of_one = decode(model, np.concatenate(mixed))[2], decode(model, x)[2]
+    return float(min(np.quantile(of_two, MIXED), np.quantile(of_one, PURE)))
 
 
 def _sample(known: DataFrame, per_lang: int, max_docs: int) -> DataFrame:
@@ -186,8 +204,9 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def identified(model: Model, ambiguous_below: float = 0.1):
-    """A column function of whole texts: a struct of lang_pred, score (0 to 1) and ambiguous (two codewords nearly as close)."""
+def identified(model: Model, ambiguous_below: float | None = None):
+    """A column function of whole texts: a struct of lang_pred, score (0 to 1) and ambiguous (the best codeword's lead is below the model's bound, or the one given)."""
+    bound = model.bound if ambiguous_below is None else ambiguous_below
 
     @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
     def predict(texts: pd.Series) -> pd.DataFrame:
@@ -197,13 +216,13 @@ def identified(model: Model, ambiguous_below: float = 0.1):
             best, score, lead = decode_texts(model, [texts.iloc[i] for i in rows])
             out.loc[rows, "lang_pred"] = [model.langs[b] for b in best]
             out.loc[rows, "score"] = score.astype(float)
-            out.loc[rows, "ambiguous"] = lead < ambiguous_below
+            out.loc[rows, "ambiguous"] = lead < bound
         return out
 
     return predict
 
 
-def identify(docs: DataFrame, model: Model, ambiguous_below: float = 0.1) -> DataFrame:
+def identify(docs: DataFrame, model: Model, ambiguous_below: float | None = None) -> DataFrame:
     """Add lang_pred, score and ambiguous to every row, instead of any columns so named."""
     small_batches(docs.sparkSession)
     found = docs.drop("lang_pred", "score", "ambiguous").withColumn("_lid", identified(model, ambiguous_below)("text"))
