@@ -237,3 +237,15 @@ def test_settings(spark):
         common.scratch_root(Far)
     spark.conf.unset("spark.quillsift.pii.key")
     assert len(registry.pii_key(spark)) == 64 and registry.pii_key(spark) == registry.pii_key(spark)
+
+
+def test_large_class_without_common_windows(spark):
+    """A class of several shards whose pieces share a gram and no window, and a shard with no repeat: no runs, no error."""
+    rng, width = np.random.default_rng(5), 40
+    piece = lambda: rng.integers(0, 256, 400, dtype=np.uint8).tobytes()
+    rows = [(1, k, k, 1, shards, bytearray(piece())) for shards in (1, 2) for k in range(6)]
+    parts = spark.createDataFrame(rows, "cls long, d1 long, d2 long, c long, shards long, piece binary")
+    assert suffix_dedup._merge_pairs(parts.filter("shards = 2"), width).count() == 0
+    assert suffix_dedup._sort_packed(parts.filter("shards = 1").drop("shards"), width, 1000).count() == 0
+    again = parts.filter("shards = 2 AND d1 < 2").unionByName(parts.filter("shards = 2 AND d1 = 0").withColumn("d1", F.lit(3).cast("long")))
+    assert sorted(tuple(r) for r in suffix_dedup._merge_pairs(again, width).collect()) == [(1, 0, 0, 0, 400), (1, 3, 0, 0, 400)]
