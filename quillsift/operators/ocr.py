@@ -103,7 +103,7 @@ def lined(words: DataFrame) -> DataFrame:
 def hit_boxes(hits: DataFrame, words: DataFrame) -> DataFrame:
     """Add the boxes of the first to the last word of each hit (doc_id, ln, wi, wi_to)."""
     each = hits.select("*", F.explode(F.sequence("wi", "wi_to")).alias("_w"))
-    met = each.join(words.select("doc_id", "ln", F.col("wi").alias("_w"), *BOX), ["doc_id", "ln", "_w"])
+    met = each.join(words.select("doc_id", "ln", F.col("wi").alias("_w"), *BOX).hint("merge"), ["doc_id", "ln", "_w"])
     return met.groupBy(*hits.columns).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
 
