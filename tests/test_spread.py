@@ -2,6 +2,7 @@
 
 import pytest
 
+from quillsift.operators import fuse
 from quillsift.plans import catalog
 from quillsift.sources import tables
 
@@ -24,3 +25,15 @@ def test_profiles_are_dealt_out(spark, folder):
 def test_no_broadcast_of_what_is_made(spark, folder, name):
     plan = catalog.QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan
+
+
+def test_small_frames_need_no_grids(monkeypatch):
+    """Most frames hold a few detections; a grid for each took most of the fold's time."""
+
+    def grids():
+        raise AssertionError("a grid for few detections")
+
+    monkeypatch.setattr(fuse, "_Near", grids)
+    boxes = [[10.0 * (k % 4), 0.0, 10.0 * (k % 4) + 8, 12.0] for k in range(fuse.FEW)]
+    out = fuse.fold([("pan", ("rule", "visual")[k % 2], 0.98, b) for k, b in enumerate(boxes)])
+    assert [r[-1] for r in out] == [4, 4, 4, 4] and all(r[2] == 0.98 for r in out)
