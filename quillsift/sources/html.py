@@ -94,6 +94,7 @@ def elements(pages: DataFrame) -> DataFrame:
                 rows, _ = read(html if isinstance(html, str) else None)
                 yield pd.DataFrame([(page_id, *r) for r in rows], columns=[f.split()[0] for f in ELEMENT.split(", ")])
 
+    _small_batches(pages)
     return pages.select(F.col("page_id").cast("long"), "html").filter(F.col("page_id").isNotNull()).mapInPandas(cut, ELEMENT)
 
 
@@ -127,6 +128,19 @@ def manifest(pages: DataFrame, limit: int = 50) -> DataFrame:
     return kept.select("page_id", nth.alias("id"), "tag", label().alias("label")).filter(F.col("id") <= limit)
 
 
+#: Pages of a batch that a Python worker holds with all that is made of them, at most; a page may be megabytes.
+BATCH_PAGES, BATCH_BYTES = 500, 16 << 20
+
+
+def _small_batches(pages: DataFrame) -> None:
+    """Bound the session's Arrow batches, which are only ever lowered."""
+    conf = pages.sparkSession.conf
+    for key, most in (("maxRecordsPerBatch", BATCH_PAGES), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(f"spark.sql.execution.arrow.{key}", None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+
+
 FIELD = "page_id long, form long, field long, kind string, name string, required boolean, filled boolean, valid boolean"
 PAGE = "page_id long, shown string, fields array<struct<form: bigint, field: bigint, kind: string, name: string, required: boolean, filled: boolean, valid: boolean>>"
 
@@ -166,6 +180,7 @@ def forms(pages: DataFrame) -> DataFrame:
                 out.append((page_id, shown, fields_of(rows)))
             yield pd.DataFrame(out, columns=["page_id", "shown", "fields"])
 
+    _small_batches(pages)
     return pages.select(F.col("page_id").cast("long"), "html").mapInPandas(cut, PAGE)
 
 

@@ -217,3 +217,17 @@ def test_plan_of_sanitize(spark, n):
     docs = spark.createDataFrame([(1, "mail a@b.org")] * n, "doc_id long, text string")
     plan = sanitize.sanitize(docs)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LogicalRDD") + plan.count("LocalRelation") < 10
+
+
+def test_batches_of_pages_are_bounded(spark):
+    """A worker gets few pages at a time, whatever the partition's size."""
+    keys = [f"spark.sql.execution.arrow.{k}" for k in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+    held = [spark.conf.get(k, None) for k in keys]
+    try:
+        for k in keys:
+            spark.conf.set(k, "1000000000")
+        html.forms(spark.createDataFrame([(1, "<p>")], "page_id long, html string"))
+        assert [int(spark.conf.get(k)) for k in keys] == [html.BATCH_PAGES, html.BATCH_BYTES]
+    finally:
+        for k, v in zip(keys, held, strict=True):
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
