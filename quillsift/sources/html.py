@@ -8,6 +8,7 @@ what is inside what is then told by numbers, without a tree.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -71,10 +72,16 @@ class _Reader(HTMLParser):
         row[1], row[6] = len(self.rows) - 1, self.chars
 
 
-def read(html: str | None) -> tuple[list[tuple], str]:
-    """(pre, last, depth, tag, attributes, text inside) of every element, and all that is shown; tags part words, and runs of white space are one blank."""
+def read(html: str | None, resolved: tuple[str, ...] | None = None) -> tuple[list[tuple], str]:
+    """(pre, last, depth, tag, attributes, text inside) of every element, and all that is shown; tags part words, and runs of white space are one blank.
+
+    Character references are resolved as a browser does; with ``resolved`` those names alone, and all others stand as written.
+    """
     reader = _Reader()
-    reader.feed(html or "")
+    html = html or ""
+    if resolved is not None:
+        html = re.sub(f"&(?!(?:{'|'.join(map(re.escape, resolved))});)", "&amp;", html)
+    reader.feed(html)
     reader.close()
     while reader.open:
         reader._close()
@@ -169,19 +176,24 @@ def fields_of(rows: list[tuple]) -> list[dict]:
     return out
 
 
-def forms(pages: DataFrame) -> DataFrame:
-    """(page_id, shown, fields): the shown text of each page, and the fields of its forms."""
+def forms(pages: DataFrame, keep: tuple[str, ...] = (), resolved: tuple[str, ...] | None = None) -> DataFrame:
+    """(page_id, shown, fields): the shown text of each page, and the fields of its forms; and the columns of ``pages`` named in ``keep``.
+
+    ``resolved``: the names of the only character references that are resolved, of all if not given.
+    """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for page_id, html in zip(pdf["page_id"], pdf["html"], strict=True):
-                rows, shown = read(html if isinstance(html, str) else None)
-                out.append((page_id, shown, fields_of(rows)))
-            yield pd.DataFrame(out, columns=["page_id", "shown", "fields"])
+            for html in pdf.pop("html"):
+                rows, shown = read(html if isinstance(html, str) else None, resolved)
+                out.append((shown, fields_of(rows)))
+            yield pdf.assign(shown=[x[0] for x in out], fields=[x[1] for x in out])
 
     _small_batches(pages)
-    return pages.select(F.col("page_id").cast("long"), "html").mapInPandas(cut, PAGE)
+    held = pages.select(F.col("page_id").cast("long"), "html", *keep)
+    kept = "".join(f", {held.schema[k].name} {held.schema[k].dataType.simpleString()}" for k in keep)
+    return held.mapInPandas(cut, PAGE + kept)
 
 
 def is_form_page(url: Column) -> Column:
