@@ -17,7 +17,7 @@ verified by the exact similarity of the whole sets:
    result. Sets of different groups that share a prefix shingle are compared, if as
    many shingles follow the first they share as the threshold needs, and if the
    parities of their shingles' hashes in 512 cells differ no more than the sets may.
-   A pair meets at the first prefix shingle it shares, and there alone.
+   A pair meets at each prefix shingle it shares, and is taken once.
 
 Defined results: rows without a word form one group; a text of fewer words than
 a shingle is one shingle; rows that repeat a doc_id share its group; an empty table
@@ -26,7 +26,7 @@ has no rows. Columns beyond doc_id and text are not looked at. Whole texts are r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -47,6 +47,8 @@ SAMPLE, FREQUENT, MOST = 8_000, 4, 500_000
 
 #: Bits in which fingerprints of the tries' walk may differ.
 BUDGET = 2
+#: Bits of the map of texts that are looked for.
+BITS = 1 << 24
 #: Cells of the parities, of those that candidates are tried by once more, and odd factors of the min-hashes, fixed values.
 CELLS, WIDE = 512, 8192
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD)
@@ -116,23 +118,40 @@ def _prints(docs: DataFrame, sample: int) -> DataFrame:
     return materialize(docs.select("doc_id", F.xxhash64("text").alias("h"), printed("text").alias("p")).select("doc_id", "h", "p.*"))
 
 
-def _possible(x: str, y: str) -> Column:
+def _possible(x: str, y: str, odd: Callable[[str, int], Column] = lambda x, i: F.col(f"{x}.odd")[i]) -> Column:
     """Whether sets x and y (structs of g, n and odd) can be at the threshold, by their sizes and parities."""
     n = F.col(f"{x}.n") + F.col(f"{y}.n")
-    apart = sum(F.bit_count(F.col(f"{x}.odd")[i].bitwiseXOR(F.col(f"{y}.odd")[i])) for i in range(CELLS // 64))
+    apart = sum(F.bit_count(odd(x, i).bitwiseXOR(odd(y, i))) for i in range(CELLS // 64))
     return ((NUM + DEN) * F.least(f"{x}.n", f"{y}.n") >= NUM * n) & ((NUM + DEN) * apart <= (DEN - NUM) * n)
 
 
 def _possible_from(x: str, y: str) -> Column:
-    """Whether they can be, if the shingles at their places i are the first they share."""
+    """Whether they (with the parities as columns o0, o1, ...) can be, if the shingles at their places i are the first they share."""
     left = F.least(F.col(f"{x}.n") - F.col(f"{x}.i"), F.col(f"{y}.n") - F.col(f"{y}.i"))
-    return ((NUM + DEN) * left >= NUM * (F.col(f"{x}.n") + F.col(f"{y}.n"))) & _possible(x, y)
+    return ((NUM + DEN) * left >= NUM * (F.col(f"{x}.n") + F.col(f"{y}.n"))) & _possible(x, y, lambda x, i: F.col(f"{x}.o{i}"))
+
+
+def _among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose h isn't one of ``wanted``: by a bitmap of fixed size, so that few texts are shuffled in vain."""
+    bit = F.col("h").bitwiseAND(BITS - 1)
+    words = wanted.groupBy(F.shiftright(bit, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 AS int))")).alias("b")).toPandas()
+    made = np.zeros(BITS // 64, dtype=np.int64)
+    made[words["w"].to_numpy(dtype=np.int64)] = words["b"].to_numpy(dtype=np.int64)
+    held = rows.sparkSession.sparkContext.broadcast(made)
+
+    @F.pandas_udf("boolean")
+    def marked(h: pd.Series) -> pd.Series:
+        at = h.to_numpy(dtype=np.int64) & (BITS - 1)
+        return pd.Series((held.value[at >> 6] >> (at & 63)) & 1 == 1)
+
+    return rows.filter(marked("h"))
 
 
 def _similar(docs: DataFrame, alike: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (u, v) of g at the threshold or above, by their whole sets, made of the texts again."""
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("g")).distinct().join(alike.select("g", "h"), "g")
-    texts = docs.select(F.xxhash64("text").alias("h"), "text").join(wanted, "h").groupBy("g").agg(F.first("text").alias("text"))
+    wanted = materialize(wanted)
+    texts = _among(docs.select(F.xxhash64("text").alias("h"), "text"), wanted).join(wanted, "h").groupBy("h", "g").agg(F.first("text").alias("text"))
 
     @F.pandas_udf("own array<long>, wide binary")
     def own(texts: pd.Series) -> pd.DataFrame:
@@ -192,17 +211,15 @@ def near_copies(docs: DataFrame, sample: int = SAMPLE, budget: int = BUDGET) ->
     discard(alike)
     mixed = named.select("c", F.explode("prefix").alias("s")).groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
     mixed = materialize(mixed.filter("lo < hi").select("s"))
-    # few shingles are in sets of several groups: all else of a set is joined to those alone
-    apart = materialize(named.select("g", F.explode("prefix").alias("s")).join(mixed, "s"))
-    # of each set, its shingles among these in their order, so that a pair knows the first it shares
-    place = (F.array_position("prefix", F.col("s")) - 1).cast("int").alias("i")
-    listed = apart.join(named, "g").groupBy("g").agg(F.array_sort(F.collect_list(F.struct(place, "s"))).alias("own"), *(F.first(c).alias(c) for c in ("c", "n", "odd")))
-    rows = listed.select("c", "g", "n", "odd", F.col("own.s").alias("ss"), F.posexplode("own").alias("k", "o"))
-    member = F.struct("g", "n", "odd", F.col("o.i").alias("i"), F.slice("ss", F.lit(1), F.col("k")).alias("before"))
-    apart = materialize(rows.select(F.col("o.s").alias("s"), "c", member.alias("m")))
-    near = (F.col("x.s") == F.col("y.s")) & (F.col("x.m.g") < F.col("y.m.g")) & (F.col("x.c") != F.col("y.c")) & _possible_from("x.m", "y.m")
-    near = near & ~F.arrays_overlap("x.m.before", "y.m.before")
-    met = materialize(apart.alias("x").join(apart.alias("y"), near).select(F.col("x.m.g").alias("u"), F.col("y.m.g").alias("v")))
+    # few shingles are in sets of several groups: all else of a set is joined to those alone, by narrow rows
+    places = materialize(named.select("g", F.posexplode("prefix").alias("i", "s")).join(mixed, "s"))
+    odd = [F.col("odd")[i].alias(f"o{i}") for i in range(CELLS // 64)]
+    apart = materialize(places.join(named.select("g", "c", "n", *odd), "g"))
+    discard(places)
+    near = (F.col("x.s") == F.col("y.s")) & (F.col("x.g") < F.col("y.g")) & (F.col("x.c") != F.col("y.c")) & _possible_from("x", "y")
+    # a pair that shares several is met at each; what holds at a later one holds at the first
+    met = materialize(apart.alias("x").join(apart.alias("y"), near).select(F.col("x.g").alias("u"), F.col("y.g").alias("v")).distinct())
+    discard(apart)
     pairs = materialize(met.join(first, ["u", "v"], "left_anti"))
     more = _similar(docs, named, pairs)
     if not more.isEmpty():
