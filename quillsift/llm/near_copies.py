@@ -12,12 +12,18 @@ verified by the exact similarity of the whole sets:
    all of a group of any size at a linear cost.
 2. Sets of different groups are compared wherever they can be at the threshold. All
    shingles stand in one order, those that are frequent in a sample last. Two sets at
-   or above the threshold share one of the first fifth of each (its prefix),
-   whatever the order, so that the sample bears on the cost alone and never on the
-   result. Sets of different groups that share a prefix shingle are compared, if as
-   many shingles follow the first they share as the threshold needs, and if the
-   parities of their shingles' hashes in 512 cells differ no more than the sets may.
-   A pair meets at each prefix shingle it shares, and is taken once.
+   or above the threshold share many of the first of each (its prefix: a fifth of the
+   set and ``shared_least`` more, of which they share so many), whatever the order, so
+   that the sample bears on the cost alone and never on the result. A set with fewer
+   prefix shingles in common with sets of other groups than that is left out, twice,
+   as fewer are in common then. This takes no pairs, and long texts that share a
+   phrase by chance go with it. What a set has in common is then put in the order of
+   its exact count, and the last of it, all but one of what a pair must share, is left
+   out too. At each shingle all sets are first compared with one, of whose prefix
+   least stands alone: this joins most groups, at a linear cost. Sets that still share
+   a shingle with another group are compared, if as many follow as the threshold
+   needs, and if the parities of their shingles' hashes in 512 cells differ no more
+   than the sets may. A pair is taken once.
 
 Defined results: rows without a word form one group; a text of fewer words than
 a shingle is one shingle; rows that repeat a doc_id share its group; an empty table
@@ -31,7 +37,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillsift.llm.common import discard, materialize, small_batches
@@ -45,6 +51,9 @@ NUM, DEN = 4, 5
 SAMPLE, FREQUENT, MOST = 8_000, 4, 500_000
 
 
+#: A pair shares one shingle in so many of the set, at least, within the prefixes.
+PART = 40
+
 #: Bits in which fingerprints of the tries' walk may differ.
 BUDGET = 2
 #: Bits of the map of texts that are looked for.
@@ -58,9 +67,14 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(shingle_hashes(text, WIDTH))
 
 
+def shared_least(n: int) -> int:
+    """How many of its prefix's shingles a set of n shares at the threshold, if its prefix ends first in the order."""
+    return 1 + n // PART
+
+
 def prefix(own: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
-    """The shingles of which a set at the threshold must share one, and how many of all aren't frequent; ``own`` and ``frequent`` ascend."""
-    size = len(own) - -(-NUM * len(own) // DEN) + 1
+    """The shingles of which a set at the threshold must share some, and how many of all aren't frequent; ``own`` and ``frequent`` ascend."""
+    size = len(own) - -(-NUM * len(own) // DEN) + shared_least(len(own))
     if not len(frequent):
         return own[:size], len(own)
     at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
@@ -125,10 +139,53 @@ def _possible(x: str, y: str, odd: Callable[[str, int], Column] = lambda x, i: F
     return ((NUM + DEN) * F.least(f"{x}.n", f"{y}.n") >= NUM * n) & ((NUM + DEN) * apart <= (DEN - NUM) * n)
 
 
-def _possible_from(x: str, y: str) -> Column:
-    """Whether they (with the parities as columns o0, o1, ...) can be, if the shingles at their places i are the first they share."""
-    left = F.least(F.col(f"{x}.n") - F.col(f"{x}.i"), F.col(f"{y}.n") - F.col(f"{y}.i"))
-    return ((NUM + DEN) * left >= NUM * (F.col(f"{x}.n") + F.col(f"{y}.n"))) & _possible(x, y, lambda x, i: F.col(f"{x}.o{i}"))
+def _enough_from(x: str, y: str) -> Column:
+    """Whether the sets can share enough, if ``left`` of the shingles they may share stand from here on.
+
+    Of what two sets share, all but those behind the prefix that ends first is in both prefixes.
+    """
+    n, most = F.col(f"{x}.n") + F.col(f"{y}.n"), F.least(f"{x}.left", f"{y}.left") + F.greatest(f"{x}.behind", f"{y}.behind")
+    return ((NUM + DEN) * F.least(f"{x}.n", f"{y}.n") >= NUM * n) & ((NUM + DEN) * most >= NUM * n)
+
+
+#: In SQL: four fifths of a set of n, rounded up (what it may be linked with has so many or more), how many stand behind its prefix, and how many a pair shares at least.
+_MOST = f"(({NUM} * n + {DEN - 1}) div {DEN})"
+_BEHIND, _NEED = f"{_MOST} - 1 - n div {PART}", f"1 + {_MOST} div {PART}"
+
+
+def _in_common(places: DataFrame, rounds: int) -> DataFrame:
+    """The places (g, c, n, s) that sets of different groups c have in common, with the count k of the shingle and m of the set.
+
+    Sets with fewer than they need are left out, and what is in common is counted again; no pairs are made.
+    """
+    for _ in range(rounds):
+        mixed = places.groupBy("s").agg(F.count("*").alias("k"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi")
+        common = materialize(places.select("g", "c", "n", "s").join(materialize(mixed.select("s", "k")), "s"))
+        enough = common.groupBy("g", "n").agg(F.count("*").alias("m")).filter(f"m >= {_NEED}")
+        places = materialize(common.join(materialize(enough.select("g", "m")), "g"))
+        discard(common)
+    return places
+
+
+def _leading(common: DataFrame) -> DataFrame:
+    """g, c, n, s, left, behind, alone and before: the places at which sets must meet, in the order of their counts.
+
+    ``left``: how many of the set's places stand from s on, s included. ``behind``: how
+    many of the set stand behind its prefix; ``alone``: how many of the prefix no
+    other group has; ``before``: the places just before s. Sets that share one of those have met there.
+    """
+    order = Window.partitionBy("g").orderBy("k", "s")
+    before = F.array_compact(F.array(*(F.lag("s", i).over(order) for i in (1, 2, 3))))
+    found = common.withColumns({"left": F.col("m") - F.row_number().over(order) + 1, "behind": F.expr(_BEHIND), "alone": F.expr(f"n - ({_BEHIND}) - m"), "before": before})
+    return found.filter(f"left >= {_NEED}").drop("k", "m")
+
+
+def _hub_pairs(leading: DataFrame) -> DataFrame:
+    """Pairs (u, v) of g: each set with that one at each of its places of whose prefix least stands alone, which others are edited copies of."""
+    own = F.struct("alone", "g", "n", "left", "behind", "c")
+    hubs = materialize(leading.groupBy("s").agg(F.min(own).alias("y")))
+    met = leading.select("s", own.alias("x")).join(hubs, "s").filter("x.c <> y.c").filter(_enough_from("x", "y"))
+    return met.select(F.least("x.g", "y.g").alias("u"), F.greatest("x.g", "y.g").alias("v")).distinct()
 
 
 def _among(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -206,24 +263,25 @@ def near_copies(docs: DataFrame, sample: int = SAMPLE, budget: int = BUDGET) ->
     discard(made)
     first = _first_pairs(alike, budget)
     found = _similar(docs, alike, first)
-    roots = components(found)
-    named = materialize(alike.join(roots, alike["g"] == roots["u"], "left").select("g", "h", "n", "odd", "prefix", F.coalesce("v", "g").alias("c")))
-    discard(alike)
-    mixed = named.select("c", F.explode("prefix").alias("s")).groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
-    mixed = materialize(mixed.filter("lo < hi").select("s"))
-    # few shingles are in sets of several groups: all else of a set is joined to those alone, by narrow rows
-    places = materialize(named.select("g", F.posexplode("prefix").alias("i", "s")).join(mixed, "s"))
-    odd = [F.col("odd")[i].alias(f"o{i}") for i in range(CELLS // 64)]
-    apart = materialize(places.join(named.select("g", "c", "n", *odd), "g"))
-    discard(places)
-    near = (F.col("x.s") == F.col("y.s")) & (F.col("x.g") < F.col("y.g")) & (F.col("x.c") != F.col("y.c")) & _possible_from("x", "y")
-    # a pair that shares several is met at each; what holds at a later one holds at the first
+    named = lambda links: alike.join(roots := components(links), alike["g"] == roots["u"], "left").select(*alike.columns, F.coalesce("v", "g").alias("c"))
+    common = _in_common(named(found).select("g", "c", "n", F.explode("prefix").alias("s")), 2)
+    # sets are linked with one of each of their places first, which takes no pairs among the others and joins most groups
+    hubs = materialize(_hub_pairs(materialize(_leading(common))).join(first, ["u", "v"], "left_anti"))
+    found = materialize(found.unionAll(_similar(docs, alike, hubs)))
+    now = materialize(named(found).select("g", "c", *(F.col("odd")[i].alias(f"o{i}") for i in range(CELLS // 64))))
+    rest = materialize(_leading(_in_common(common.drop("c").join(now.select("g", "c"), "g"), 1)))
+    discard(common)
+    # all else of a set is joined to its places alone, by narrow rows
+    apart = materialize(rest.drop("c", "alone").join(now, "g"))
+    discard(rest)
+    near = (F.col("x.s") == F.col("y.s")) & (F.col("x.g") < F.col("y.g")) & (F.col("x.c") != F.col("y.c"))
+    near = near & _enough_from("x", "y") & ~F.arrays_overlap("x.before", "y.before") & _possible("x", "y", lambda x, i: F.col(f"{x}.o{i}"))
+    # a pair that shares several may meet at some of them; what holds at a later one holds at the first
     met = materialize(apart.alias("x").join(apart.alias("y"), near).select(F.col("x.g").alias("u"), F.col("y.g").alias("v")).distinct())
     discard(apart)
-    pairs = materialize(met.join(first, ["u", "v"], "left_anti"))
-    more = _similar(docs, named, pairs)
-    if not more.isEmpty():
-        roots = components(found.unionAll(more))
+    pairs = materialize(met.join(first.unionAll(hubs), ["u", "v"], "left_anti"))
+    more = _similar(docs, alike, pairs)
+    roots = components(found.unionAll(more))
     return prints.join(roots, prints["g"] == roots["u"], "left").select("doc_id", "h", F.coalesce("v", "g").alias("root"))
 
 
