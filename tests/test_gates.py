@@ -34,10 +34,11 @@ def test_gates_lose_nothing(spark, batch):
     assert all(any(r[k].java for r in got) for k in GATES)
 
 
-def test_no_pattern_runs_on_every_text(spark):
+@pytest.mark.parametrize("step", [sanitize.detections, sanitize.model_hits, detect.detect_all])  # the query sanitize; the stages of stage_counts
+def test_no_pattern_runs_on_every_text(spark, step):
     """Java's patterns see texts and lines only after the automaton has; before, six of them ran over each text."""
     docs = spark.createDataFrame([(1, "mail a@b.org")], "doc_id long, text string")
-    plan = sanitize.detections(docs)._jdf.queryExecution().optimizedPlan().toString()
+    plan = step(docs)._jdf.queryExecution().optimizedPlan().toString()
     filters = [x for x in plan.split("\n") if "Filter " in x]
     assert filters and not [x for x in filters if re.search(r"RLIKE\((text|line)#\d+, [^^]|regexp_extract_all\(text#", x)]
 
