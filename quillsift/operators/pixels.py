@@ -50,22 +50,45 @@ def is_dark() -> Column:
     return dark_of(*_rgb())
 
 
+def runs(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first column and column after the last of each run of marked cells, row by row."""
+    edge = np.diff(np.pad(marked, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    rows, first = np.nonzero(edge == 1)
+    return rows, first, np.nonzero(edge == -1)[1]
+
+
 def blobs(grid: np.ndarray, seed: int, grow: int) -> list[tuple[int, int, int, int, int, int]]:
-    """(row0, col0, row1, col1, cells, sum) of 8-connected groups of cells >= grow that hold one >= seed."""
-    label = np.where(grid >= grow, np.arange(1, grid.size + 1).reshape(grid.shape), 0)
-    while True:
-        padded = np.pad(label, 1)
-        around = np.max([padded[i : i + grid.shape[0], j : j + grid.shape[1]] for i in range(3) for j in range(3)], axis=0)
-        new = np.where(label > 0, around, 0)
-        if (new == label).all():
-            break
-        label = new
-    out = []
-    for k in np.unique(label[label > 0]):
-        rows, cols = np.nonzero(label == k)
-        if grid[rows, cols].max() >= seed:
-            out.append((int(rows.min()), int(cols.min()), int(rows.max()), int(cols.max()), len(rows), int(grid[rows, cols].sum())))
-    return out
+    """(row0, col0, row1, col1, cells, sum) of 8-connected groups of cells >= grow that hold one >= seed, by their last cells.
+
+    Runs of cells are joined with those of the row before that they touch.
+    """
+    rows, first, last = runs(grid >= grow)
+    if not len(rows):
+        return []
+    upto = lambda a: np.concatenate([np.zeros((len(a), 1), dtype=np.int64), np.cumsum(a, axis=1, dtype=np.int64)], axis=1)
+    sums, seeds = (c[rows, last] - c[rows, first] for c in (upto(grid), upto(grid >= seed)))
+    held = list(zip(rows.tolist(), first.tolist(), last.tolist(), sums.tolist(), seeds.tolist(), strict=True))
+    root = list(range(len(held)))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    j = 0
+    for i, (row, a, b, _, _) in enumerate(held):
+        while held[j][0] < row - 1 or (held[j][0] == row - 1 and held[j][2] < a):
+            j += 1
+        k = j
+        while held[k][0] == row - 1 and held[k][1] <= b:
+            root[top(k)] = top(i)
+            k += 1
+    found: dict[int, list[int]] = {}
+    for i, (row, a, b, n, seen) in enumerate(held):
+        g = found.setdefault(top(i), [row, a, row, b - 1, 0, 0, 0, 0])
+        g[1], g[2], g[3] = min(g[1], a), row, max(g[3], b - 1)
+        g[4], g[5], g[6], g[7] = g[4] + b - a, g[5] + n, g[6] + seen, row * grid.shape[1] + b
+    return [tuple(g[:6]) for g in sorted(found.values(), key=lambda g: g[7]) if g[6]]
 
 
 def components(cells: DataFrame, seed: int, grow: int) -> DataFrame:
@@ -111,9 +134,12 @@ def _half_up(x: float) -> int:
 
 
 def _grid(at: np.ndarray, zone: tuple[int, int, int, int], cell: int) -> np.ndarray:
-    """Marked pixels (x, y) of a zone, counted by whole cells."""
+    """Marked pixels of a zone, counted by whole cells: pixels (x, y), or rectangles of them (x0, y0, x1, y1) that don't overlap."""
     left, top, width, height = zone
     rows, cols = height // cell, width // cell
+    if at.shape[1] == 4 and rows and cols:
+        shared = lambda a, b, n: np.clip(np.minimum(b[:, None], (np.arange(n) + 1) * cell) - np.maximum(a[:, None], np.arange(n) * cell), 0, None)
+        return shared(at[:, 1] - top, at[:, 3] - top, rows).T @ shared(at[:, 0] - left, at[:, 2] - left, cols)
     x, y = (at[:, 0] - left) // cell, (at[:, 1] - top) // cell
     inside = (at[:, 0] >= left) & (at[:, 1] >= top) & (x < cols) & (y < rows)
     return np.bincount(y[inside] * cols + x[inside], minlength=rows * cols).reshape(rows, cols) if rows and cols else np.zeros((0, 0), dtype=np.int64)
@@ -176,7 +202,7 @@ VISUAL = "doc_id long, type string, confidence double, x0 double, y0 double, x1
 
 
 def hits_of_frame(doc_id: int, skin: np.ndarray, dark: np.ndarray, width: int, height: int, words: np.ndarray) -> list[tuple]:
-    """Rows of ``VISUAL``: the first face and all codes, from marked pixels (x, y) and words (x, y of the middle, letters and digits)."""
+    """Rows of ``VISUAL``: the first face and all codes, from marked pixels (x, y) or rectangles of them and words (x, y of the middle, letters and digits)."""
     faces = (face_box(skin, _zone(z, width, height), width, height, words) for z in FACE_ZONES)
     face = next((f for f in faces if f), None)
     rows = [(doc_id, "face", FACE["confidence"], *map(float, face))] if face else []
