@@ -4,8 +4,9 @@ import random
 
 import numpy as np
 
-from quillsift.operators import pixels, tiles
+from quillsift.operators import detect, pixels, tiles
 from quillsift.plans import catalog
+from quillsift.sources import tables
 
 RECT = "doc_id long, x0 long, y0 long, x1 long, y1 long, colour int, z long"
 COLOURS = {"paper": tiles.PAPER, "skin": 0xC88C6E, "dark": 0x101010, "mask": tiles.MASK}
@@ -77,3 +78,20 @@ def test_rectangles_fill_cells_as_their_pixels_do():
         points = np.array([(a, b) for x0, y0, x1, y1 in rects.tolist() for a in range(x0, x1) for b in range(y0, y1)])
         zone = (rng.randint(0, 20), rng.randint(0, 20), rng.randint(0, 70), rng.randint(0, 50))
         assert (pixels._grid(rects, zone, 6) == pixels._grid(points, zone, 6)).all()
+
+
+def test_boxes_are_made_once_and_rules_tried_on_few_words(spark):
+    """Spark puts what a plain posexplode reads into a filter below it too, which made the boxes anew."""
+    lined = tables.lines(spark.createDataFrame([(1, "Name : ASHA\n\nPAN : ABCDE1234F"), (2, "")], "doc_id long, text string"))
+    found, boxed = detect.detect_many(lined, ("pan", "names")), tables.word_boxes(lined)
+    filters = lambda df: [x.lower() for x in df._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Filter" in x]
+    assert not any("size(" in x for x in filters(boxed)) and any("rlike(word" in x for x in filters(found))
+    assert found.count() == 2 and boxed.count() == 6
+
+
+def test_words_that_a_rule_hits_meet_what_it_asks_of_them(spark):
+    text = "Name : श्री ASHA @x\nRegistration No : ABCDEFGH\nRoll No : 12345678\nAPI Token : abcdefghijklmnopq eyJa.b\nmail a@b.co +91 9876543210 2345, 6789, 0123."
+    lined = tables.lines(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    every = tuple(detect.rules())
+    alone = {(n, r.ln, r.wi, r.wi_to) for n in every for r in detect.detect(lined, n).collect()}
+    assert alone == {(r.detector, r.ln, r.wi, r.wi_to) for r in detect.detect_many(lined, every).collect()} and len(alone) >= 8
